@@ -1,4 +1,5 @@
 """All registered queries of the engine, and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
