@@ -100,9 +100,9 @@ def crossmatch(df: DataFrame, catalogues: list[tuple[str, DataFrame]], arcsec: f
 def nearest_time(df: DataFrame, axis: DataFrame) -> DataFrame:
     """(id, time): the axis time nearest to each row's, the earlier on a tie: an as-of join both ways over one sorted union."""
     both = df.select("id", F.col("time").alias("at"), F.lit(None).cast("double").alias("mark")).unionAll(axis.select(F.lit(None).cast("long"), F.col("time"), F.col("time")))
-    w = Window.orderBy("at", F.col("mark").asc_nulls_last())
-    back = F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("mark", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    upto = (Window.unboundedPreceding, 0)
+    back = F.last("mark", True).over(Window.orderBy("at", F.col("mark").asc_nulls_last()).rowsBetween(*upto))
+    ahead = F.last("mark", True).over(Window.orderBy(F.desc("at"), F.col("mark").asc_nulls_last()).rowsBetween(*upto))
     near = both.withColumns({"back": back, "ahead": ahead}).where("id is not null")
     return near.select("id", F.when(F.col("back").isNull() | (F.col("ahead") - F.col("at") < F.col("at") - F.col("back")), F.col("ahead")).otherwise(F.col("back")).alias("time"))
 

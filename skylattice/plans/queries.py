@@ -115,9 +115,10 @@ STOKES = (
 )
 
 
-@query(ctes("vis") + AVERAGED + " select t, row, chan, u, v, round(re, 6) as re, round(im, 6) as im, round(weight, 6) as weight from av")
+@query(ctes("vis") + AVERAGED + " select t, row, chan, u, v, round(re, 9) as re, round(im, 9) as im, round(weight, 6) as weight from av")
 def corr_average(spark, sf):
-    return r6(I.average_correlations(I.flag_weights(N.vis(spark, sf))))
+    av = I.average_correlations(I.flag_weights(N.vis(spark, sf)))
+    return av.withColumns({"re": F.round("re", 9), "im": F.round("im", 9), "weight": F.round("weight", 6)})
 
 
 @query(ctes("vis") + FLAGGED + " select t, row, chan, u, v, round(re, 6) as re, round(im, 6) as im, round(weight, 6) as weight from fl where corr = 'XX'")
