@@ -60,16 +60,21 @@ def fit(texts: list[bytes], y: np.ndarray, terms: list[str] = IDENTITY_TERMS, l1
     """Weights of words, and the intercept, by accelerated proximal gradient steps."""
     if len(set(y.tolist())) < 2:
         return {}, 500.0 if len(y) and y[0] else -500.0
-    docs = [words_of(t) for t in texts]
-    count: dict[str, int] = {}
-    for d in docs:
-        for w in d:
-            count[w] = count.get(w, 0) + 1
-    vocab = sorted((w for w, n in count.items() if n > 1 or len(docs) < 100), key=lambda w: (-count[w], w))[:MAX_WORDS]
-    vocab += [t for t in terms if t not in count]
+    # Words become numbers text by text, so that no more than one text's strings are held beside the vocabulary.
+    number: dict[str, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(words_of(t))), np.int32) for t in texts]
+    row, cols = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), np.concatenate(ids)
+    names = list(number)
+    seen = np.bincount(cols, minlength=len(names))
+    often = [i for i in range(len(names)) if seen[i] > 1 or len(ids) < 100]
+    often = sorted(often, key=lambda i: (-seen[i], names[i]))[:MAX_WORDS]
+    vocab = [names[i] for i in often] + [t for t in terms if t not in number]
+    place = np.full(len(names), -1, np.int32)
+    place[often] = np.arange(len(often))
+    kept = place[cols] >= 0
+    row, cols = row[kept], place[cols[kept]]
     col = {w: i for i, w in enumerate(vocab)}
-    ids = [np.fromiter((col[w] for w in sorted(d) if w in col), np.int64) for d in docs]
-    row, cols = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    del number, names, ids, place, kept
     pairs: dict[tuple[int, int], int] = {}
     for t in texts:
         for s, o in swaps(t, list(terms)):
@@ -77,7 +82,7 @@ def fit(texts: list[bytes], y: np.ndarray, terms: list[str] = IDENTITY_TERMS, l1
                 pairs[col[s], col[o]] = pairs.get((col[s], col[o]), 0) + 1
     pa_, pb = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     pn = np.array(list(pairs.values()), float) / max(1, sum(pairs.values()))
-    n, m = len(docs), len(vocab)
+    n, m = len(texts), len(vocab)
     # The step: a bound on the curvature, from the longest text's share and the pairs.
     v = np.ones(m)
     for _ in range(20):
@@ -115,8 +120,10 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> tuple[dict[str, float], float]:
     picked = label_sample(labels, "toxic", per_class)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).join(picked, "doc_id").select("doc_id", "t", "y").toPandas().sort_values(["doc_id", "t"], na_position="first")
-    return fit([bytes(t) if t is not None else b"" for t in rows.t], rows.y.to_numpy(float))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).join(picked, "doc_id").select("doc_id", "t", "y").toArrow()
+    text = [t or b"" for t in rows.column("t").to_pylist()]
+    order = sorted(range(len(text)), key=lambda i: (rows.column("doc_id")[i].as_py(), text[i]))
+    return fit([text[i] for i in order], rows.column("y").to_numpy().astype(float)[order])
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
