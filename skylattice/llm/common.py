@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
 import tempfile
 from collections.abc import Iterator
 
@@ -119,6 +120,21 @@ def label_sample(labels: DataFrame, value_col: str, per_class: int) -> DataFrame
     return pick(0).unionAll(pick(1))
 
 
+def fitted(sample: DataFrame, fit):
+    """fit(the sample as one Arrow table), run by one task, so that no training data come to the driver.
+
+    For samples of bounded size alone.  fit returns plain values and arrays.
+    """
+    schema = sample.limit(0).toArrow().schema
+
+    def run(batches):
+        got = list(batches)
+        yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps(fit(pa.Table.from_batches(got) if got else schema.empty_table()))], pa.binary())})
+
+    parts = sample.repartition(1).mapInArrow(run, "state binary").collect()
+    return pickle.loads(parts[0].state)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 

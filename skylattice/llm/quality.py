@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, label_sample, map_texts, table
+from .common import fitted, held_out, label_sample, map_texts, table
 
 MAX_PER_CLASS = 1500  # labelled rows learnt from, a class
 HASH_BITS, LATENT, NEIGHBOURS, POWER, STYLE_WEIGHT = 12, 64, 15, 4.0, 2.0
@@ -111,14 +111,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return [pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(c, at, strict=True)], pa.list_(pa.float32())), pa.array(list(style(texts)), pa.list_(pa.float64()))]
 
     new = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType())), T.StructField("style", T.ArrayType(T.DoubleType()))]
-    rows = map_texts(own, "t", ["doc_id", "y"], new, sparse).toArrow()
-    order = np.lexsort((np.array([len(x) for x in rows.column("at")]), rows.column("doc_id").to_numpy())) if len(rows) else []
-    c = np.zeros((len(rows), DIMS), np.float32)
-    for i, j in enumerate(order):
-        c[i, rows.column("at")[int(j)].values.to_numpy()] = rows.column("n")[int(j)].values.to_numpy()
-    y = rows.column("y").to_numpy()[order] if len(rows) else np.zeros(0)
-    s = rows.column("style").combine_chunks().flatten().to_numpy().reshape(-1, 2)[order] if len(rows) else np.zeros((0, 2))
-    return Model(c, s, y)
+    def learn(rows):
+        order = np.lexsort((np.array([len(x) for x in rows.column("at")]), rows.column("doc_id").to_numpy())) if len(rows) else np.zeros(0, int)
+        at, n, own = rows.column("at").to_pylist(), rows.column("n").to_pylist(), rows.column("style").to_pylist()
+        c = np.zeros((len(rows), DIMS), np.float32)
+        for i, j in enumerate(order):
+            c[i, at[j]] = n[j]
+        s = np.array([own[j] for j in order]).reshape(-1, 2)
+        return vars(Model(c, s, rows.column("y").to_numpy()[order]))
+
+    model = Model.__new__(Model)
+    vars(model).update(fitted(map_texts(own, "t", ["doc_id", "y"], new, sparse), learn))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

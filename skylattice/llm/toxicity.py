@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out, label_sample, map_texts, table
+from .common import fitted, fresh, held_out, label_sample, map_texts, table
 
 MAX_PER_CLASS = 3000  # labelled rows learnt from, a class
 MAX_WORDS = 1 << 17  # words of the model, the most frequent in the sample
@@ -120,10 +120,14 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> tuple[dict[str, float], float]:
     picked = label_sample(labels, "toxic", per_class)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).join(picked, "doc_id").select("doc_id", "t", "y").toArrow()
-    text = [t or b"" for t in rows.column("t").to_pylist()]
-    order = sorted(range(len(text)), key=lambda i: (rows.column("doc_id")[i].as_py(), text[i]))
-    return fit([text[i] for i in order], rows.column("y").to_numpy().astype(float)[order])
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).join(picked, "doc_id")
+
+    def learn(rows):
+        text, ids = [t or b"" for t in rows.column("t").to_pylist()], rows.column("doc_id").to_pylist()
+        order = sorted(range(len(text)), key=lambda i: (ids[i], text[i]))
+        return fit([text[i] for i in order], rows.column("y").to_numpy().astype(float)[order])
+
+    return fitted(own.select("doc_id", "t", "y"), learn)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
