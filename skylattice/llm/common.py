@@ -83,7 +83,10 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], new: list[T.StructF
 
     One to one, make returns an array per new column, which follow the kept columns.
     Otherwise it returns (row numbers, arrays), and kept columns are taken at those numbers.
+    A new column takes the place of a kept one of its name.
     """
+    made_names = {f.name.lower() for f in new}
+    keep = [c for c in keep if c.lower() not in made_names]
     fields = [df.schema[c] for c in keep]
     names = [*keep, *(f.name for f in new)]
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in fields), *new])
@@ -132,7 +135,7 @@ def fitted(sample: DataFrame, fit):
         yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps(fit(pa.Table.from_batches(got) if got else schema.empty_table()))], pa.binary())})
 
     parts = sample.repartition(1).mapInArrow(run, "state binary").collect()
-    return pickle.loads(parts[0].state)
+    return pickle.loads(parts[0].state) if parts else fit(schema.empty_table())  # an empty sample has no task
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

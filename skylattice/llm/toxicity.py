@@ -13,6 +13,7 @@ class every score is 0.  Repeated rows each get a row.  An empty table gives an
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,14 @@ def sigmoid(z):
 
 
 def swaps(text: bytes, terms: list[str]) -> list[tuple[str, str]]:
-    """(term, other) for each sentence and identity term in it; the other is the next in the list that the sentence lacks."""
+    """(term, other) for each sentence and identity term in it; a hash of the sentence picks the other, from which it goes on to one the sentence lacks."""
     out = []
     place = {t: i for i, t in enumerate(terms)}
     for sentence in SENTENCE.split(text.decode("utf-8", "replace").lower()):
         here = set(WORD.findall(sentence))
         for t in sorted(here & place.keys()):
-            other = next((terms[(place[t] + k) % len(terms)] for k in range(1, len(terms)) if terms[(place[t] + k) % len(terms)] not in here), None)
+            first = place[t] + 1 + zlib.crc32(sentence.encode()) % (len(terms) - 1)
+            other = next((o for k in range(len(terms)) if (o := terms[(first + k) % len(terms)]) not in here), None)
             if other:
                 out.append((t, other))
     return out
@@ -89,7 +91,7 @@ def fit(texts: list[bytes], y: np.ndarray, terms: list[str] = IDENTITY_TERMS, l1
         v = np.bincount(cols, weights=np.bincount(row, weights=v[cols], minlength=n)[row], minlength=m)
         top = np.linalg.norm(v)
         v /= max(top, 1e-300)
-    lip = 0.25 * (top + n) / n + 8 * pairing * (np.bincount(pa_, pn, m) + np.bincount(pb, pn, m)).max(initial=0) + 1e-9
+    lip = 0.25 * (top + n) / n + 4 * pairing * (np.bincount(pa_, pn, m) + np.bincount(pb, pn, m)).max(initial=0) + 1e-9
     w, b, z, zb, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     for _ in range(rounds):
         err = sigmoid(np.bincount(row, weights=z[cols], minlength=n) + zb) - y
