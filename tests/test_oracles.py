@@ -1,4 +1,4 @@
-"""Every registered query with an oracle against DuckDB on the smallest tables."""
+"""Every registered query with an oracle against DuckDB on small tables."""
 
 import glob
 import math
@@ -11,7 +11,7 @@ import pytest
 
 from skylattice import catalogue
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
