@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import fresh, map_texts, table
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -144,13 +144,18 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFram
     return [src.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def held_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, width: int):
+    """A broadcast Block for each run of blocks_of."""
+    for rows in blocks_of(benchmark, id_col, text_col):
+        items = sorted((r.id if r.id is not None else -1, r.text) for r in rows.toLocalIterator())
+        yield docs.sparkSession.sparkContext.broadcast(Block(items, width))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.8) -> DataFrame:
     """A row for each document and item with coverage reached: id, item_id, coverage, n_tiles, matched_words, item_words."""
     new = [T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType()), T.StructField("matched_words", T.LongType()), T.StructField("item_words", T.LongType())]
     out = None
-    for rows in blocks_of(benchmark, item_id, item_text):
-        items = sorted((r.id if r.id is not None else -1, r.text) for r in rows.toLocalIterator())
-        held = docs.sparkSession.sparkContext.broadcast(Block(items, width))
+    for held in held_blocks(docs, benchmark, item_id, item_text, width):
 
         def find(texts, held=held):
             got = [(i, *m) for i, t in enumerate(texts) for m in held.value.matches(t, coverage)]
@@ -163,10 +168,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that hold no item."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **how).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.8) -> DataFrame:
+    """The documents whose own text holds no item, with their own columns; a flag beside each row, so nothing is shuffled and ids may be null or repeat."""
+    columns = [f"`{c}`" for c in docs.columns]
+    flag = fresh("contaminated", docs.columns)
+    for held in held_blocks(docs, benchmark, item_id, item_text, width):
+
+        def find(texts, held=held):
+            return [pa.array([bool(held.value.matches(t, coverage)) for t in texts], pa.bool_())]
+
+        docs = map_texts(docs, text_col, docs.columns, [T.StructField(flag, T.BooleanType())], find).where(~F.col(flag)).select(*columns)
+    return docs
 
 
 def op9_decontamination(spark, sf_dir):

@@ -346,6 +346,9 @@ def test_reordered_passages_are_caught(spark):
     got = {(x.doc_id, x.item_id): (x.coverage, x.n_tiles) for x in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(0, 1): (1.0, 1), (1, 1): (1.0, 2)}
     assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {2, 3, 4, 5}
+    odd = spark.createDataFrame([(None, texts[0]), (None, "clean"), (7, texts[1]), (7, "clean too"), (7, "clean too")], "doc_id long, text string").withColumn("contaminated", F.lit("x"))
+    assert sorted((x.doc_id or 0, x.text, x.contaminated) for x in decontaminate.clean(odd, bench).collect()) == [(0, "clean", "x"), (7, "clean too", "x"), (7, "clean too", "x")]
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
