@@ -1,9 +1,11 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
 Source shares of tokens are raised to a power a and normalised.  a is found by bisection: the least
-power whose weights have no more than the target entropy and repeat no source more than the limit
-(both fall as a grows to 1).  Each bisection round is one small aggregate over the table of sources,
-at 33 powers at once.  Rows fall in blocks by a hash; a source's budget is read as whole passes over
+power whose weights have no more than the target entropy and repeat no source more than the limit.
+Entropy falls as a grows; repeats are (hi/lo)**|1-a|, so the limit bounds a on both sides of 1, and it
+comes first: if the target entropy lies beyond the upper bound, a is that bound, the entropy stays as
+near the target as the limit lets it, and a warning says so.  Each bisection round is one small
+aggregate over the table of sources, at 33 powers at once.  Rows fall in blocks by a hash; a source's budget is read as whole passes over
 its blocks, then a seeded permutation of blocks cut where the budget ends: only the block at the cut is
 ordered by row, so a source with a third of all rows is never sorted by one task.
 
@@ -18,6 +20,7 @@ is read whole.  An empty table, or one without tokens, gives every row once.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 BLOCKS, MAX_REPEATS, SECTIONS, ROUNDS = 4096, 4.0, 32, 6
-TOP_POWER = 8.0
-
 
 def tokens_of(text_col: str):
     """Words between white space: a token count that needs no vocabulary."""
@@ -39,18 +40,23 @@ def power_for(sources: DataFrame, target_entropy: float | None, max_repeats: flo
     if not first.n or first.n == 1:
         return 1.0
     spread = math.log(first.hi / first.lo)
-    # The budget reads the source with the least weight for its share once; the other end repeats (hi/lo)**(1-a).
-    by_limit = 1.0 if spread == 0 else max(0.0, 1 - math.log(max_repeats) / spread)
+    if spread == 0:  # equal sources have equal weights at any power
+        return 1.0
+    # The budget reads the source with the least weight for its share once; the other end repeats (hi/lo)**|1-a|.
+    by_limit, most = max(0.0, 1 - math.log(max_repeats) / spread), 1 + math.log(max_repeats) / spread
     if target_entropy is None:
         return by_limit
     goal = target_entropy * math.log(first.n)
-    lo, hi = 0.0, TOP_POWER
+    lo, hi = 0.0, most
     for _ in range(ROUNDS):
         at = [lo + (hi - lo) * k / SECTIONS for k in range(SECTIONS + 1)]
         log_p = F.log(F.col("tokens") / F.lit(float(first.hi)))
         sums = sources.agg(*(F.sum(F.exp(log_p * a)).alias(f"z{k}") for k, a in enumerate(at)), *(F.sum(F.exp(log_p * a) * log_p * a).alias(f"s{k}") for k, a in enumerate(at))).first()
         entropy = [math.log(sums[f"z{k}"]) - sums[f"s{k}"] / sums[f"z{k}"] for k in range(len(at))]
-        k = next((k for k, h in enumerate(entropy) if h <= goal), SECTIONS)
+        k = next((k for k, h in enumerate(entropy) if h <= goal), None)
+        if k is None:
+            warnings.warn(f"mixing: at most {max_repeats} repeats leave an entropy of {entropy[-1] / math.log(first.n):.4f} of the largest, over the target {target_entropy}", stacklevel=2)
+            return most
         lo, hi = at[max(0, k - 1)], at[k]
     return max(hi, by_limit)
 

@@ -299,6 +299,31 @@ def test_mixing_odd_tables(spark):
     assert small.n_tokens.sum() == 20
 
 
+@pytest.mark.parametrize("sizes", [[1000 + 10 * k for k in range(20)] + [50], [1000 + 10 * k for k in range(20)] + [10], [1000 + 10 * k for k in range(20)], [1000, 1001, 1002], [5000, 700, 20]])
+def test_mixing_repeats_no_source_over_the_limit(spark, sizes):
+    """The power against a scan of all powers that keep the limit, and what is then read."""
+    some = spark.createDataFrame(list(enumerate(sizes)), "key long, tokens long")
+
+    def at(a):
+        w = (np.array(sizes) / max(sizes)) ** a
+        w /= w.sum()
+        return -(w * np.log(w)).sum() / math.log(len(sizes)), (w / sizes).max() / (w / sizes).min()
+
+    spread = math.log(max(sizes) / min(sizes))
+    allowed = [a for a in np.linspace(0, 1 + 2 * math.log(4) / spread, 20001) if at(a)[1] <= 4]
+    reach = [a for a in allowed if at(a)[0] <= 0.95]
+    if reach:
+        a = mixing.power_for(some, 0.95, 4.0)
+    else:
+        with pytest.warns(UserWarning, match="over the target"):
+            a = mixing.power_for(some, 0.95, 4.0)
+    assert a == pytest.approx(min(reach) if reach else max(allowed), rel=2e-4) and at(a)[1] <= 4 * (1 + 1e-9)
+    if len(sizes) == 21:
+        docs = spark.createDataFrame([(i, str(i), "w " * n) for i, n in enumerate(sizes)], "doc_id long, source string, text string")
+        read = mixing.mix(docs, blocks=4).groupBy("source").count().toPandas()
+        assert len(read) == len(sizes) and read["count"].max() <= 5  # four whole passes and the row at the cut
+
+
 # Benchmarks
 
 
