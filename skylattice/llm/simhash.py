@@ -129,35 +129,47 @@ def ball_links(prints: DataFrame, radius: int = 4, n: int | None = None) -> Data
     return dealt.groupBy("pattern").applyInArrow(collide, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row a document: (id, fingerprint as hex, component_id, the smallest id reachable over links)."""
+def _components(classes: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep, component) for classes, (fp, rep), of equal fingerprints."""
+    groups = connected_components(ball_links(classes.select("fp"), radius))
+    return classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, keep: list[str]) -> DataFrame:
+    """(id, the columns to keep, fp)."""
     if radius % 2:
         raise ValueError("the radius must be even")
     if id_col not in docs.columns:
         raise ValueError(f"no column {id_col}")
-    fp = fresh("fp", [id_col])
-    made = map_texts(docs, text_col, [id_col], [T.StructField(fp, T.LongType())], lambda texts: [pa.array(fingerprints(texts, width).view(np.int64))])
-    rows = checkpointed(made.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = ball_links(classes.select("fp"), radius)
-    groups = connected_components(links)
-    named = classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    fp = fresh("fp", [id_col, *keep])
+    made = map_texts(docs, text_col, [id_col, *keep], [T.StructField(fp, T.LongType())], lambda texts: [pa.array(fingerprints(texts, width).view(np.int64))])
+    return made.select(F.col(f"`{id_col}`").alias("id"), *keep, F.col(fp).alias("fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row a document: (id, fingerprint as hex, component_id, the smallest id reachable over links)."""
+    rows = checkpointed(_prints(docs, id_col, text_col, width, radius, []))
+    named = _components(checkpointed(rows.groupBy("fp").agg(F.min("id").alias("rep"))), radius)
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = named.join(smallest, "component").select("fp", "component_id")
     return rows.join(member, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The documents that bear their component's id, one row each; rows without an id stay, as nothing names them."""
-    found = near_duplicates(docs, id_col, text_col, width, radius)
-    drop = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(drop, id_col, "left_anti")
-    n = left.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").select(id_col)
-    # Rows that repeat an id are rare: only they are thinned, to the smallest row.
-    twice = left.join(n, id_col, "left_semi")
-    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = twice.groupBy(id_col).agg(F.min(key).alias("k")).select("k.*").select(*(f"`{c}`" for c in docs.columns))
-    return left.join(n, id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionAll(one)
+    """One row a component: the first by id (nulls last), fingerprint and a hash of the row.
+
+    Judged row by row: ids may repeat or be null.  Rows alike in all columns are one.
+    """
+    mark = [fresh(x, docs.columns) for x in ("row_a", "row_b")]
+    # 128 bits, and which columns are null, as the hash passes over nulls.
+    whole = [*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns)]
+    marked = docs.withColumns({m: F.xxhash64(F.lit(k), *whole) for k, m in enumerate(mark)})
+    prints = _prints(marked, id_col, text_col, width, radius, mark)
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", *mark)
+    named = _components(checkpointed(prints.groupBy("fp").agg(F.min(rank).alias("rep"))), radius)
+    first = named.groupBy("component").agg(F.min("rep").alias("rep")).select(*(f"rep.{m}" for m in mark))
+    # Equal rows meet before the shuffle, so that many of one kind don't fall to one task.
+    return marked.dropDuplicates(mark).join(first, mark, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

@@ -438,6 +438,35 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_judges_rows_where_ids_repeat_or_are_null(spark):
+    r = random.Random(5)
+    text = {k: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(400)) for k in "ABCDEF"}
+    near = text["B"] + " more"
+    rows = [(1, text["A"]), (5, text["A"]), (5, text["B"]), (7, near)]  # 5 is a copy by one row, and leads by another
+    rows += [(9, text["C"]), (9, text["D"]), (9, text["C"]), (9, text["D"])]  # no copies of each other
+    rows += [(None, text["E"]), (None, text["E"]), (None, text["E"] + " x"), (None, text["F"]), (3, text["F"]), (None, None), (None, "")]
+    fp = [plain_fingerprint(t or "") for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if (fp[a] ^ fp[b]).bit_count() <= 4:
+                    label[a] = label[b] = min(label[a], label[b])
+    groups = defaultdict(list)
+    for k, x in enumerate(label):
+        groups[x].append(k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(0)).withColumn("row_a", F.lit(0))
+    kept = simhash.keep_one(docs)
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(groups) == 7
+    for own in groups.values():  # one row each, of the least id
+        assert sum((rows[k] in got) for k in {rows[k]: k for k in own}.values()) == 1
+        least = min((rows[k][0] for k in own if rows[k][0] is not None), default=None)
+        assert any(rows[k] in got and rows[k][0] == least for k in own)
+    many = spark.createDataFrame([(4, text[k]) for k in "ABCDEF" for _ in range(3)], "doc_id long, text string")
+    assert simhash.keep_one(many).count() == 6 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {x.node: x.component for x in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
