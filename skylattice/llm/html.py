@@ -4,7 +4,8 @@ Pages are read by a lenient scanner that closes what HTML lets stand open.  Ever
 is hashed (names, attributes and text); Spark counts on how many pages of a host each hash occurs, once
 a page, and hashes on many pages of a host (min_pages, and min_share of its pages) are its template.
 On the second reading those subtrees go, as do elements that never hold main text, by name or by what
-their class, id or role says.  If a page marks its article (article or main), the text is taken from
+their class, id or role says: by any word in it, but in a marked article, and for prose anywhere, by whole
+tokens alone, and prose never by its id.  If a page marks its article (article or main), the text is taken from
 there, and template removal spares subtrees in it that hold prose (paragraphs, headings, quotations,
 code), because the same article may stand on a site many times.
 
@@ -34,7 +35,7 @@ BROADCAST_ROWS = 200_000
 # Element names of HTML by their part here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
-NEVER = RAW | set("head nav header footer aside form button select option datalist dialog menu object audio video canvas map figure".split())
+NEVER = RAW | set("head nav header footer aside form button select option datalist dialog menu object audio video canvas map".split())
 BLOCKS = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 MAIN = {"article", "main"}
@@ -55,21 +56,22 @@ def attributes(said: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(said)} if said.strip(" /") else {}
 
 
-def says_no(own: dict[str, str]) -> bool:
+def says_no(own: dict[str, str], whole: bool = False, prose: bool = False) -> bool:
+    """Whether attributes mark what is no main text.  whole: only by whole tokens ("comments", not "how-to-comment"); prose: never by id, which names a place to link to."""
     if not own:
         return False
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
         return True
-    return any(not SAYS_NO.isdisjoint(WORDS.findall(own.get(k, "").lower())) for k in ("class", "id", "role"))
+    return any(not SAYS_NO.isdisjoint(own.get(k, "").lower().split() if whole else WORDS.findall(own.get(k, "").lower())) for k in ("class", "id", "role") if not (prose and k == "id"))
 
 
 class Node:
     __slots__ = ("name", "no", "parts", "prose", "hash", "said")
 
-    def __init__(self, name: str, said: str = ""):
+    def __init__(self, name: str, said: str = "", inside: bool = False):
         own = attributes(said)
         self.name, self.said, self.parts = name, said, []
-        self.no = name in NEVER or name not in ("html", "body", "article", "main") and says_no(own)
+        self.no = name in NEVER or name not in ("html", "body", "article", "main") and says_no(own, inside or name in PROSE, name in PROSE)
         self.prose, self.hash = name in PROSE, 0
 
 
@@ -118,7 +120,7 @@ def parse(page: str) -> Node:
                 if k > 0 and stack[k].name in ends:
                     while len(stack) > k:
                         close()
-        node = Node(name, m[3])
+        node = Node(name, m[3], any(n.name in MAIN for n in stack))
         stack[-1].parts.append(node)
         stack.append(node)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:

@@ -193,6 +193,13 @@ def test_page_rules():
     assert t('<article><p title="a>b">x</p><!-- <p>no</p> --></article>') == "x"
 
 
+def test_figures_and_named_prose_stay():
+    t = pages.main_text
+    assert t("<article><p>a</p><figure><img src=x><table><tr><td>1</table><pre>code</pre><figcaption>cap</figcaption></figure></article>") == "a\n\n1\n\ncode\n\ncap"
+    assert t('<article><h2 id="related-work">R</h2><p id="search">s</p><section id="share-prices"><p class="social-history">p</p></section><div id="comments">no</div></article>') == "R\n\ns\n\np"
+    assert t('<body><h2 id="how-to-search">H</h2><p class="lead reply-all">x</p><p class="ad">no</p><div class="site-nav">no</div><div class="cookie-banner">no</div></body>') == "H\n\nx"
+
+
 def test_pages_of_the_tables(spark):
     p = spark.read.parquet(f"{SF}/pages.parquet")
     raw = {r.page_id: r.html for r in p.collect()}
