@@ -6,7 +6,8 @@ a page, and hashes on many pages of a host (min_pages, and min_share of its page
 On the second reading those subtrees go, as do elements that never hold main text, by name or by what
 their class, id or role says: by any word in it, but in a marked article, and for prose anywhere, by whole
 tokens alone, and prose never by its id.  If a page marks its article (article or main), the text is taken from
-there, and template removal spares subtrees in it that hold prose (paragraphs, headings, quotations,
+there, unless those hold less text than the rest of what stays: then they are no more than comments or
+cards, and the whole page counts.  An article can itself be marked as no main text.  Template removal spares subtrees in it that hold prose (paragraphs, headings, quotations,
 code), because the same article may stand on a site many times.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order
@@ -71,7 +72,7 @@ class Node:
     def __init__(self, name: str, said: str = "", inside: bool = False):
         own = attributes(said)
         self.name, self.said, self.parts = name, said, []
-        self.no = name in NEVER or name not in ("html", "body", "article", "main") and says_no(own, inside or name in PROSE, name in PROSE)
+        self.no = name in NEVER or name not in ("html", "body", "main") and says_no(own, inside or name in PROSE or name == "article", name in PROSE)
         self.prose, self.hash = name in PROSE, 0
 
 
@@ -151,18 +152,8 @@ def subtree_hashes(page: str) -> list[int]:
     return sorted(out)
 
 
-def main_text(page: str, template: frozenset | set = frozenset()) -> str:
-    root = parse(page)
-    gone = lambda n, inside: n.no or n.hash in template and not (inside and n.prose) and n.name not in MAIN
-    mains = []
-    todo = [(root, False)]
-    while todo:  # the outermost marked articles
-        node, dead = todo.pop()
-        dead = dead or node.no
-        if node.name in MAIN and not dead:
-            mains.append(node)
-            continue
-        todo += [(p, dead) for p in reversed(node.parts) if not isinstance(p, str)]
+def _blocks(tops: list[Node], template: frozenset | set) -> list[str]:
+    """The blocks of text below the given nodes, without what goes."""
     blocks, line = [], []
 
     def flush():
@@ -171,25 +162,41 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    for top in mains or [root]:
-        inside = bool(mains)
-        todo = [top]
+    for top in tops:
+        todo = [(top, top.name in MAIN)]
         while todo:
-            p = todo.pop()
+            p, inside = todo.pop()
             if p is None:
                 flush()
             elif isinstance(p, str):
                 line.append(p)
-            elif p is top or not gone(p, inside):
+            elif p is top or not (p.no or p.hash in template and not (inside and p.prose) and p.name not in MAIN):
                 block = p.name in BLOCKS
+                inside = inside or p.name in MAIN
                 if block:
                     flush()
-                    todo.append(None)
+                    todo.append((None, inside))
                 elif p.name == "br":
                     line.append(" ")
-                todo += reversed(p.parts)
+                todo += [(x, inside) for x in reversed(p.parts)]
         flush()
-    return "\n\n".join(blocks)
+    return blocks
+
+
+def main_text(page: str, template: frozenset | set = frozenset()) -> str:
+    root = parse(page)
+    mains = []
+    todo = [(root, False)]
+    while todo:  # the outermost marked articles
+        node, dead = todo.pop()
+        dead = dead or node.no
+        if node.name in MAIN and not dead:
+            mains.append(node)
+            continue
+        todo += [(p, dead) for p in reversed(node.parts) if not isinstance(p, str)]
+    whole, marked = _blocks([root], template), _blocks(mains, template)
+    held, all_of = sum(map(len, marked)), sum(map(len, whole))
+    return "\n\n".join(whole if held < all_of - held else marked)
 
 
 def host_of(url: str):

@@ -200,6 +200,13 @@ def test_figures_and_named_prose_stay():
     assert t('<body><h2 id="how-to-search">H</h2><p class="lead reply-all">x</p><p class="ad">no</p><div class="site-nav">no</div><div class="cookie-banner">no</div></body>') == "H\n\nx"
 
 
+def test_articles_that_are_comments_or_cards():
+    t, long = pages.main_text, "the main text of this page, which no element marks"
+    assert t(f'<body><div><p>{long}</p></div><article class="comment"><p>{long} {long}</p></article><article class="card related"><p>c</p></article></body>') == long
+    assert t(f"<body><div><p>{long}</p></div><article><p>short</p></article></body>") == f"{long}\n\nshort"
+    assert t(f'<body><div>few</div><article class="post tag-social"><p>{long}</p><article class="comment"><p>c</p></article></article></body>') == long
+
+
 def test_pages_of_the_tables(spark):
     p = spark.read.parquet(f"{SF}/pages.parquet")
     raw = {r.page_id: r.html for r in p.collect()}
