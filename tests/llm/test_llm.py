@@ -133,6 +133,36 @@ def test_kneser_ney_against_the_formula():
         assert sum(probs) <= 1 + 1e-9
 
 
+def test_language_model_of_many_languages_keeps_all_estimates(spark):
+    """Where all keys fit, the model of all counts; where they don't, its totals and discounts, and probabilities that add up."""
+    r = random.Random(6)
+    texts = [(i, " ".join("".join(r.choices("abcdefgh"[k % 5 :], k=r.randint(1, 4))) for _ in range(60)), f"l{k}") for i, k in enumerate(k for k in range(12) for _ in range(4))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    used = defaultdict(list)
+    for x in docs.where(~common.held_out("doc_id")).collect():
+        used[x.lang].append(x.text.encode())
+    counts = {x: np.unique(language.grams(t)[0], return_counts=True) for x, t in used.items()}
+    want = language.Model(counts)
+    entries = max(sum(len(want.keys[k][j]) for k in want.keys) for j in range(12))
+    full = language.train(docs, cells=12 * entries)  # a dense table of 12 columns held a twelfth of that
+    probe = np.unique(np.concatenate([k for k, _ in counts.values()]))
+    assert full.langs == want.langs and np.allclose(full._look(probe, 4), want._look(probe, 4), atol=1e-5)
+    cut = language.train(docs, cells=12 * 150)
+    own = [language.Model._levels(*counts[x]) for x in cut.langs]
+    for j, x in enumerate(cut.langs):
+        assert 0 < sum(len(cut.keys[k][j]) for k in cut.keys) <= 150
+        chars = own[j][1][0]
+        for ctx in np.unique(probe >> np.uint64(16))[:40]:
+            probs = np.exp(cut._one(j, (ctx << np.uint64(16)) | chars, 4))
+            assert 1 - 1 / cut.size * (cut.size - len(chars)) - 1e-4 <= probs.sum() <= 1 + 1e-4
+        # The discount of the cut model is that of all counts.
+        key, n, total, off = own[j][1]
+        at = np.flatnonzero(np.isin(key, cut.keys[1][j]))
+        if len(at):
+            p = (n[at] - off) / total[at]
+            assert np.exp(cut.logp[1][j]) == pytest.approx(p + (1 - p.sum()) / cut.size, rel=1e-4)
+
+
 def test_language_of_odd_rows(spark):
     docs = docs_of(spark, [*ODD, "123 !!", "日本"])
     got = language.predict(docs, language.train(docs), keep=["doc_id"]).toPandas().set_index("doc_id")
