@@ -163,6 +163,21 @@ def test_language_model_of_many_languages_keeps_all_estimates(spark):
             assert np.exp(cut.logp[1][j]) == pytest.approx(p + (1 - p.sum()) / cut.size, rel=1e-4)
 
 
+def test_a_rare_language_is_calibrated_too(spark):
+    r = random.Random(8)
+    say = lambda letters: " ".join("".join(r.choices(letters, k=4)) for _ in range(20))
+    rows = [(i, say("abcdef"), "common") for i in range(8000)] + [(10_000 + i, say("ghijkl"), "rare") for i in range(60)]
+    rows += [(20_000, rows[0][1], "common")] * 300 + [(20_001, "short", "rare")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.calibration_sample(docs, "doc_id", "text", "lang", 500).toPandas()
+    assert dict(got.lang.value_counts()) == {"common": 500, "rare": 60}
+    assert sorted(map(bytes, got.text[got.lang == "rare"])) == sorted(t.encode() for _, t, x in rows if x == "rare" and t != "short")
+    model = language.train(docs)
+    assert np.isfinite(model.limits).all()
+    # Letters of the rare language in an order it never has.
+    assert model.predict([b"zzqxw vvyzq " * 40, say("ghijkl").encode()])[3].tolist() == [True, False]
+
+
 def test_language_of_odd_rows(spark):
     docs = docs_of(spark, [*ODD, "123 !!", "日本"])
     got = language.predict(docs, language.train(docs), keep=["doc_id"]).toPandas().set_index("doc_id")
