@@ -178,6 +178,15 @@ def test_a_rare_language_is_calibrated_too(spark):
     assert model.predict([b"zzqxw vvyzq " * 40, say("ghijkl").encode()])[3].tolist() == [True, False]
 
 
+def test_letters_of_all_planes_count(spark):
+    low = language.letter_table()
+    assert all((low[c] != 0) == chr(c).isalpha() for c in range(0x110000)) and low[0x1F600] == 0
+    assert not (set(low[0x10000:].tolist()) - {0}) & set(low[:0x10000].tolist())  # folded letters meet none of 16 bits
+    texts = ["\U00020001\U0002a6b0\U00030002" * 20, "plain words of letters " * 5]
+    model = language.Model({x: np.unique(language.grams([t.encode()])[0], return_counts=True) for x, t in zip(("rare", "plain"), texts, strict=True)})
+    assert model.predict([t.encode() for t in texts])[0] == ["rare", "plain"] and model.predict(["\U0002a6b0".encode()])[0] != ["und"]
+
+
 def test_language_of_odd_rows(spark):
     docs = docs_of(spark, [*ODD, "123 !!", "日本"])
     got = language.predict(docs, language.train(docs), keep=["doc_id"]).toPandas().set_index("doc_id")
