@@ -1,12 +1,12 @@
 """Catalogues: positional joins, components, event and source summaries, cross-matches, names and lists."""
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sky import flat_separation, separation
+from .graph import connected_components, settled
 
 
 def _with_cell(df: DataFrame, ra: str, dec: str, edge: float) -> DataFrame:
@@ -27,34 +27,6 @@ def near_pairs(left: DataFrame, right: DataFrame, arcsec: float, lon: tuple[str,
     return a.join(b, ["cx", "cy", "cz"]).select("a", "b", sep.alias("sep")).where(F.col("sep") <= arcsec)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared checkpoint folder, so that later steps don't repeat it."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable; nodes has ids, pairs (a, b).
-
-    Labels take their neighbours' least and then their label's label, so paths halve each round.
-    """
-    edges = settled(pairs.where("a <> b").select("a", "b").unionAll(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        least = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("low"))
-        near = labels.join(least, labels.id == least.a, "left").select("id", "component", F.least("component", "low").alias("new"))
-        up = labels.select(F.col("id").alias("new"), F.col("component").alias("jump"))
-        after = settled(near.join(up, "new").select("id", F.least("new", "jump").alias("component"), (F.least("new", "jump") < F.col("component")).alias("moved")))
-        labels = after.select("id", "component")
-        if not after.where("moved").limit(1).count():
-            return labels
-
-
 def sky_components(df: DataFrame, arcsec: float, by: str | None = None) -> DataFrame:
     """Adds `component` to rows (id, ra, dec): connected positions, apart for each value of `by`.
 
@@ -64,8 +36,8 @@ def sky_components(df: DataFrame, arcsec: float, by: str | None = None) -> DataF
     df = settled(df)
     spots = settled(df.groupBy(*key, "ra", "dec").agg(F.min("id").alias("spot")))
     pairs = _keyed_pairs(spots, by, arcsec) if by else near_pairs(spots, spots, arcsec, lid="spot", rid="spot")
-    found = components(spots.select(F.col("spot").alias("id")), pairs.select("a", "b"))
-    named = spots.join(found, spots.spot == found.id).drop("id", "spot")
+    found = connected_components(pairs)
+    named = spots.join(found, spots.spot == found.node, "left").select(*key, "ra", "dec", F.coalesce("component", "spot").alias("component"))
     return df.join(named, [*key, "ra", "dec"])
 
 
