@@ -1,19 +1,20 @@
 """Chat formatting by schema fingerprints.
 
 A record's nested field paths (array places as []) are hashed; the fingerprint selects a declarative
-mapping that turns prompt, instruction, message-list and row-a-turn layouts into canonical turns.  Each
-turn becomes a segment of the template
+mapping that turns prompt, instruction, message-list and row-a-turn layouts into canonical turns.  Turns
+of a conversation are shuffled by its id and written in order, one at a time, so that no conversation is
+held in memory.  Each turn becomes a segment of the template
 
     <|im_start|>ROLE\\n TEXT <|im_end|>\\n          (without the blanks)
 
 in which control strings inside texts are escaped: a backslash is doubled and <| becomes <\\|, so the
-control strings stand only where the template puts them, and reading back is exact.  Segments of a
-conversation are shuffled by its id and read in order, one at a time, so that no conversation is held
-in memory.
+control strings stand only where the template puts them, and reading back is exact.
 
-Defined results: null texts and roles are empty; turns of one number stand by role, then text;
-repeated rows are turns of their own; a null conversation id is one conversation; records without a
-mapping raise an error that shows their paths.  An empty table gives an empty result.
+Defined results: null texts and roles are empty; turns of one number stand by their place in the
+record, role, then text; repeated rows are turns of their own; a null conversation id is one
+conversation.  A record that is no JSON object, or whose field paths have no mapping, gives no turn:
+it is set apart with the reason, and a conversation of such records alone has no row.  An empty table
+gives an empty result.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_conf, table  # noqa: F401
+from .common import TEXT, bounded_batches, small_slices, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-SEGMENT = re.compile(r"<\|im_start\|>(.*)\n((?:[^<]|<(?!\|))*)<\|im_end\|>\n")
 # Mappings: the field paths of a layout, and where its turns come from.  A list under "each" is one turn an
 # element; "turns" lists fixed turns as (role, path); "join" puts an optional input under an instruction.
 MAPPINGS = [
@@ -65,14 +65,16 @@ def registry(mappings=MAPPINGS) -> dict[int, dict]:
     return {fingerprint(m["paths"]): m for m in mappings}
 
 
-def canonical_turns(record: dict, known: dict[int, dict]) -> list[tuple[str, str]]:
-    """(role, text) of each turn; an empty list of messages is a conversation without turns."""
+def canonical_turns(record, known: dict[int, dict]) -> list[tuple[str, str]] | str:
+    """(role, text) of each turn, or why there is none; an empty list of messages is a conversation without turns."""
+    if not isinstance(record, dict):
+        return "no JSON object"
     paths = field_paths(record)
     m = known.get(fingerprint(paths))
     if m is None:
         if len(record) == 1 and any(m.get("each") in record and record[m["each"]] == [] for m in known.values()):
             return []
-        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
+        return f"no mapping for the field paths {sorted(paths)}"
     said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if "each" in m:
         return [(ROLES.get(r := said(x.get(m["role"])), r), said(x.get(m["text"]))) for x in record[m["each"]]]
@@ -103,33 +105,70 @@ def segment(role: str, text: str) -> str:
     return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
 
 
-def format_records(records: DataFrame, id_col: str, order_col: str, json_col: str, mappings=MAPPINGS) -> DataFrame:
-    """A row a turn: (id, order, place in the record, segment, loss_start, loss_end): the loss mask is characters of the segment."""
+def read_segment(s: str) -> tuple[str, str]:
+    """(role, text) of a segment."""
+    head, _, body = s.removeprefix(START).partition("\n")
+    text = body.removesuffix(f"{END}\n")
+    if len(head) + len(text) + len(START) + len(END) + 2 != len(s) or "<|" in head or "<|" in text:
+        raise ValueError(f"no segment: {s[:80]!r}")
+    return unescape_role(head), unescape(text)
+
+
+def turns_of(records: DataFrame, id_col: str, order_col: str, json_col: str, mappings=MAPPINGS) -> DataFrame:
+    """A row a turn: (id, turn, place in the record, role, text, problem); a record set apart has a problem and no role or text."""
+    bounded_batches(records.sparkSession)
     known = registry(mappings)
-    src = records.select(F.col(id_col).cast("long").alias("id"), F.col(order_col).cast("long").alias("turn"), F.col(json_col).alias("record"))
+    src = records.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{order_col}`").cast("long").alias("turn"), F.col(f"`{json_col}`").cast("string").alias(TEXT))
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+
+    def parsed(x):
+        try:
+            return json.loads(x or "null")
+        except ValueError:
+            return None
+
+    def run(batches):
+        for batch in batches:
+            for part in small_slices(batch, TEXT):
+                rows, made = [], []
+                for i, x in enumerate(part.column(TEXT).to_pylist()):
+                    got = canonical_turns(parsed(x), known)
+                    own = [(0, None, None, got)] if isinstance(got, str) else [(k, role, text, None) for k, (role, text) in enumerate(got)]
+                    rows += [i] * len(own)
+                    made += own
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("turn").take(at), *(pa.array([m[c] for m in made], k) for c, k in enumerate(kinds))], names=["id", "turn", "place", "role", "text", "problem"])
+
+    return src.mapInArrow(run, "id long, turn long, place long, role string, text string, problem string")
+
+
+def set_apart(turns: DataFrame) -> DataFrame:
+    """(id, turn, problem) of records without turns."""
+    return turns.where("problem is not null").select("id", "turn", "problem")
+
+
+def format_turns(turns: DataFrame) -> DataFrame:
+    """A row a turn, each conversation's in order in one partition: (id, segment, loss_start, loss_end): the loss mask is characters of the segment."""
+    order = ["id", "turn", "place", "role", "text"]
+    dealt = turns.where("problem is null").select(*order).repartition("id").sortWithinPartitions(*order)
 
     def run(batches):
         for batch in batches:
-            rows, cols = [], [[] for _ in range(4)]
-            for i, x in enumerate(batch.column("record").to_pylist()):
-                for k, (role, text) in enumerate(canonical_turns(json.loads(x), known)):
+            for part in small_slices(batch, "text"):
+                made = []
+                for role, text in zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True):
                     s = segment(role, text)
                     a = len(START) + len(escape_role(role)) + 1 if role == "assistant" else 0
-                    rows.append(i)
-                    for c, v in zip(cols, (k, s, a, len(s) - len(END) - 1 if a else 0), strict=True):
-                        c.append(v)
-            at = pa.array(rows, pa.int64())
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("turn").take(at), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "turn", "place", "segment", "loss_start", "loss_end"])
+                    made.append((s, a, len(s) - len(END) - 1 if a else 0))
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([m[c] for m in made], k) for c, k in enumerate((pa.string(), pa.int64(), pa.int64())))], names=["id", "segment", "loss_start", "loss_end"])
 
-    return src.mapInArrow(run, "id long, turn long, place long, segment string, loss_start long, loss_end long")
+    return dealt.mapInArrow(run, "id long, segment string, loss_start long, loss_end long")
 
 
-def digests(segments: DataFrame) -> DataFrame:
-    """Read the formatted conversations back, turn by turn in order: a row a conversation."""
+def digests(formatted: DataFrame) -> DataFrame:
+    """Read the formatted conversations back, turn by turn, in the order that format_turns left: a row a conversation."""
     kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    order = ["id", "turn", "place", "segment"]
-    dealt = segments.select(*order, "loss_start", "loss_end").repartition("id").sortWithinPartitions(*order)
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches):
         now, state = None, None
@@ -138,27 +177,26 @@ def digests(segments: DataFrame) -> DataFrame:
             n, turns, chars, loss, size = state
             return {"conv_id": now[0], "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size}
 
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         for batch in batches:
             done = []
-            for key, s, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "segment", "loss_start", "loss_end")), strict=True):
-                if now != (key,):
-                    if now is not None:
-                        done.append(closed())
-                    now, state = (key,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                m = SEGMENT.fullmatch(s)
-                role, text = unescape_role(m[1]), unescape(m[2])
-                loss = unescape(s[a:b])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(s)
+            for part in small_slices(batch, "segment"):
+                for key, s, a, b in zip(*(part.column(c).to_pylist() for c in ("id", "segment", "loss_start", "loss_end")), strict=True):
+                    if now != (key,):
+                        if now is not None:
+                            done.append(closed())
+                        now, state = (key,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    role, text = read_segment(s)
+                    loss = unescape(s[a:b])
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    state[2] += len(loss)
+                    state[3].update(loss.encode())
+                    state[4] += len(s)
             yield pa.RecordBatch.from_pylist(done, schema)
         if now is not None:
             yield pa.RecordBatch.from_pylist([closed()], schema)
 
-    return dealt.mapInArrow(run, kinds)
+    return formatted.mapInArrow(run, kinds)
 
 
 def op6_chat_formatting(spark, sf_dir):
@@ -167,7 +205,7 @@ def op6_chat_formatting(spark, sf_dir):
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = given.unionByName(own)
     record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    return digests(format_records(rows.withColumn("record", record), "conv_id", "turn", "record"))
+    return digests(format_turns(turns_of(rows.withColumn("record", record), "conv_id", "turn", "record")))
 
 
 OP6_SQL = """

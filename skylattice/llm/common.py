@@ -1,11 +1,10 @@
-"""Helpers that several operators share: checkpoints, Arrow batches, label samples, components."""
+"""Helpers that several operators share: Arrow batches of texts, label samples, fitting in one task."""
 
 from __future__ import annotations
 
 import contextlib
 import pickle
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,30 +13,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import connected_components, joined_evenly, salted, shared_folder  # noqa: F401
+from ..operators.graph import settled as checkpointed  # noqa: F401
+
 TEXT = "__text_bytes"
 SLICE_BYTES = 1 << 20
+BATCH_BYTES, DEFAULT_BATCH = "4m", "67108864b"  # the second is what Spark says where nothing is set
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, only a local master gets one of its own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="checkpoints-")
-    return shared.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES from now on, unless the session has its own limit: Spark's default is 256 MB a batch, and a worker should hold few whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 @contextlib.contextmanager
@@ -78,35 +70,41 @@ def small_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
-def map_texts(df: DataFrame, text_col: str, keep: list[str], new: list[T.StructField], make, one_to_one: bool = True) -> DataFrame:
-    """Run make(texts as UTF-8 bytes, "" for null) over slices of Arrow batches.
+def map_texts(df: DataFrame, text_col: str, keep: list[str], new: list[T.StructField], make, one_to_one: bool = True, given: Sequence[str] = ()) -> DataFrame:
+    """Run make(texts as UTF-8 bytes, "" for null; arrays of the given columns) over slices of Arrow batches.
 
     One to one, make returns an array per new column, which follow the kept columns.
     Otherwise it returns (row numbers, arrays), and kept columns are taken at those numbers.
     A new column takes the place of a kept one of its name.
     """
+    bounded_batches(df.sparkSession)
     made_names = {f.name.lower() for f in new}
     keep = [c for c in keep if c.lower() not in made_names]
     fields = [df.schema[c] for c in keep]
     names = [*keep, *(f.name for f in new)]
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in fields), *new])
-    src = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").cast("binary").alias(TEXT))
+    more = [f"{TEXT}_{k}" for k in range(len(given))]
+    src = df.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"`{c}`").alias(m) for c, m in zip(given, more, strict=True)), F.col(f"`{text_col}`").cast("string").cast("binary").alias(TEXT))
 
     def run(batches):
         for batch in batches:
             for part in small_slices(batch, TEXT):
                 texts = [x or b"" for x in part.column(TEXT).to_pylist()]
-                if one_to_one:
-                    made, rows = make(texts), None
-                else:
-                    rows, made = make(texts)
-                    rows = pa.array(rows, pa.int64())
+                got = make(texts, *(part.column(m) for m in more))
+                rows, made = (None, got) if one_to_one else (pa.array(got[0], pa.int64()), got[1])
                 old = [part.column(c) if rows is None else part.column(c).take(rows) for c in keep]
                 yield pa.RecordBatch.from_arrays([*old, *(pa.array(x) if not isinstance(x, pa.Array) else x for x in made)], names=names)
 
     return src.mapInArrow(run, schema)
 
 
+def revived(kind: type, state: dict):
+    """An object of its state: states alone are broadcast, since workers need no copy of this package."""
+    out = kind.__new__(kind)
+    vars(out).update(state)
+    return out
+
+
 def label_sample(labels: DataFrame, value_col: str, per_class: int) -> DataFrame:
     """A bounded sample of training labels: (doc_id, y), at most per_class ids a class, in hash order.
 
@@ -123,6 +121,13 @@ def label_sample(labels: DataFrame, value_col: str, per_class: int) -> DataFrame
     return pick(0).unionAll(pick(1))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, value_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, y, t): the sample's texts, one an id (the first by a hash, where an id has several rows), so rows are bounded by the sample."""
+    picked = label_sample(labels, value_col, per_class)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.col("t"))).alias("one")).select("doc_id", "y", F.col("one.t").alias("t"))
+
+
 def fitted(sample: DataFrame, fit):
     """fit(the sample as one Arrow table), run by one task, so that no training data come to the driver.
 
@@ -138,36 +143,6 @@ def fitted(sample: DataFrame, fit):
     return pickle.loads(parts[0].state) if parts else fit(schema.empty_table())  # an empty sample has no task
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of an edge.
-
-    Alternating large-star and small-star steps: nodes hang on ever smaller neighbours until each
-    component is one star.  Minima are pre-aggregated and joined back, so a hub is no single group;
-    every round is checkpointed, so a lost executor costs one round.  Null ends and loops are ignored.
-    """
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
-
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
-    e = checkpointed(e.where("x is not null and y is not null and x <> y").select("u", "v").distinct())
-    seen = state(e)
-    while seen[0]:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        now = state(e)
-        if now == seen:
-            break
-        seen = now
-    # The last round left stars: every u hangs on its root v.
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over undirected edges a[i]-b[i]."""
     label = np.arange(n)

@@ -4,8 +4,10 @@ Two fingerprints within radius r share a variant within r/2 of both, and whateve
 variant is within r, so variants find every pair and nothing else.  The variants of a fingerprint
 are far larger than itself, so a fingerprint is shuffled only to the leading bit patterns its
 variants begin with; the task that owns a pattern writes out the rest of the ball, groups equal
-variants, verifies the colliding pairs and returns one star for each connected group.  Equal
-fingerprints meet once, before that.
+variants, verifies the colliding pairs and returns one star for each connected group.  A pattern's
+task holds eight bytes a fingerprint, and their variants in pieces of bounded size.  Equal fingerprints
+meet once, before that; rows of one fingerprint, and fingerprints of one component, are dealt by a salt
+as well, so that no group of copies falls to one task.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, which links
 like any other; repeated rows each get a row; a null id never names a component, so a component of
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, connected_components, fresh, local_components, map_texts
+from .common import checkpointed, connected_components, fresh, joined_evenly, local_components, map_texts, salted
 
 BITS = 64
 VARIANTS_A_TASK = 1 << 21  # variants that one pattern's task writes out at a time
@@ -130,9 +132,10 @@ def ball_links(prints: DataFrame, radius: int = 4, n: int | None = None) -> Data
 
 
 def _components(classes: DataFrame, radius: int) -> DataFrame:
-    """(fp, rep, component) for classes, (fp, rep), of equal fingerprints."""
+    """(fp, rep, component, salt) for classes, (fp, rep), of equal fingerprints."""
     groups = connected_components(ball_links(classes.select("fp"), radius))
-    return classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    return salted(named, "salt")
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, keep: list[str]) -> DataFrame:
@@ -148,11 +151,12 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row a document: (id, fingerprint as hex, component_id, the smallest id reachable over links)."""
-    rows = checkpointed(_prints(docs, id_col, text_col, width, radius, []))
+    rows = salted(_prints(docs, id_col, text_col, width, radius, []), "salt")
     named = _components(checkpointed(rows.groupBy("fp").agg(F.min("id").alias("rep"))), radius)
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    member = named.join(smallest, "component").select("fp", "component_id")
-    return rows.join(member, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = joined_evenly(named, smallest, ["component"], "salt").select("fp", "component_id")
+    found = joined_evenly(rows, member, ["fp"], "salt")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:

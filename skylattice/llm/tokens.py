@@ -8,8 +8,10 @@ the sorted bounds puts tokens in sections.  A token over a boundary belongs, by
 - `share`: to each section by its share of the token's bytes.
 Under every rule a document's sections add up to its tokens.
 
-Defined results: null text counts as empty; an empty text is one empty section; repeated rows each
-get their sections.  An empty table gives an empty result.
+Defined results: null text counts as empty; an empty text is one empty section; bytes that are no UTF-8
+count as the replacement character, in tokens, lines and characters alike; repeated rows each get their
+sections.  A result column whose name the id has is named with an underscore before it.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import fresh, map_texts, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that goes with that vocabulary.
@@ -76,8 +78,9 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         enc, size = encoder(held.value)
         rows, cols = [], [[] for _ in range(5)]
         for i, t in enumerate(texts):
-            raw = np.frombuffer(t, np.uint8)
-            ids = np.asarray(enc.encode_to_numpy(t.decode("utf-8", "replace"), disallowed_special=()), np.int64)
+            text = t.decode("utf-8", "replace")
+            raw = np.frombuffer(text.encode(), np.uint8)  # what is encoded and what is cut are the same bytes
+            ids = np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int64)
             bounds = np.r_[0, np.flatnonzero(raw == 10) + 1, len(raw)]
             if len(bounds) > 2 and bounds[-2] == len(raw):
                 bounds = bounds[:-1]
@@ -89,7 +92,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.concatenate(rows), [pa.array(np.concatenate(c)) for c in cols]
 
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.LongType() if whole else T.DoubleType(), T.LongType())
-    names = ("section", "start_char", "end_char", "n_tokens", "n_crossing")
+    names = [fresh(x, [id_col]) for x in ("section", "start_char", "end_char", "n_tokens", "n_crossing")]
     return map_texts(docs, text_col, [id_col], [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)], run, one_to_one=False)
 
 

@@ -3,17 +3,25 @@
 Learnt on a bounded sample of labelled rows (MAX_PER_CLASS a class, in hash order): logistic loss on
 the presence of words, an L1 penalty, and a logit-pairing penalty: in every labelled sentence with an
 identity term the term is swapped for another, and the squared change of the sentence's logit is
-penalised, so that neutral mentions of groups stay without effect.  The intercept is then moved so that 0.5 is
-the cut of best F0.5 on the sample.  Scoring reads whole texts.
+penalised, so that neutral mentions of groups stay without effect.  Identity terms are given lists, one
+a language (a term is swapped within its list), and terms mined from the labelled rows: the words that
+stand about as often in toxic rows as in others, which name what is spoken of, not what is said of it; a
+mined term is swapped for one of the same document, so for one of its language.  The intercept is then
+moved so that 0.5 is the cut of best F0.5 on the sample.  Scoring reads whole texts.
+
+Words, terms and swaps are counted by Spark; the one task that fits gets word numbers, never texts.
 
 Defined results: null and empty texts score as a text without known words; with no labels of either
-class every score is 0.  Repeated rows each get a row.  An empty table gives an empty result.
+class every score is 0 or 1, as the labels there are.  An id with several rows is learnt from one of
+them, the first by a hash of the text.  Repeated rows each get a row.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +29,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, fresh, held_out, label_sample, map_texts, table
+from .common import checkpointed, fitted, fresh, held_out, labelled_texts, map_texts, table
 
 MAX_PER_CLASS = 3000  # labelled rows learnt from, a class
 MAX_WORDS = 1 << 17  # words of the model, the most frequent in the sample
+MINED, MINED_ROWS, MINED_RATIO = 200, 20, 1.25  # mined terms: so many at most, in so many rows of each class at least, and so evenly in both
 L1, PAIRING = 2e-4, 1.0
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
-# Identity terms that are exchanged.
-IDENTITY_TERMS = (
-    "american asian atheist bisexual black blind buddhist canadian catholic chinese christian deaf disabled elderly european female gay "
-    "hindu hispanic homosexual immigrant indian japanese jewish latino lesbian male mexican migrant muslim paralyzed protestant queer "
-    "refugee straight taoist transgender white"
-).split()
+# Identity terms that are exchanged, by language.
+IDENTITY_TERMS = {
+    "en": (
+        "american asian atheist bisexual black blind buddhist canadian catholic chinese christian deaf disabled elderly european female gay "
+        "hindu hispanic homosexual immigrant indian japanese jewish latino lesbian male mexican migrant muslim paralyzed protestant queer "
+        "refugee straight taoist transgender white"
+    ).split(),
+    "de": "ausländer behinderte buddhisten christen deutsche flüchtlinge frauen homosexuelle hindus inder japaner juden katholiken lesben männer migranten muslime polen protestanten schwarze schwule türken weiße".split(),
+    "es": "ateos budistas católicos chinos cristianos discapacitados extranjeros gays gitanos hindúes hombres homosexuales inmigrantes judíos lesbianas mexicanos mujeres musulmanes negros protestantes refugiados".split(),
+    "fr": "athées arabes bouddhistes catholiques chinois chrétiens étrangers femmes handicapés hindous hommes homosexuels immigrés juifs lesbiennes musulmans noirs protestants réfugiés".split(),
+}
+
+
+class Model(NamedTuple):
+    """Weights of words and the intercept; the mined terms, and how many swaps the penalty counted."""
+
+    weights: dict[str, float]
+    base: float
+    mined: tuple[str, ...] = ()
+    swaps: int = 0
 
 
 def words_of(text: bytes) -> set[str]:
@@ -44,49 +67,36 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def swaps(text: bytes, terms: list[str]) -> list[tuple[str, str]]:
+def swaps(text: bytes, lists: list[list[str]], mined: set[str] = frozenset()) -> list[tuple[str, str]]:
     """(term, other) for each sentence and identity term in it; a hash of the sentence picks the other, from which it goes on to one the sentence lacks."""
     out = []
-    place = {t: i for i, t in enumerate(terms)}
-    for sentence in SENTENCE.split(text.decode("utf-8", "replace").lower()):
-        here = set(WORD.findall(sentence))
-        for t in sorted(here & place.keys()):
-            first = place[t] + 1 + zlib.crc32(sentence.encode()) % (len(terms) - 1)
-            other = next((o for k in range(len(terms)) if (o := terms[(first + k) % len(terms)]) not in here), None)
+    low = text.decode("utf-8", "replace").lower()
+    place = {t: (own, k) for own in lists for k, t in enumerate(own)}
+    here = sorted(mined & set(WORD.findall(low))) if mined else []
+    place |= {t: (here, k) for k, t in enumerate(here) if t not in place}
+    for sentence in SENTENCE.split(low):
+        own = set(WORD.findall(sentence))
+        pick = zlib.crc32(sentence.encode())
+        for t in sorted(own & place.keys()):
+            terms, at = place[t]
+            n = len(terms)
+            first = at + 1 + pick % max(1, n - 1)
+            other = next((o for k in range(n) if (o := terms[(first + k) % n]) not in own), None)
             if other:
                 out.append((t, other))
     return out
 
 
-def fit(texts: list[bytes], y: np.ndarray, terms: list[str] = IDENTITY_TERMS, l1: float = L1, pairing: float = PAIRING, rounds: int = 400) -> tuple[dict[str, float], float]:
-    """Weights of words, and the intercept, by accelerated proximal gradient steps."""
+def fit(ids: list[np.ndarray], y: np.ndarray, m: int, pairs: dict[tuple[int, int], int], l1: float = L1, pairing: float = PAIRING, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of m words, and the intercept, by accelerated proximal gradient steps; ids: the numbers of each row's words."""
     if len(set(y.tolist())) < 2:
-        return {}, 500.0 if len(y) and y[0] else -500.0
-    # Words become numbers text by text, so that no more than one text's strings are held beside the vocabulary.
-    number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(words_of(t))), np.int32) for t in texts]
-    row, cols = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), np.concatenate(ids)
-    names = list(number)
-    seen = np.bincount(cols, minlength=len(names))
-    often = [i for i in range(len(names)) if seen[i] > 1 or len(ids) < 100]
-    often = sorted(often, key=lambda i: (-seen[i], names[i]))[:MAX_WORDS]
-    vocab = [names[i] for i in often] + [t for t in terms if t not in number]
-    place = np.full(len(names), -1, np.int32)
-    place[often] = np.arange(len(often))
-    kept = place[cols] >= 0
-    row, cols = row[kept], place[cols[kept]]
-    col = {w: i for i, w in enumerate(vocab)}
-    del number, names, ids, place, kept
-    pairs: dict[tuple[int, int], int] = {}
-    for t in texts:
-        for s, o in swaps(t, list(terms)):
-            if s in col and o in col:
-                pairs[col[s], col[o]] = pairs.get((col[s], col[o]), 0) + 1
+        return np.zeros(m), 500.0 if len(y) and y[0] else -500.0
+    n = len(ids)
+    row, cols = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in ids]), np.concatenate(ids).astype(np.int32)
     pa_, pb = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     pn = np.array(list(pairs.values()), float) / max(1, sum(pairs.values()))
-    n, m = len(texts), len(vocab)
     # The step: a bound on the curvature, from the longest text's share and the pairs.
-    v = np.ones(m)
+    v, top = np.ones(m), 0.0
     for _ in range(20):
         v = np.bincount(cols, weights=np.bincount(row, weights=v[cols], minlength=n)[row], minlength=m)
         top = np.linalg.norm(v)
@@ -106,7 +116,7 @@ def fit(texts: list[bytes], y: np.ndarray, terms: list[str] = IDENTITY_TERMS, l1
         z, zb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
     logit = np.bincount(row, weights=w[cols], minlength=n) + b
-    return {vocab[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b - best_cut(logit, y))
+    return w, float(b - best_cut(logit, y))
 
 
 def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
@@ -120,21 +130,59 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> tuple[dict[str, float], float]:
-    picked = label_sample(labels, "toxic", per_class)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).join(picked, "doc_id")
+def mined_terms(words: DataFrame, most: int = MINED, rows: int = MINED_ROWS, ratio: float = MINED_RATIO) -> list[str]:
+    """Words of (word, n, toxic) that stand in enough rows of both classes, and in like shares of them, the most frequent first."""
+    size = words.agg(F.max("rows").alias("rows"), F.max("toxic_rows").alias("toxic")).first()
+    if not size.rows or not size.toxic or size.rows == size.toxic:
+        return []
+    share = (F.col("toxic") / F.lit(float(size.toxic))) / ((F.col("n") - F.col("toxic")) / F.lit(float(size.rows - size.toxic)))
+    good = words.where((F.col("toxic") >= rows) & (F.col("n") - F.col("toxic") >= rows) & (F.length("word") > 2)).where(share.between(1 / ratio, ratio))
+    return [r.word for r in good.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS, terms: dict[str, list[str]] | None = None, pairing: float = PAIRING, mined: int = MINED, l1: float = L1, rounds: int = 400) -> Model:
+    """terms: identity terms by language (IDENTITY_TERMS where None); mined: mined terms at most."""
+    lists = list((IDENTITY_TERMS if terms is None else terms).values())
+    sample = checkpointed(labelled_texts(docs, labels, "toxic", per_class, id_col, text_col))
+    split = map_texts(sample, "t", ["doc_id", "y"], [T.StructField("word", T.StringType())], lambda texts: _flat([sorted(words_of(t)) for t in texts], pa.string()), one_to_one=False)
+    n, toxic = sample.agg(F.count("*"), F.sum("y")).first()
+    least = 2 if n >= 100 else 1
+    words = checkpointed(split.groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).where(F.col("n") >= least).withColumns({"rows": F.lit(n), "toxic_rows": F.lit(toxic or 0)}))
+    found = mined_terms(words, mined) if mined else []
+    vocabulary = [r.word for r in words.orderBy(F.desc("n"), "word").limit(MAX_WORDS).select("word").collect()]
+    vocabulary += sorted({t for own in lists for t in own} - set(vocabulary))
+    held = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(vocabulary)}, lists, set(found)))
+
+    def numbers(texts):
+        return [pa.array([sorted(i for w in words_of(t) if (i := held.value[0].get(w)) is not None) for t in texts], pa.list_(pa.int32()))]
+
+    def swapped(texts):
+        at, own, mine = held.value
+        rows, (a, b) = _flat([[(at[s], at[o]) for s, o in swaps(t, own, mine) if s in at and o in at] for t in texts], None)
+        return rows, [pa.array(a, pa.int32()), pa.array(b, pa.int32())]
+
+    pairs = map_texts(sample, "t", [], [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())], swapped, one_to_one=False).groupBy("a", "b").count()
+    counted = {(r.a, r.b): r["count"] for r in pairs.collect()}  # at most the square of the terms
+
+    def learn(given):
+        order = np.argsort(given.column("doc_id").to_numpy(), kind="stable")
+        ids = [given.column("ids")[int(i)].values.to_numpy() for i in order]
+        return fit(ids, given.column("y").to_numpy().astype(float)[order], len(vocabulary), counted, l1, pairing, rounds)
+
+    w, b = fitted(map_texts(sample, "t", ["doc_id", "y"], [T.StructField("ids", T.ArrayType(T.IntegerType()))], numbers), learn)
+    return Model({vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, b, tuple(found), sum(counted.values()))
 
-    def learn(rows):
-        text, ids = [t or b"" for t in rows.column("t").to_pylist()], rows.column("doc_id").to_pylist()
-        order = sorted(range(len(text)), key=lambda i: (ids[i], text[i]))
-        return fit([text[i] for i in order], rows.column("y").to_numpy().astype(float)[order])
 
-    return fitted(own.select("doc_id", "t", "y"), learn)
+def _flat(lists: list[list], kind) -> tuple[np.ndarray, list]:
+    """Row numbers and the items of all lists; pairs (kind None) as two columns."""
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = [x for own in lists for x in own]
+    return rows, [pa.array(flat, kind)] if kind is not None else [[x[k] for x in flat] for k in (0, 1)]
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model | tuple[dict[str, float], float], text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The kept columns (all by default) and the probability of being toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model[:2]))
 
     def run(texts):
         weight, base = held.value

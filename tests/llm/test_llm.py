@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -25,12 +26,25 @@ def docs_of(spark, texts, lang="en", source="s"):
     return spark.createDataFrame([(i, t, lang, source, len(t or ""), 0.0, 0) for i, t in enumerate(texts)], DOC)
 
 
+LEARNT = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]  # ids that are not held out
 ODD = [None, "", " ", "\n\n", "é", "word", "a b c d e", "x" * 300_000, "w " * 60_000, "same text here now", "same text here now"]
 
 
 # Tokens
 
 
+def test_tokens_of_what_is_no_utf8(spark):
+    """Tokens, lines and characters are those of the text with replacement characters."""
+    raw = b"\xff" * 30 + b" ab\ncd ef\n\xfe gh"
+    df = spark.createDataFrame([(1, raw)], "section long, text binary").select("section", F.col("text").cast("string").alias("text"))
+    got = sorted((r for r in tokens.section_tokens(df, "section").collect()), key=lambda r: r._section)
+    text = raw.decode("utf-8", "replace")
+    enc, _ = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    assert sum(r.n_tokens for r in got) == len(enc.encode_ordinary(text)) and [r.section for r in got] == [1, 1, 1]
+    assert [text[r.start_char : r.end_char] for r in got] == text.splitlines(keepends=True)
+    assert sum(r.n_tokens for r in got[1:]) == len(enc.encode_ordinary("cd ef\n\ufffd gh"))
+
+
 def test_section_tokens_add_up_and_follow_the_rule(spark):
     texts = ["ab\ncd ef\n\ngh", "", None, "one", "\n\n\n", "naïve café\nüber 日本語\n", "tail\n"]
     got = defaultdict(list)
@@ -74,21 +88,108 @@ def test_classifiers_on_held_out_rows(spark):
     assert (n[n.held_out].lang_pred == n[n.held_out].lang).mean() > 0.97
 
 
-def test_pairing_keeps_identity_terms_neutral():
+def test_quality_is_the_whole_cosine_vote():
+    """Every latent vector against every labelled one, one by one; axes are the leading singular vectors."""
+    r = random.Random(2)
+    say = lambda bad: " ".join(r.choice(["lorem", "ipsum", "dolor"]) for _ in range(30)) if bad else " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(30))
+    texts = [say(i % 2).encode() for i in range(60)]
+    y = np.array([1 - i % 2 for i in range(60)])
+    c = quality.counts(texts)
+    model = quality.Model(c.copy(), y, latent=8)
+    x = np.log1p(c) * (np.log(61 / (1 + (c > 0).sum(0))) + 1)
+    for v in range(quality.VIEWS):
+        own = x[:, v * quality.VIEW : (v + 1) * quality.VIEW]
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = np.linalg.svd(x, full_matrices=False)[2][:8]
+    assert np.abs(model.axes.T @ v.T).max(axis=1) == pytest.approx(np.ones(8), abs=0.05)
+    new = [say(i % 3 == 0).encode() for i in range(30)] + [b"", texts[0]]
+    for t, got in zip(new, model.score(new), strict=True):
+        own = model.place(quality.counts([t]))[0]
+        sims = sorted(((float(sum(a * b for a, b in zip(own, ref))), -k) for k, ref in enumerate(model.refs)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(s, 0.0) ** quality.POWER for s, _ in sims]
+        want = sum(a * y[-k] for a, (_, k) in zip(w, sims)) / sum(w) if sum(w) > 1e-12 else y.mean()
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_recurrence_and_pieces(monkeypatch):
+    text = b"a b a a c " * 40
+    want = quality.counts([text])
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert (quality.counts([text]) == want).all()
+    steps = [0, 0, 2, 1, 0] + [2, 3, 2, 1, 3] * 39  # lengths in bits of the distances
+    steps[5:10] = [(5 - 3).bit_length(), (6 - 1).bit_length(), 2, 1, (9 - 4).bit_length()]
+    got = Counter({i: n for i, n in enumerate(quality.recurrence(text).tolist()) if n})
+    last, seen = {}, []
+    for at, w in enumerate(text.split()):
+        seen.append((at - last[w]).bit_length() if w in last else 0)
+        last[w] = at
+    assert got == Counter(a << 8 | b << 4 | c for a, b, c in zip(seen, seen[1:], seen[2:])) and seen[:10] == steps[:10]
+
+
+def planted(n=600):
     r = random.Random(5)
-    texts, y = [], []
-    for i in range(600):
+    rows = []
+    for i in range(n):
         bad = i % 3 == 0
         group = ("muslim" if r.random() < 0.9 else "christian") if bad else ("muslim" if r.random() < 0.3 else "christian")
-        texts.append(f"{r.choice('abcdefgh')} the {group} man is {'awful' if bad and r.random() < 0.7 else 'kind'}.".encode())
-        y.append(float(bad))
-    free, held = (toxicity.fit(texts, np.array(y), pairing=p, rounds=3000)[0] for p in (0.0, 5.0))
-    gap = lambda w: abs(w.get("muslim", 0) - w.get("christian", 0))
-    assert gap(free) > 1 and gap(held) < 0.25 * gap(free) and held["awful"] > 1
+        rows.append((i, f"{r.choice('abcdefgh')} the {group} man is {'awful' if bad and r.random() < 0.7 else 'kind'}.", int(bad)))
+    return rows
+
+
+def test_fit_is_the_least_of_the_penalised_loss():
+    """Against the loss written out: no step along any weight, in either direction, makes it less."""
+    rows = planted(200)
+    words = sorted({w for _, t, _ in rows for w in toxicity.words_of(t.encode())})
+    at = {w: k for k, w in enumerate(words)}
+    ids = [np.array(sorted(at[w] for w in toxicity.words_of(t.encode()))) for _, t, _ in rows]
+    y = np.array([float(b) for *_, b in rows])
+    pairs = Counter((at[a], at[b]) for _, t, _ in rows for a, b in toxicity.swaps(t.encode(), [["muslim", "christian"]]))
+    l1, pairing = 1e-3, 0.5
+    w, base = toxicity.fit(ids, y, len(words), pairs, l1, pairing, 6000)
+    total = sum(pairs.values())
+    assert total == 200
+
+    def loss(w, b):
+        z = np.array([w[i].sum() + b for i in ids])
+        return np.mean(np.logaddexp(0, z) - y * z) + l1 * np.abs(w).sum() + pairing * sum(n * (w[a] - w[b2]) ** 2 for (a, b2), n in pairs.items()) / total
+
+    from itertools import product
+
+    free = min((loss(w, b), b) for b in np.linspace(-8, 8, 3201))
+    for k, d in product(range(len(words)), (1e-2, -1e-2)):
+        moved = w.copy()
+        moved[k] += d
+        assert loss(moved, free[1]) >= free[0] - 1e-5
+
+
+def test_pairing_keeps_identity_terms_neutral(spark):
+    rows = planted()
+    docs = spark.createDataFrame([(LEARNT[i], t) for i, t, _ in rows] + [(LEARNT[0], "one more text of an id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(LEARNT[i], b) for i, _, b in rows], "doc_id long, toxic int")
+    free, held = (toxicity.train(docs, labels, pairing=p, mined=0, rounds=3000) for p in (0.0, 5.0))
+    gap = lambda m: abs(m.weights.get("muslim", 0) - m.weights.get("christian", 0))
+    assert gap(free) > 1 and gap(held) < 0.25 * gap(free) and held.weights["awful"] > 1
+    assert held.swaps in (599, 600)  # each sentence has a term; one text may be the other of its id
+
+
+def test_terms_are_mined_and_swapped_within_a_document(spark):
+    r = random.Random(6)
+    rows = [(i, f"the zorf went home. the {r.choice(['plam', 'zorf', 'dirn'])} {'stinks' if i % 2 else 'sings'}. A plam and a dirn.", i % 2) for i in range(400)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels, terms={})
+    assert {"zorf", "plam", "dirn"} <= set(m.mined) and not {"stinks", "sings"} & set(m.mined) and m.swaps > 400
+    assert m.weights["stinks"] > 0.5
+    got = toxicity.swaps(b"a zorf. a plam sings", [], {"zorf", "plam", "other"})
+    assert sorted(got) == [("plam", "zorf"), ("zorf", "plam")]  # never for a word that the document lacks
+    assert toxicity.swaps(b"one zorf", [], {"zorf"}) == [] and toxicity.swaps(b"", [["a"]], {"b"}) == []
 
 
 def test_classifiers_take_odd_rows_and_no_labels(spark):
     docs = docs_of(spark, ODD)
+    hot = docs_of(spark, [f"text {i}" for i in range(50)]).withColumn("doc_id", F.lit(3).cast("long"))
+    one = spark.createDataFrame([(3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert common.labelled_texts(hot, one, "toxic", 10).count() == 1  # an id with many rows is learnt from once
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(i, i % 2, None if i == 3 else i % 2) for i in range(9)] * 2 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     for labels in (none, some):
@@ -103,21 +204,20 @@ def test_classifiers_take_odd_rows_and_no_labels(spark):
     assert quality.score(empty, quality.train(empty, none), keep=["doc_id"]).count() == 0
 
 
-def test_kneser_ney_against_the_formula():
-    """Interpolated probabilities written out for one language, and that they add up to one."""
-    text = b"abab abc cab abba"
-    key, _ = language.grams([text])
-    k, n = np.unique(key, return_counts=True)
-    m = language.Model({"x": (k, n)})
-    chars = sorted({int(c) & 0xFFFF for c in k.tolist()})
-    assert m.size == len(chars) + 1
-    levels = {4: dict(zip(k.tolist(), n.tolist(), strict=True))}
+def brute_levels(texts):
+    """(key -> count) by order: order 4 counted, below it how many different characters come before."""
+    levels = {4: Counter(language.grams(texts)[0].tolist())}
     for o in (3, 2, 1):
         levels[o] = Counter(c & ((1 << 16 * o) - 1) for c in levels[o + 1])
+    return levels
+
+
+def brute_probability(levels, size):
+    """Interpolated Kneser-Ney, written out."""
 
     def p(g, o):
         if o == 0:
-            return 1 / m.size
+            return 1 / size
         low = p(g & ((1 << 16 * (o - 1)) - 1), o - 1)
         own = {x: c for x, c in levels[o].items() if x >> 16 == g >> 16}
         if not own:
@@ -126,41 +226,88 @@ def test_kneser_ney_against_the_formula():
         off = few / (few + 2 * more) if few and more else 0.5
         return (max(own.get(g, 0) - off, 0) + off * len(own) * low) / sum(own.values())
 
-    for ctx in {x >> 16 for x in k.tolist()} | {0x6300640065}:
-        probs = [p((ctx << 16) | c, 4) for c in chars]
-        got = np.exp(m._look(np.array([(ctx << 16) | c for c in chars], np.uint64), 4)[:, 0])
-        assert got == pytest.approx(probs, rel=1e-4)
-        assert sum(probs) <= 1 + 1e-9
+    return p
 
 
-def test_language_model_of_many_languages_keeps_all_estimates(spark):
-    """Where all keys fit, the model of all counts; where they don't, its totals and discounts, and probabilities that add up."""
+def shards_of(model):
+    return [common.revived(language.Shard, held.value) for held in model.shards]
+
+
+def seen_by(model, keys, j):
+    """Log-probabilities of keys in language j, each from the shard that answers for it."""
+    keys = np.array(keys, np.uint64)
+    out = np.zeros(len(keys))
+    for shard in shards_of(model):
+        own = language.shard_of(keys, shard.parts) == shard.part
+        out[own] = shard._one(j, keys[own], 4)
+    return out
+
+
+def test_kneser_ney_against_the_formula(spark):
+    """Probabilities of a model in one shard and in many, and that they add up to no more than one."""
+    texts = {"x": ["abab abc cab abba", "bad cab"], "y": ["xyz zzy abba"]}
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in zip(LEARNT, [(t, x) for x in texts for t in texts[x]] * 2)], "doc_id long, text string, lang string")
+    used = defaultdict(list)
+    for r in docs.collect():
+        used[r.lang].append(r.text.encode())
+    for shard_keys in (10**6, 10):
+        m = language.train(docs, shard_keys=shard_keys)
+        assert m.langs == ["x", "y"] and (len(m.shards) > 3) == (shard_keys == 10)
+        size = shards_of(m)[0].size
+        for j, x in enumerate(m.langs):
+            levels = brute_levels(used[x])
+            p = brute_probability(levels, size)
+            chars = sorted(levels[1])
+            for ctx in {k >> 16 for k in levels[4]} | {0x6300640065}:
+                probs = [p((ctx << 16) | c, 4) for c in chars]
+                assert np.exp(seen_by(m, [(ctx << 16) | c for c in chars], j)) == pytest.approx(probs, rel=1e-4)
+                assert sum(probs) <= 1 + 1e-9
+        # Whole texts: the mean over their keys, in any number of shards.
+        got = {r.doc_id: r for r in language.predict(docs, m).collect()}
+        for r in docs.collect():
+            key = language.grams([r.text.encode()])[0].tolist()
+            h = [-np.mean([math.log(brute_probability(brute_levels(used[x]), size)(k, 4)) for k in key]) for x in m.langs]
+            assert got[r.doc_id].cross_entropy == pytest.approx(min(h), rel=1e-4) and got[r.doc_id].lang_pred == m.langs[int(np.argmin(h))] == r.lang
+
+
+def test_a_hundred_languages_keep_all_their_keys(spark):
+    """No key is left out at 100 languages or when the rows double, and predictions stay."""
     r = random.Random(6)
-    texts = [(i, " ".join("".join(r.choices("abcdefgh"[k % 5 :], k=r.randint(1, 4))) for _ in range(60)), f"l{k}") for i, k in enumerate(k for k in range(12) for _ in range(4))]
-    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    letters = [chr(0x4E00 + k) for k in range(600)]
+    rows = []
+    for k in range(100):
+        own = letters[k * 5 : k * 5 + 40]
+        rows += [(len(rows) + i, " ".join("".join(r.choices(own, k=r.randint(1, 4))) for _ in range(40)), f"l{k:03}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     used = defaultdict(list)
     for x in docs.where(~common.held_out("doc_id")).collect():
         used[x.lang].append(x.text.encode())
-    counts = {x: np.unique(language.grams(t)[0], return_counts=True) for x, t in used.items()}
-    want = language.Model(counts)
-    entries = max(sum(len(want.keys[k][j]) for k in want.keys) for j in range(12))
-    full = language.train(docs, cells=12 * entries)  # a dense table of 12 columns held a twelfth of that
-    probe = np.unique(np.concatenate([k for k, _ in counts.values()]))
-    assert full.langs == want.langs and np.allclose(full._look(probe, 4), want._look(probe, 4), atol=1e-5)
-    cut = language.train(docs, cells=12 * 150)
-    own = [language.Model._levels(*counts[x]) for x in cut.langs]
-    for j, x in enumerate(cut.langs):
-        assert 0 < sum(len(cut.keys[k][j]) for k in cut.keys) <= 150
-        chars = own[j][1][0]
-        for ctx in np.unique(probe >> np.uint64(16))[:40]:
-            probs = np.exp(cut._one(j, (ctx << np.uint64(16)) | chars, 4))
-            assert 1 - 1 / cut.size * (cut.size - len(chars)) - 1e-4 <= probs.sum() <= 1 + 1e-4
-        # The discount of the cut model is that of all counts.
-        key, n, total, off = own[j][1]
-        at = np.flatnonzero(np.isin(key, cut.keys[1][j]))
-        if len(at):
-            p = (n[at] - off) / total[at]
-            assert np.exp(cut.logp[1][j]) == pytest.approx(p + (1 - p.sum()) / cut.size, rel=1e-4)
+    m = language.train(docs, shard_keys=8000)
+    assert m.langs == sorted(used) and len(m.shards) > 2
+    for j, x in enumerate(m.langs):
+        levels = brute_levels(used[x])
+        for k in (3, 4):
+            held = sorted(c for s in shards_of(m) for c in s.keys[k][j].tolist())
+            assert held == sorted(levels[k])
+    got = {a.doc_id: a.lang_pred for a in language.predict(docs, m, keep=["doc_id"]).collect()}
+    twice = language.train(docs.unionAll(docs), shard_keys=8000)
+    assert [sorted(c for s in shards_of(x) for c in s.keys[4][7].tolist()) for x in (m, twice)] == [sorted(brute_levels(used[m.langs[7]])[4])] * 2
+    # Double counts leave no key of count 1, so the discount is another, and near ties may fall the other way.
+    assert sum(got[a.doc_id] != a.lang_pred for a in language.predict(docs, twice, keep=["doc_id"]).collect()) <= 0.03 * len(rows)
+    assert sum(got[i] == x for i, _, x in rows) > 0.97 * len(rows)
+
+
+def test_long_texts_in_steps(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abc abd bcd " * 50, "x"), (2, "xyz yyz " * 50, "y")], "doc_id long, text string, lang string")
+    m = language.train(docs.withColumn("doc_id", F.lit(LEARNT[0])))
+    shard = shards_of(m)[0]
+    texts = [b"abc xyz " * 30, b"", b"b"]
+    whole = np.zeros((3, len(m.langs))), np.zeros(3, np.int64)
+    shard.add(texts, *whole)
+    monkeypatch.setattr(language, "STEP", 5)
+    parts = np.zeros((3, len(m.langs))), np.zeros(3, np.int64)
+    shard.add(texts, *parts)
+    assert (whole[1] == parts[1]).all() and np.allclose(whole[0], parts[0])
 
 
 def test_a_rare_language_is_calibrated_too(spark):
@@ -175,7 +322,8 @@ def test_a_rare_language_is_calibrated_too(spark):
     model = language.train(docs)
     assert np.isfinite(model.limits).all()
     # Letters of the rare language in an order it never has.
-    assert model.predict([b"zzqxw vvyzq " * 40, say("ghijkl").encode()])[3].tolist() == [True, False]
+    new = spark.createDataFrame([(1, "zzqxw vvyzq " * 40), (2, say("ghijkl"))], "doc_id long, text string")
+    assert {x.doc_id: x.rejected for x in language.predict(new, model).collect()} == {1: True, 2: False}
 
 
 def test_letters_of_all_planes_count(spark):
@@ -183,8 +331,9 @@ def test_letters_of_all_planes_count(spark):
     assert all((low[c] != 0) == chr(c).isalpha() for c in range(0x110000)) and low[0x1F600] == 0
     assert not (set(low[0x10000:].tolist()) - {0}) & set(low[:0x10000].tolist())  # folded letters meet none of 16 bits
     texts = ["\U00020001\U0002a6b0\U00030002" * 20, "plain words of letters " * 5]
-    model = language.Model({x: np.unique(language.grams([t.encode()])[0], return_counts=True) for x, t in zip(("rare", "plain"), texts, strict=True)})
-    assert model.predict([t.encode() for t in texts])[0] == ["rare", "plain"] and model.predict(["\U0002a6b0".encode()])[0] != ["und"]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in zip(LEARNT, [*texts, "\U0002a6b0"], ["rare", "plain", None])], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language.predict(docs, language.train(docs)).collect()}
+    assert [got[i] for i in LEARNT[:2]] == ["rare", "plain"] and got[LEARNT[2]] != "und"
 
 
 def test_language_of_odd_rows(spark):
@@ -274,6 +423,41 @@ def test_pages_of_the_tables(spark):
         assert r.text == plain(raw[r.page_id]) and r.n_chars == len(r.text)
 
 
+def test_without_templates_the_text_is_another(spark):
+    """Furniture that nothing names: only its recurrence on the site shows it.  Inside the article too."""
+    body = "<body><div><span>Home</span> <span>Shop</span></div><div><p>text {0} of the page</p><div>Read this each week</div></div><section>All rights kept</section></body>"
+    rows = [(i, f"https://x.example/{i}", body.format(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_, without = ({r.page_id: r for r in pages.extract(df, min_pages=n).collect()} for n in (10, 1000))
+    assert all(with_[i].text == f"text {i} of the page" for i in range(30))
+    assert all(without[i].text == f"Home Shop\n\ntext {i} of the page\n\nRead this each week\n\nAll rights kept" for i in range(30))
+    assert all(r.template_chars > 30 and r.named_chars == 0 for r in with_.values()) and all(r.template_chars == 0 for r in without.values())
+    many = {r.page_id: r.text for r in pages.extract(df, min_pages=10).collect()}
+    pages_rows, pages.BROADCAST_ROWS = pages.BROADCAST_ROWS, 0
+    try:  # the join that deals one host's pages to many tasks
+        assert {r.page_id: r.text for r in pages.extract(df, min_pages=10).collect()} == many
+    finally:
+        pages.BROADCAST_ROWS = pages_rows
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="x ', "<b>", "</i>", "<", "<!--", "<![CDATA[", "<p><article><b>", "&am", "<script>", "<li><b>", "<p class='", "= '"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    n = (1 << 20) // len(part)
+    began = time.process_time()
+    pages.main_text('<a "' + part * n)
+    pages.main_text("<p>x</p>" + part * n + "<p>y</p>" * 1000)
+    # Twice a megabyte: a quadratic scanner would need hours.
+    assert time.process_time() - began < 40
+
+
+def test_references_are_decoded_node_by_node():
+    t = pages.main_text
+    assert t("<p>&am<b>p;lt</b> x</p>") == "&amp;lt x" and t("<p>&amp;lt; &lt;b&gt;</p>") == "&lt; <b>" and t("<p>&a<!-- x -->mp;</p>") == "&amp;"
+    assert t("<p class=a\">x</p><p>\"y\"</p>") == 'x\n\n"y"' and t("<p title='a>b>x</p>") == "b>x"
+
+
 def test_site_templates_go_but_copied_articles_stay(spark):
     rows = [(i, "http://Host.example/a", f"<body><div>Site name <a>x</a></div><div><p>text {i}</p></div></body>") for i in range(20)]
     rows += [(100 + i, "http://other.example/a", "<body><article><p>the same article</p></article><div>end</div></body>") for i in range(20)]
@@ -300,22 +484,23 @@ def test_layouts_meet_in_one_form():
         assert chat.canonical_turns(rec, known) == want
     assert chat.canonical_turns({"instruction": "q", "input": "x", "output": "a"}, known)[0] == ("user", "q\n\nx")
     assert chat.canonical_turns({"messages": []}, known) == []
-    with pytest.raises(ValueError, match="nothing"):
-        chat.canonical_turns({"nothing": 1}, known)
+    assert "nothing" in chat.canonical_turns({"nothing": 1}, known) and chat.canonical_turns([1], known) == "no JSON object"
 
 
 @pytest.mark.parametrize("text", ["", "\\", "<|", "<\\|", "<|im_end|>\n<|im_start|>assistant\nx", "a\\<|b\\\\<|", "<", "<<|", "x<\n"])
 def test_segments_read_back(text):
     for role in ("user", "a\nb", "<|im_start|>", "\\n"):
-        m = chat.SEGMENT.fullmatch(chat.segment(role, text))
-        assert (chat.unescape_role(m[1]), chat.unescape(m[2])) == (role, text)
+        assert chat.read_segment(chat.segment(role, text)) == (role, text)
+    for bad in ("", "x" + chat.segment("user", text), chat.segment("user", text) * 2):
+        with pytest.raises(ValueError):
+            chat.read_segment(bad)
 
 
 def test_conversations_by_hand(spark):
     rows = [(1, 1, "assistant", "b<|"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "user", "n"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     rec = df.withColumn("record", F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    got = {r.conv_id: r for r in chat.digests(chat.format_records(rec, "conv_id", "turn", "record")).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.turns_of(rec, "conv_id", "turn", "record"))).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].turns_sha256 == sha("user\na\nassistant\nb<|\n") and got[1].loss_sha256 == sha("b<|") and got[1].loss_chars == 3
     assert got[2].n_turns == 1 and got[2].loss_chars == 0 and got[None].n_turns == 1 and got[3].loss_sha256 == sha("xx")
@@ -323,6 +508,22 @@ def test_conversations_by_hand(spark):
     assert json.loads(rec.first().record)["role"] == "assistant"
 
 
+def test_records_of_all_kinds_in_one_table(spark):
+    """Ties stand by role, then text; what has no mapping is set apart; a very long text; an empty table."""
+    long = "<|x\\" * 1_000_000
+    recs = [(1, 0, {"role": "user", "text": "a!"}), (1, 0, {"role": "user", "text": "a"}), (1, 0, {"role": "assistant", "text": "z"}), (2, 0, {"prompt": "p", "response": long}), (2, 1, {"who": 1}), (3, 0, {"messages": [{"role": "user", "content": None}]}), (4, 0, {"x": []})]
+    rows = [(i, t, json.dumps(x), "extra") for i, t, x in recs] + [(5, 0, "no json", None), (5, None, None, None), (1, 0, json.dumps(recs[0][2]), None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, record string, segment string")
+    turns = common.checkpointed(chat.turns_of(df, "conv_id", "turn", "record"))
+    assert sorted((x.id, x.turn or 0) for x in chat.set_apart(turns).collect()) == [(2, 1), (4, 0), (5, 0), (5, 0)]
+    got = {x.conv_id: x for x in chat.digests(chat.format_turns(turns)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(got) == {1, 2, 3}
+    assert got[1].turns_sha256 == sha("assistant\nz\nuser\na\nuser\na!\nuser\na!\n") and got[1].n_turns == 4
+    assert got[2].loss_chars == len(long) and got[2].loss_sha256 == sha(long) and got[2].formatted_chars == len(chat.segment("user", "p")) + len(chat.segment("assistant", long))
+    assert chat.digests(chat.format_turns(chat.turns_of(df.limit(0), "conv_id", "turn", "record"))).count() == 0
+
+
 # Mixing
 
 
@@ -427,6 +628,24 @@ def test_tiling_against_brute_force():
         want = brute_tiling(doc, item, n) / len(item)
         got = decontaminate.Block([(1, " ".join(item))], 5).matches(" ".join(doc).encode(), 1e-9)
         assert (got[0][1] if got else 0) == pytest.approx(want), (doc, item)
+    for _ in range(120):  # few words, and stretches that repeat more often than the item has words
+        letters = r.choice(["ab", "abc", "a"])
+        item = [r.choice(letters) for _ in range(r.randint(1, 12))]
+        piece = item[r.randint(0, len(item)) :] + [r.choice(letters + "x") for _ in range(r.randint(0, 4))] + ["x"]
+        doc = (piece * r.randint(1, 30))[:90]
+        n = min(r.choice([1, 2, 3]), len(item))
+        got = decontaminate.Block([(1, " ".join(item))], n).matches(" ".join(doc).encode(), 1e-9)
+        assert (got[0][3] if got else 0) == brute_tiling(doc, item, n), (doc, item, n)
+
+
+def test_repeated_seeds_are_no_product():
+    import time
+
+    began = time.process_time()
+    assert decontaminate.Block([(1, "w " * 2000)], 5).matches(b"w " * 1_000_000, 0.8) == [(1, 1.0, 1, 2000, 2000)]
+    start, place, size = decontaminate.matches_of(np.ones(100_000, np.int64), np.arange(99_996), np.zeros(99_996, np.int64), np.ones(500, np.int64), np.zeros(496, np.int64), 5)
+    assert len(size) == 100_000 - 4 + 496 - 1 and size.max() == 500
+    assert time.process_time() - began < 20
 
 
 def test_reordered_passages_are_caught(spark):
@@ -441,6 +660,8 @@ def test_reordered_passages_are_caught(spark):
     assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {2, 3, 4, 5}
     odd = spark.createDataFrame([(None, texts[0]), (None, "clean"), (7, texts[1]), (7, "clean too"), (7, "clean too")], "doc_id long, text string").withColumn("contaminated", F.lit("x"))
     assert sorted((x.doc_id or 0, x.text, x.contaminated) for x in decontaminate.clean(odd, bench).collect()) == [(0, "clean", "x"), (7, "clean too", "x"), (7, "clean too", "x")]
+    named = spark.createDataFrame([(None, " ".join(item)), ("-1", " ".join(item)), ("a", "")], "item_id string, text string").withColumn("doc_id", F.lit(1))
+    assert sorted(((x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, named).collect()), key=str) == [(0, "-1"), (0, None), (1, "-1"), (1, None)]
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
