@@ -1,6 +1,6 @@
-"""Robust spread as aggregate expressions and array folds.  NaN never takes part: filter it or use finite()."""
+"""Robust spread.  NaN never takes part: filter it or use finite()."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAD_TO_SIGMA = 1.4826
@@ -16,44 +16,53 @@ def usable(sigma: Column) -> Column:
     return F.when(sigma > 0, sigma).otherwise(F.lit(1.0))
 
 
+def with_mad(df: DataFrame, value: str, by: list[str], name: str = "sigma") -> DataFrame:
+    """Adds 1.4826 times the median absolute deviation of each row's group, 1 if there is none.
+
+    Both medians are windows over the same groups: one shuffle, and no join back.
+    """
+    w = Window.partitionBy(*by)
+    v = finite(F.col(value))
+    return df.withColumn(name, F.median(v).over(w)).withColumn(name, usable(F.median(F.abs(v - F.col(name))).over(w) * MAD_TO_SIGMA))
+
+
 def mad_sigma(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """(by..., sigma): 1.4826 times the median absolute deviation of each group, 1 if there is none."""
     v = df.select(*by, finite(F.col(value)).alias("v"))
-    middle = v.groupBy(*by).agg(F.median("v").alias("m"))
-    both = v.join(middle, list(by)) if by else v.join(F.broadcast(middle))  # one row
+    if by:
+        both = v.withColumn("m", F.median("v").over(Window.partitionBy(*by)))
+    else:
+        both = v.join(F.broadcast(v.agg(F.median("v").alias("m"))))  # one row
     return both.groupBy(*by).agg(usable(F.median(F.abs(F.col("v") - F.col("m"))) * MAD_TO_SIGMA).alias("sigma"))
 
 
-def _moments(kept: Column) -> tuple[Column, Column]:
-    """(mean, standard deviation with ddof 1, 0 for one value) of an array."""
-    n = F.size(kept)
-    mean = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / n
-    dev = F.aggregate(kept, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return mean, F.sqrt(dev / F.greatest(F.lit(1), n - 1))
-
-
-def clipped_sigma(df: DataFrame, value: str, by: list[str], clip: float = 3.0, rounds: int = 5, cumulative: bool = False) -> DataFrame:
-    """(by..., sigma) by iterated clipping from the median and MAD.
+def with_clipped(df: DataFrame, value: str, by: list[str], clip: float = 3.0, rounds: int = 5, cumulative: bool = False, name: str = "sigma") -> DataFrame:
+    """Adds the spread of each row's group by iterated clipping from the median and MAD.
 
     Without `cumulative` every round tests all values again and always takes the new spread; with it a
-    round only tests what the last one kept, and ends as soon as it clips nothing.  A group is one
-    image's pixels, so arrays are bounded by the image.
+    round only tests what the last one kept, and ends as soon as it clips nothing.  Every round is a set of
+    aggregates over the same groups, so rows are shuffled once.  A group is one image's pixels.
     """
-    start = df.select(*by, finite(F.col(value)).alias("v")).where("v is not null")
-    got = start.groupBy(*by).agg(F.median("v").alias("m"), F.array_sort(F.collect_list("v")).alias("vals"))
-    spread = start.join(got.select(*by, "m"), list(by)) if by else start.join(F.broadcast(got.select("m")))
-    spread = spread.groupBy(*by).agg((F.median(F.abs(F.col("v") - F.col("m"))) * MAD_TO_SIGMA).alias("s0"))
-    got = got.join(spread, list(by)) if by else got.join(F.broadcast(spread))
-    got = got.select(*by, F.col("vals").alias("all"), F.col("vals").alias("now"), F.col("m").alias("mu"), F.col("s0").alias("s"), (F.col("s0") <= 0).alias("done"))
+    w = Window.partitionBy(*by)
+    v, mu, s, done, kept, pool = (f"__{x}" for x in ("v", "mu", "s", "done", "kept", "pool"))
+    got = df.withColumn(v, finite(F.col(value))).withColumn(mu, F.median(v).over(w))
+    got = got.withColumn(s, F.coalesce(F.median(F.abs(F.col(v) - F.col(mu))).over(w) * MAD_TO_SIGMA, F.lit(0.0)))
+    got = got.withColumns({done: F.col(s) <= 0, pool: F.col(v).isNotNull()})
     for _ in range(rounds):
-        pool = F.col("now") if cumulative else F.col("all")
-        kept = F.filter(pool, lambda x: F.abs(x - F.col("mu")) <= F.lit(clip) * F.col("s"))
-        step = got.withColumn("kept", kept)
-        stop = F.col("done") | (F.size("kept") == 0)
+        got = got.withColumn(kept, F.col(pool) & (F.abs(F.col(v) - F.col(mu)) <= F.lit(clip) * F.col(s)))
+        own = F.when(F.col(kept), F.col(v))
+        got = got.withColumns({"__n": F.count(own).over(w), "__of": F.count_if(F.col(pool)).over(w), "__mean": F.avg(own).over(w), "__dev": F.coalesce(F.stddev_samp(own).over(w), F.lit(0.0))})
+        stop = F.col(done) | (F.col("__n") == 0)
         if cumulative:
-            stop = stop | (F.size("kept") == F.size("now"))
-        step = step.withColumn("done", stop)
-        mean, dev = _moments(F.col("kept"))
-        keep = lambda new, old: F.when(F.col("done"), F.col(old)).otherwise(new)
-        got = step.select(*by, "all", keep(F.col("kept"), "now").alias("now"), keep(mean, "mu").alias("mu"), keep(dev, "s").alias("s"), (F.col("done") | (keep(dev, "s") <= 0)).alias("done"))
-    return got.select(*by, usable(F.col("s")).alias("sigma"))
+            stop = stop | (F.col("__n") == F.col("__of"))
+        got = got.withColumn(done, stop)
+        keep = lambda new, old: F.when(F.col(done), F.col(old)).otherwise(F.col(new))
+        got = got.withColumns({mu: keep("__mean", mu), s: keep("__dev", s), pool: keep(kept, pool) if cumulative else F.col(pool)})
+        got = got.withColumn(done, F.col(done) | (F.col(s) <= 0))
+    return got.withColumn(name, usable(F.col(s))).drop(v, mu, s, done, kept, pool, "__n", "__of", "__mean", "__dev")
+
+
+def clipped_sigma(df: DataFrame, value: str, by: list[str], clip: float = 3.0, rounds: int = 5, cumulative: bool = False) -> DataFrame:
+    """(by..., sigma) of each group, see with_clipped; groups without a finite value are left out."""
+    got = with_clipped(df.select(*by, F.col(value).alias("value")).where(finite(F.col("value")).isNotNull()), "value", list(by), clip, rounds, cumulative)
+    return got.groupBy(*by).agg(F.first("sigma").alias("sigma"))

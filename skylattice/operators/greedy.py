@@ -1,5 +1,6 @@
 """Order-dependent selection as folds, and spatial maximum filters."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,11 @@ def _fold(df: DataFrame, by: list[str], item: Column, kept_type: str, step) -> D
 
 
 def nms_2d(peaks: DataFrame, radius: int, by: list[str] = ()) -> DataFrame:
-    """Peaks in order of S/N that lie in no box of a kept one: (by..., y, x, snr).  Only local maxima come here, so groups are small."""
+    """Peaks in order of S/N that lie in no box of a kept one: (by..., y, x, snr).  Only local maxima come here, so groups are small.
+
+    Peaks that are not `clear` (where there is that column) neither stay nor suppress.
+    """
+    peaks = peaks.where("clear") if "clear" in peaks.columns else peaks
     item = F.struct((-F.col("snr")).alias("o"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("snr").cast("double").alias("snr"))
 
     def step(kept, p):
@@ -38,7 +43,8 @@ def nms_2d(peaks: DataFrame, radius: int, by: list[str] = ()) -> DataFrame:
 
 
 def group_widths(det: DataFrame, radius: int, time_radius: int, policy: str = "max_snr", max_per_centre: int | None = None, by: list[str] = ()) -> DataFrame:
-    """Detections of all widths, best first by policy, dropping what lies within a kept one's box and twice the time radius."""
+    """Detections of all widths, best first by policy, dropping what lies within a kept one's box and twice the time radius; those not `clear` (where there is that column) go first."""
+    det = det.where("clear") if "clear" in det.columns else det
     first = {"max_snr": F.lit(0), "prefer_short": F.col("width"), "prefer_long": -F.col("width")}[policy].cast("long")
     cols = ["c", "y", "x", "width"]
     item = F.struct(first.alias("p"), (-F.col("snr")).alias("o"), *(F.col(c).cast("long").alias(c) for c in cols), F.col("snr").cast("double").alias("snr"))
@@ -56,18 +62,20 @@ def nms_per_width(snr: DataFrame, radius: int, time_radius: int, threshold: floa
     """Frame by frame in time order: the frame's local maxima among pixels that no earlier peak suppresses.
 
     A peak of frame s suppresses its box in frames up to s + time_radius, and a frame looks time_radius
-    back, so an earlier peak reaches 2 * time_radius frames.  All local maxima of a frame are kept.  Only
-    pixels over the threshold enter the fold, so its arrays stay small.
+    back, so an earlier peak reaches 2 * time_radius frames.  All local maxima of a frame are kept, but those
+    whose window is not `clear` (where there is that column): they are maxima of their frame, and then go without effect.
+    Only pixels over the threshold enter the fold, so its arrays stay small.
     """
     lo, hi = radius // 2, radius - 1 - radius // 2
     over = snr.where(~F.isnan("snr") & (F.col("snr") >= threshold))
-    px = F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("snr").cast("double").alias("snr"))
+    clear = F.col("clear") if "clear" in snr.columns else F.lit(True)
+    px = F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("snr").cast("double").alias("snr"), clear.alias("clear"))
     frames = over.groupBy(*by, F.col("t").cast("long").alias("t")).agg(F.array_sort(F.collect_list(px)).alias("px"))
 
     def step(kept, f):
         free = F.filter(f["px"], lambda p: ~F.exists(kept, lambda k: (k["t"] >= f["t"] - 2 * time_radius) & (k["t"] < f["t"]) & (F.abs(k["y"] - p["y"]) <= radius) & (F.abs(k["x"] - p["x"]) <= radius) & F.lit(time_radius > 0)))
         best = F.filter(free, lambda p: ~F.exists(free, lambda q: (q["y"] - p["y"]).between(-lo, hi) & (q["x"] - p["x"]).between(-lo, hi) & (q["snr"] > p["snr"])))
-        return F.concat(kept, F.transform(best, lambda p: F.struct(f["t"].alias("t"), p["y"].alias("y"), p["x"].alias("x"), p["snr"].alias("snr"))))
+        return F.concat(kept, F.transform(F.filter(best, lambda p: p["clear"]), lambda p: F.struct(f["t"].alias("t"), p["y"].alias("y"), p["x"].alias("x"), p["snr"].alias("snr"))))
 
     return _fold(frames, list(by), F.struct("t", "px"), "struct<t:bigint,y:bigint,x:bigint,snr:double>", step)
 
@@ -75,12 +83,22 @@ def nms_per_width(snr: DataFrame, radius: int, time_radius: int, threshold: floa
 def anchored_groups(df: DataFrame, time: str, tolerance: float, by: list[str]) -> DataFrame:
     """Adds `grp`: rows in time order, a group lasting while the time is within tolerance of the group's first.
 
-    Distinct times fold to anchors; not a session window, which would chain.
+    Not a session window, which would chain.  Only the distinct times of each key are walked through, in
+    order and one at a time; nothing is gathered.
     """
-    times = df.groupBy(*by).agg(F.array_sort(F.collect_set(time)).alias("ts"))
-    zero = F.array().cast(f"array<{df.schema[time].dataType.simpleString()}>")
-    anchors = F.aggregate("ts", zero, lambda k, t: F.when((F.size(k) == 0) | (t - F.get(k, F.size(k) - 1) > tolerance), F.array_append(k, t)).otherwise(k))
-    starts = times.select(*by, F.explode(anchors).alias(time), F.lit(1).alias("new"))
-    w = Window.partitionBy(*by).orderBy(time)
-    seq = df.select(*by, time).distinct().join(starts, [*by, time], "left").select(*by, time, (F.sum(F.coalesce("new", F.lit(0))).over(w) - 1).cast("long").alias("grp"))
-    return df.join(seq, [*by, time])
+    times = df.select(*by, F.col(time)).distinct().repartition(*by).sortWithinPartitions(*by, time)
+    keys, schema = list(by), df.select(*by, time).schema.add("grp", "long")
+
+    def walk(batches):
+        now, first, grp = None, None, -1
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, time)), strict=True):
+                if row[:-1] != now:
+                    now, first, grp = row[:-1], None, -1
+                if first is None or row[-1] - first > tolerance:
+                    first, grp = row[-1], grp + 1
+                out.append(grp)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, time)), pa.array(out, pa.int64())], names=[*keys, time, "grp"])
+
+    return df.join(times.mapInArrow(walk, schema), [*by, time])

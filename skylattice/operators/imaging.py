@@ -1,11 +1,15 @@
 """Visibilities to images by direct Fourier sums.
 
 Rows are (t, row, chan, corr, u, v, w, re, im, flag, weight).  Direct sums cost visibilities times
-pixels; the grid is a literal array, so the plan is a projection, a Generate and a partial aggregate.
+pixels.  The phase of a pixel is a product of one along x and one along y, so a block of visibilities
+makes its share of an image as a product of two matrices; a task adds up the shares of its rows and hands
+on partial images, so visibilities are never shuffled and the grid is no part of the plan.
 """
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,30 @@ def correlation_label(code):
     return F.coalesce(F.try_element_at(known, code), code.cast("string"))
 
 
+def require_columns(df: DataFrame, *names: str) -> DataFrame:
+    """The table, if it has these columns; says which it lacks."""
+    lost = [n for n in names if n not in df.columns]
+    if lost:
+        raise ValueError(f"no column {', '.join(lost)}; there are {', '.join(df.columns)}")
+    return df
+
+
+def weight_source(vis: DataFrame) -> DataFrame:
+    """`weight` from weight_spectrum where the table has that column, a channel's own, else as it is, a row's."""
+    return vis.withColumn("weight", F.col("weight_spectrum")).drop("weight_spectrum") if "weight_spectrum" in vis.columns else require_columns(vis, "weight")
+
+
+def uv_wavelengths(vis: DataFrame, channels: DataFrame) -> DataFrame:
+    """u, v, w from metres to wavelengths of each row's channel: channels is (chan, wavelength_m), one row a channel of the one spectral window."""
+    both = vis.join(F.broadcast(channels.select("chan", "wavelength_m")), "chan")
+    return both.withColumns({c: F.col(c) / F.col("wavelength_m") for c in ("u", "v", "w") if c in vis.columns}).drop("wavelength_m")
+
+
+def channel_range(vis: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Channels start to stop - 1, all to the end without stop."""
+    return vis.where((F.col("chan") >= start) & (F.lit(True) if stop is None else F.col("chan") < stop))
+
+
 def flag_weights(vis: DataFrame) -> DataFrame:
     """Flagged samples weigh nothing."""
     return vis.withColumn("weight", F.when(F.col("flag"), 0.0).otherwise(F.col("weight").cast("double")))
@@ -31,9 +59,20 @@ def average_correlations(vis: DataFrame) -> DataFrame:
 
 
 def single_correlation(vis: DataFrame, label: str) -> DataFrame:
+    """Rows of one correlation; a label that the table lacks is an error."""
+    if not vis.where(F.col("corr") == label).limit(1).count():
+        raise ValueError(f"no correlation {label}")
     return vis.where(F.col("corr") == label).select(*CELL, "u", "v", "re", "im", "weight")
 
 
+def indexed_correlation(vis: DataFrame, index: int = 0, labels: list[str] | None = None) -> DataFrame:
+    """Rows of the correlation at a place in the table's order of labels (sorted where it isn't given)."""
+    names = labels if labels is not None else sorted(r[0] for r in vis.select("corr").distinct().collect())
+    if not 0 <= index < len(names):
+        raise ValueError(f"no correlation {index} of {names}")
+    return vis.where(F.col("corr") == names[index]).select(*CELL, "u", "v", "re", "im", "weight")
+
+
 def stokes_i(vis: DataFrame, basis: str = "auto", present: tuple[str, ...] = ("XX", "YY")) -> DataFrame:
     """Mean of the two parallel hands that are there; weight 4/(1/w1 + 1/w2), or the one present."""
     pair = {"linear": ("XX", "YY"), "circular": ("RR", "LL")}
@@ -56,10 +95,60 @@ def normalise_weights(vis: DataFrame, by: str = "t") -> DataFrame:
     return vis.withColumn("weight", F.when(top > 0, F.col("weight") / top).otherwise(0.0))
 
 
+BLOCK_ROWS, HELD_IMAGES = 1024, 16
+
+
 def dirty_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",)) -> DataFrame:
-    """(by..., y, x, flux): weighted adjoint Fourier sums over an n x n grid, over the number of weighted samples."""
-    grid = F.array(*(F.struct(F.lit(y).cast("long").alias("y"), F.lit(x).cast("long").alias("x"), F.lit((x - (n - 1) / 2) * cell).alias("l"), F.lit((y - (n - 1) / 2) * cell).alias("m")) for y in range(n) for x in range(n)))
-    phase = 2 * math.pi * (F.col("u") * F.col("p.l") + F.col("v") * F.col("p.m"))
-    term = F.col("weight") * (F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase))
-    px = vis.where("weight > 0").withColumn("p", F.explode(grid))
-    return px.groupBy(*by, F.col("p.y").alias("y"), F.col("p.x").alias("x")).agg((F.sum(term) / F.count(F.lit(1))).alias("flux"))
+    """(by..., y, x, flux): weighted adjoint Fourier sums over an n x n grid, over the number of weighted samples.
+
+    A task holds HELD_IMAGES partial images at most: rows of one frame should lie together, as they do in
+    tables written in time order, or partial images are many.
+    """
+    by = list(by)
+    keys = vis.select(*by).schema
+    schema = keys
+    for name, kind in (("y", "long"), ("x", "long"), ("total", "double"), ("n", "long")):
+        schema = schema.add(name, kind)
+    at = (np.arange(n) - (n - 1) / 2) * cell * 2j * math.pi
+    src = vis.where("weight > 0").select(*by, *(F.col(c).cast("double") for c in ("u", "v", "re", "im", "weight")))
+    pixel = [pa.array(np.repeat(np.arange(n), n)), pa.array(np.tile(np.arange(n), n))]
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        kinds: list = []
+
+        def images():
+            for key, (image, count) in held.items():
+                cols = [pa.repeat(pa.scalar(v, k), n * n) for v, k in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, *pixel, pa.array(image.ravel()), pa.array(np.full(n * n, count))], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(batch)):
+                groups.setdefault(key, []).append(i)
+            u, v, re, im, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "re", "im", "weight"))
+            for key, rows in groups.items():
+                if key not in held and len(held) >= HELD_IMAGES:
+                    yield from images()
+                own = held.setdefault(key, [np.zeros((n, n)), 0])
+                for a in range(0, len(rows), BLOCK_ROWS):
+                    r = np.array(rows[a : a + BLOCK_ROWS])
+                    across, down = np.exp(np.outer(u[r], at)), np.exp(np.outer(v[r], at)) * (weight[r] * (re[r] + 1j * im[r]))[:, None]
+                    own[0] += (down.T @ across).real
+                    own[1] += len(r)
+        yield from images()
+
+    parts = src.mapInArrow(run, schema)
+    return parts.groupBy(*by, "y", "x").agg((F.sum("total") / F.sum("n")).alias("flux"))
+
+
+def frame_images(vis: DataFrame, n: int, cell: float, mode: str = "average", label: str = "XX", by: list[str] = ("t",)) -> DataFrame:
+    """Images of all frames from raw visibilities: weights, flags, one of the collapses (average, single, stokesI), weights over their frame's largest, Fourier sums."""
+    vis = flag_weights(weight_source(require_columns(vis, *CELL, "corr", "u", "v", "re", "im", "flag")))
+    if mode == "stokesI":
+        flat = stokes_i(vis, present=tuple(r[0] for r in vis.select("corr").distinct().collect()))
+    else:
+        flat = single_correlation(vis, label) if mode == "single" else average_correlations(vis)
+    return dirty_image(normalise_weights(flat), n, cell, by)

@@ -10,10 +10,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def obs(spark, sf) -> DataFrame:
+def obs(spark, sf, *by) -> DataFrame:
+    """Summed fluxes of the cells seen, apart for each value of the columns given."""
     days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    src = table(spark, sf, "lineitem").select(F.floor(days / 30).cast("long").alias("t"), (F.col("l_suppkey") % 10).alias("y"), (F.col("l_partkey") % 10).alias("x"), "l_quantity")
-    return src.groupBy("t", "y", "x").agg(F.sum("l_quantity").alias("flux"))
+    src = table(spark, sf, "lineitem").select(F.floor(days / 30).cast("long").alias("t"), (F.col("l_suppkey") % 10).alias("y"), (F.col("l_partkey") % 10).alias("x"), "l_quantity", *by)
+    return src.groupBy(*(c for c in src.columns if c != "l_quantity")).agg(F.sum("l_quantity").alias("flux"))
 
 
 def cube(spark, sf) -> DataFrame:
@@ -21,7 +22,7 @@ def cube(spark, sf) -> DataFrame:
 
 
 def clean(spark, sf) -> DataFrame:
-    return C.subtract_mean(cube(spark, sf))
+    return C.subtract_mean(C.dense(obs(spark, sf), empty=True))
 
 
 def lc(spark, sf) -> DataFrame:

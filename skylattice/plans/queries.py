@@ -12,6 +12,7 @@ from ..operators import cube as C
 from ..operators import greedy as G
 from ..operators import imaging as I
 from ..operators import periodicity as P
+from ..operators import search as E
 from ..operators import timeaxis as A
 from ..streaming import state as S
 from . import inputs as N
@@ -173,7 +174,7 @@ def cube_dense(spark, sf):
 
 @query(ctes("cube", "clean") + " select t, y, x, round(flux, 6) + 0 as flux from clean")
 def highpass_mean(spark, sf):
-    return r6(N.clean(spark, sf).select("t", "y", "x", "flux"))
+    return r6(C.subtract_mean(N.cube(spark, sf)).select("t", "y", "x", "flux"))
 
 
 def _moving_sql(w: int) -> str:
@@ -279,8 +280,7 @@ def _snr_widths(widths=(1, 2, 4)) -> str:
 
 
 def _widths(spark, sf, widths=(1, 2, 4)):
-    got = C.multi_width(N.clean(spark, sf), list(widths)).withColumn("snr", F.round("snr", 6))
-    return got.select("width", "t", "y", "x", "snr")
+    return C.multi_width(N.clean(spark, sf), list(widths), places=6).select("width", "t", "y", "x", "snr")
 
 
 @query(_snr_widths() + " select width, t, y, x, snr from (select *, row_number() over (partition by width order by snr desc, t, y, x) as k from sw where snr >= 2.5) where k <= 50")
@@ -410,6 +410,44 @@ select e.c, e.y, e.x, e.width, e.snr from (select unnest(kept) as e from (select
     )(lambda spark, sf, p=_p: G.group_widths(C.above(_widths(spark, sf), THR).withColumn("c", F.col("t") + F.expr("width div 2")), 3, 8, p))
 
 
+# The composed search: two observations lie in one table, and each gives what it gives alone
+
+
+def _search_sql(beam: int) -> str:
+    """Both searches of one observation, alone in its table, from the cube to candidates with their place in the sky."""
+    alone = lambda sql: sql.replace("from lineitem", f"from lineitem where l_linenumber % 2 = {beam}")
+    parts = []
+    for w in (1, 2, 4):
+        parts.append(f"select {w}::bigint as width, t, y, x, sum(flux) over w as total, sum(raw) over w as rt, count(*) over w as n, bool_or(empty) over w as hit, bool_or(raw = 0 or empty) over w as bad, lead(raw, {w // 2}) over (partition by y, x order by t) as cr from clean join frame using (t) window w as (partition by y, x order by t rows between current row and {w - 1} following)")
+    box = alone(ctes("cube", "clean")) + ", frame as (select t, bool_and(flux = 0) as empty from cube group by t), win as (" + " union all ".join(f"({p})" for p in parts) + "), sums as (select * from win where n = width)" + _mad("sums", "total", "width, t") + f""",
+sw as (select width, t, y, x, not bad as clear, case when not hit and cr <> 0 and rt <> 0 then round(total / sigma, 6) else 0 end as snr from sums join md using (width, t)), o as (select * from sw where snr >= {THR}),
+fr as (select width, t, list({{'y': y, 'x': x, 'snr': snr, 'clear': clear}} order by y, x) as px, row_number() over (partition by width order by t) as k from o group by width, t),
+f(width, k, kept) as (select distinct width, 0::bigint, []::struct(t bigint, y bigint, x bigint, snr double)[] from fr union all
+  select width, k, list_concat(kept, list_transform(list_filter(free, lambda p: p.clear and len(list_filter(free, lambda q: q.y - p.y between -1 and 1 and q.x - p.x between -1 and 1 and q.snr > p.snr)) = 0), lambda p: {{'t': t, 'y': p.y, 'x': p.x, 'snr': p.snr}}))
+  from (select fr.width, fr.k, fr.t, f.kept, list_filter(fr.px, lambda p: len(list_filter(f.kept, lambda q: q.t >= fr.t - 4 and q.t < fr.t and abs(q.y - p.y) <= 3 and abs(q.x - p.x) <= 3)) = 0) as free from f join fr on fr.width = f.width and fr.k = f.k + 1)),
+nm as (select width, d.t, d.y, d.x, d.snr from (select width, unnest(kept) as d from (select width, max_by(kept, k) as kept from f group by width))),
+gd as (select width, t + width // 2 as c, y, x, snr, row_number() over (order by snr desc, t + width // 2, y, x, width) as k from nm),
+g(k, kept) as (select 0::bigint, []::struct(c bigint, y bigint, x bigint, width bigint, snr double)[] union all
+  select g.k + 1, case when len(list_filter(g.kept, lambda q: abs(q.y - gd.y) <= 3 and abs(q.x - gd.x) <= 3 and abs(q.c - gd.c) <= 16 or q.c = gd.c)) = 0 then list_append(g.kept, {{'c': gd.c, 'y': gd.y, 'x': gd.x, 'width': gd.width, 'snr': gd.snr}}) else g.kept end from g join gd on gd.k = g.k + 1),
+bx as (select 'boxcar' as kind, e.y, e.x, e.snr, e.width, e.c - e.width // 2 as t0_idx, 10 + e.c - e.width // 2 + (e.width - 1) / 2e0 as time_center from (select unnest(kept) as e from (select kept from g order by k desc limit 1))),
+sd as (select y, x, stddev_samp(flux) as std from cube group by y, x)""" + _clip_rounds("std", "sd") + f""",
+vs as (select 0 as t, y, x, round((std - (select avg(std) from sd)) / (select sigma from cg), 6) as snr from sd), vm as (select t, y, x, case when snr >= 0.5 then snr end as snr from vs),
+vp as (select y, x, snr, row_number() over (order by snr desc, y, x) as k from ({_box(1, 1, "vm")}) where snr >= top),
+vf(k, kept) as (select 0, []::struct(y bigint, x bigint, snr double)[] union all select vf.k + 1, case when len(list_filter(vf.kept, lambda q: abs(q.y - vp.y) <= 3 and abs(q.x - vp.x) <= 3)) = 0 then list_append(vf.kept, {{'y': vp.y, 'x': vp.x, 'snr': vp.snr}}) else vf.kept end from vf join vp on vp.k = vf.k + 1),
+pk as (select y, x, t, row_number() over (partition by y, x order by round(abs(flux - m), 9) desc, t) as k from (select *, avg(flux) over (partition by y, x) as m from cube join frame using (t) where flux <> 0 and not empty)),
+va as (select 'variance' as kind, d.y, d.x, d.snr, null::bigint as width, null::bigint as t0_idx, 10e0 + pk.t as time_center from (select unnest(kept) as d from (select kept from vf order by k desc limit 1)) left join pk on pk.y = d.y and pk.x = d.x and pk.k = 1),
+al as (select * from bx union all select * from va), lm as (select *, -(x - 4.5e0) * 0.01e0 as l, -(y - 4.5e0) * 0.01e0 as m from al), ln as (select *, sqrt(1 - l * l - m * m) as n from lm)
+select {beam} as beam, kind, y, x, snr, width as width_samples, t0_idx, time_center, round(degrees(2.6e0 + atan2(l, n * cos(-0.5e0) - m * sin(-0.5e0))), 6) as ra_deg, round(degrees(asin(m * cos(-0.5e0) + n * sin(-0.5e0))), 6) as dec_deg from ln"""
+    return box
+
+
+@query(" union all ".join(f"select * from ({_search_sql(b)})" for b in (0, 1)))
+def search_end_to_end(spark, sf):
+    s = E.Settings(npix=10, cell=0.01, ra0=2.6, dec0=-0.5, t0=10.0, widths=[1, 2, 4], threshold=THR, var_threshold=0.5, radius=3)
+    found = E.search_cube(C.dense(N.obs(spark, sf, (F.col("l_linenumber") % 2).cast("int").alias("beam")), ["beam"], empty=True), s, ["beam"])
+    return found.select("beam", "kind", "y", "x", "snr", "width_samples", "t0_idx", "time_center", F.round(F.degrees("ra_rad"), 6).alias("ra_deg"), F.round(F.degrees("dec_rad"), 6).alias("dec_deg"))
+
+
 # Sky
 
 
@@ -478,8 +516,7 @@ def anchored_time_groups(spark, sf):
 
 
 def _events(spark, sf):
-    d = G.anchored_groups(N.det(spark, sf), "time", TOL, ["scan"]).withColumn("grp", F.concat_ws("/", "scan", F.col("grp").cast("string")))
-    return K.settled(K.events(K.sky_components(d, 35.0, "grp")))
+    return E.event_table(N.det(spark, sf), TOL, 35.0)
 
 
 # Sources of the view lie 145 arc seconds apart, so the lattice cell is the component.
@@ -507,9 +544,7 @@ def _sources_sql(extra: str) -> str:
 array_to_string(list_sort(list_transform(string_split(widths_all, ','), lambda w: w::bigint)), ',') as width_samples_all from su"""
 )
 def super_summary(spark, sf):
-    ev = K.number(_events(spark, sf), "event_id", "time", "ra", "dec").drop("component")
-    clustered = K.sky_components(ev.withColumn("id", F.col("event_id")), 35.0)
-    return r6(K.number(K.sources(clustered).drop("component"), "source_id", F.desc("max_snr"), "ra", "dec"))
+    return r6(E.source_table(E.numbered_events(_events(spark, sf)), 35.0))
 
 
 @query(
@@ -518,10 +553,8 @@ array_to_string(list_sort(list_distinct(flatten(list(string_split(beams_all, ','
 select round(ra, 6) as ra, round(dec, 6) as dec, max_snr, max_snr_scan_id, n_scans, scan_ids, beams_all, max_snr_width, width_samples_all from ob"""
 )
 def obs_summary(spark, sf):
-    ev = K.number(_events(spark, sf), "event_id", "time", "ra", "dec").drop("component")
-    per_scan = K.sky_components(ev.withColumns({"id": F.col("event_id"), "scan": F.col("scan_ids")}), 35.0, "scan")
-    supers = K.settled(K.sources(per_scan.withColumn("component", F.struct("scan", "component"))).withColumn("scan", F.col("component.scan")).withColumn("id", F.col("component.component")).drop("component"))
-    return r6(K.observations(K.sky_components(supers, 35.0)).drop("component"))
+    supers = E.scan_sources(E.numbered_events(_events(spark, sf)), 35.0)
+    return r6(E.observation_table(supers, 35.0).drop("id"))
 
 
 NEAR = """{n} as (select id, src_name, sep from (select a.id, b.src_name, round({sep}, 9) as sep, row_number() over (partition by a.id order by round({sep}, 9), b.src_name) as k from det a join {c} b on true where {sep} <= 6) where k = 1)"""
@@ -542,6 +575,19 @@ def crossmatch_priority(spark, sf):
     return got.withColumn("source_offset_arcsec", F.round("source_offset_arcsec", 4))
 
 
+OBS_SQL = ORACLES["obs_summary"]
+
+
+@query(
+    OBS_SQL.replace("with recursive", "with recursive" + ctes("cats").removeprefix("with recursive") + ",", 1).replace("select round(ra, 6) as ra, round(dec, 6) as dec, max_snr, max_snr_scan_id", ", ox as (select cell as id, ra, dec from ob), " + NEAR.format(n="np", c="psr", sep=SQL["sep"]).replace("from det a", "from ox a") + " select round(ra, 6) as ra, round(dec, 6) as dec, max_snr, max_snr_scan_id")
+    .replace("width_samples_all from ob", "width_samples_all, coalesce(np.src_name, 'unknown') as source_name, round(np.sep, 4) as source_offset_arcsec, case when np.sep is not null then 'PSRCAT' else '' end as source_catalog from ob left join np on np.id = ob.cell")
+)
+def aggregate_end_to_end(spark, sf):
+    supers = E.scan_sources(E.numbered_events(_events(spark, sf)), 35.0)
+    found = E.observation_table(supers, 35.0, [("PSRCAT", N.suppliers(spark, sf))], 6.0).drop("id")
+    return r6(found.withColumn("source_offset_arcsec", F.round("source_offset_arcsec", 4)))
+
+
 @query(ctes("det") + " select id from det where beam in ('beam03', 'beam07') or sqrt(((150.05e0 - ra) * cos(radians(-30e0))) ** 2 + (-30e0 - dec) ** 2) * 3600 <= 35")
 def component_match(spark, sf):
     rows = N.det(spark, sf).select("id", F.col("beam").alias("srcname"), "ra", "dec")
@@ -549,10 +595,19 @@ def component_match(spark, sf):
     return K.component_match(rows, names, spark.createDataFrame([(150.05, -30.0)], "ra double, dec double"))
 
 
-@query("select page_id from pages where url like '%/en/%' or url like '%/de/%'")
+ARTEFACTS = """art as (select distinct case event_id % 6 when 0 then 'obs_boxcar_cand_' || s || '_w4.png' when 1 then 'obs_' || s || '_lc.txt' when 2 then 'obs_cand_' || s || '.fits' when 3 then 'obs_' || s || '.csv' when 4 then 'obs' || s || '_' || event_id || '.txt' else s || '_x.txt' end as artefact from (select event_id, 'Supplier#' || lpad((user_id % 30)::varchar, 9, '0') as s from events)),
+nm as (select distinct s_name as srcname from supplier)"""
+
+
+@query("with " + ARTEFACTS + " select artefact, srcname from art join nm on contains(artefact, 'cand_' || srcname) or contains(artefact, '_' || srcname || '_') or contains(artefact, '_' || srcname || '.')")
 def artefact_match(spark, sf):
-    p = N.table(spark, sf, "pages").select("page_id", "url")
-    return p.where(F.col("url").contains("/en/") | F.col("url").contains("/de/")).select("page_id")
+    ev = N.table(spark, sf, "events").select("event_id", F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") % 30).cast("string"), 9, "0")).alias("s"))
+    form = [("obs_boxcar_cand_", "_w4.png"), ("obs_", "_lc.txt"), ("obs_cand_", ".fits"), ("obs_", ".csv")]
+    name = F.concat("s", F.lit("_x.txt"))
+    for k, (a, b) in enumerate(form):
+        name = F.when(F.col("event_id") % 6 == k, F.concat(F.lit(a), "s", F.lit(b))).otherwise(name)
+    name = F.when(F.col("event_id") % 6 == 4, F.concat(F.lit("obs"), "s", F.lit("_"), F.col("event_id").cast("string"), F.lit(".txt"))).otherwise(name)
+    return K.artefact_match(ev.select(name.alias("artefact")), N.table(spark, sf, "supplier").select(F.col("s_name").alias("srcname")))
 
 
 @query(
@@ -655,6 +710,21 @@ def nufft_direct(spark, sf):
     return P.power(_spectrum(spark, sf)).withColumn("power", F.round("power", 3) + 0.0)
 
 
+ADJOINT = """with ph as (select l_orderkey * 0.5e0 - 4.148808e3 * 50 * 1e-3 / (800 + l_linenumber * 10e0) ** 2 as t, (l_orderkey % 17 - 8)::double as u, (l_orderkey % 13 - 6)::double as v, l_extendedprice / 131072.0e0 as re, l_discount as im from lineitem where l_returnflag <> 'R'),
+sp as (select y, x, k, 2 * pi() * (k / 8e0 * t - 0.01e0 * (u * (x - 2) + v * (y - 2))) as phase, re, im from ph cross join (select unnest(generate_series(0, 4)) as y) cross join (select unnest(generate_series(0, 4)) as x) cross join (select unnest(generate_series(2, 7)) as k))
+select y, x, k, round(sum(re * cos(phase) - im * sin(phase)), 4) + 0 as re, round(sum(re * sin(phase) + im * cos(phase)), 4) + 0 as im from sp group by y, x, k"""
+
+
+@query(ADJOINT)
+def adjoint_transform(spark, sf):
+    v = N.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 0.5).alias("time"), (F.col("l_orderkey") % 17 - 8).cast("double").alias("u"), (F.col("l_orderkey") % 13 - 6).cast("double").alias("v"), ((F.col("l_linenumber") * 10 + 800) * 1e6).alias("freq_hz"),
+        (F.col("l_extendedprice") / 131072.0).alias("re"), F.col("l_discount").alias("im"), (F.col("l_returnflag") == "R").alias("flag"),
+    )
+    got = P.stitched(P.adjoint_blocks(v, 5, 0.01, 0.5, 16, 0.25, 50.0, 5000), 16, 0.5)
+    return got.select("y", "x", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
 @query("select p_partkey, round(x - 2 * pi() * floor((x + pi()) / (2 * pi())), 6) + 0 as wrapped, (2 ** ceil(log2(greatest(1, p_size))))::bigint as pow2, round(4.148808e3 * 500 * 1e-3 / (800 + p_size) ** 2, 9) as delay from (select *, p_retailprice / 7 as x from part)")
 def phase_helpers(spark, sf):
     p = N.table(spark, sf, "part")
@@ -663,14 +733,12 @@ def phase_helpers(spark, sf):
 
 # Snippets
 
-CAND = ", cand as (select row_number() over (order by t, y, x) as cand, t, y, x from cube where flux >= 100 and (t + y + x) % 7 = 0)"
+CAND = ", cand as (select row_number() over (order by t, y, x) as cand, t, y, x from cube where flux >= 100)"
 
 
 def _cand(spark, sf):
-    from pyspark.sql import Window
-
-    c = N.cube(spark, sf).where("flux >= 100 and (t + y + x) % 7 = 0")
-    return c.select(F.row_number().over(Window.orderBy("t", "y", "x")).cast("long").alias("cand"), "t", "y", "x")
+    """All cells at the threshold, numbered in order."""
+    return K.number(N.cube(spark, sf).where("flux >= 100").select("t", "y", "x"), "cand", "t", "y", "x").withColumn("cand", F.col("cand") + 1)
 
 
 def _snip_sql(value: str, at: str) -> str:

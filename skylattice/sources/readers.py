@@ -1,21 +1,27 @@
 """Reading visibilities and catalogues."""
 
-
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.catalogues import parse_name
+from ..operators.timeaxis import time_column
+
 #: Visibility rows, one a correlation (the fixture's layout of a measurement set's main table).
 VISIBILITY = "time double, scan int, interval double, u double, v double, w double, chan int, corr int, re double, im double, flag boolean, flag_row boolean, weight double"
 
 
 def visibilities(spark: SparkSession, path: str, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Parquet rows of a time range, both ends included; the range is pushed to the scan."""
+    """Parquet rows of a time range, both ends included; the range is pushed to the scan.  The time is time_centroid where the table has it."""
     df = spark.read.parquet(path)
-    for ok in ([F.col("time") >= start] if start is not None else []) + ([F.col("time") <= end] if end is not None else []):
+    time = time_column(df)
+    for ok in ([F.col(time) >= start] if start is not None else []) + ([F.col(time) <= end] if end is not None else []):
         df = df.where(ok)
+    if time != "time":
+        df = df.drop("time").withColumnRenamed(time, "time")
     if "flag_row" in df.columns:
         df = df.withColumn("flag", F.col("flag") | F.coalesce("flag_row", F.lit(False)))
     return df
@@ -58,6 +64,43 @@ def pulsar_catalogue(raw: DataFrame) -> DataFrame:
     return got.where("ra_deg is not null and dec_deg is not null")
 
 
+def pulsar_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The pulsar catalogue from its own file format: columns apart by semicolons, a line of units under the header."""
+    return pulsar_catalogue(spark.read.option("header", True).option("sep", ";").option("comment", "#").option("mode", "PERMISSIVE").csv(paths))
+
+
+def survey_catalogue(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(src_name, ra_deg, dec_deg) of a survey's VOTable with the fields Name, RA and Dec; rows without a position are skipped."""
+    got = votable(spark, paths, "Name string, RA double, Dec double")
+    return got.where("RA is not null and Dec is not null").select(F.trim("Name").alias("src_name"), F.col("RA").alias("ra_deg"), F.col("Dec").alias("dec_deg"))
+
+
+def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, file, and what the file's name says) of all files under root whose name fits the pattern; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path")
+    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return files.select("path", "file", *(c.alias(k) for k, c in parse_name(F.col("file")).items()))
+
+
+def first_there(spark: SparkSession, paths: list[str], schema: str, kind: str = "parquet") -> DataFrame:
+    """The first of these tables that exists, else an empty one: a chunk's own candidates, then those of the whole observation."""
+    for path in paths:
+        try:
+            return spark.read.format(kind).option("header", True).schema(schema).load(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return spark.createDataFrame([], schema)
+
+
+def derived_paths(table: str) -> dict[str, str]:
+    """Where a table's candidates go: base name, folder, and the prefixes of chunks (with their start index to be filled in) and of the whole."""
+    folder, _, name = table.rstrip("/").rpartition("/")
+    base = name.removesuffix(".ms").removesuffix(".parquet")
+    out = f"{folder}/candidates" if folder else "candidates"
+    return {"base": base, "folder": out, "chunk": f"{out}/{base}_chunk_{{:06d}}", "all": f"{out}/{base}_all"}
+
+
 def votable(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """Rows of VOTable files by field name, a file a task; fields a file lacks are NULL."""
     kinds = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else spark.createDataFrame([], schema).schema
@@ -80,6 +123,14 @@ def votable(spark: SparkSession, paths: str | list[str], schema: str) -> DataFra
     return text.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in kinds))
 
 
-def catalogue_path(given: str | None, packaged: str) -> str:
-    """A configured path, else the packaged one."""
-    return given or packaged
+def catalogue_path(spark: SparkSession, name: str, packaged: str) -> str:
+    """The path in the session's setting spark.skylattice.catalogue.NAME, if there is such a file, else the packaged one."""
+    given = spark.conf.get(f"spark.skylattice.catalogue.{name}", None)
+    if given:
+        try:
+            spark.read.format("binaryFile").load(given)
+            return given
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return packaged

@@ -1,16 +1,55 @@
 """Writing catalogues, maps, light curves and region files."""
 
+from xml.sax.saxutils import escape, quoteattr
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalogues import region_line, union_by_name
+from ..functions.sky import interval_option, timerange
+from ..operators.catalogues import annotation_lines, region_line, safe_name, union_by_name
+
+# Units of catalogue columns, and data types of VOTable.
+UNITS = {"ra_rad": "rad", "dec_rad": "rad", "ra_deg": "deg", "dec_deg": "deg", "time_start": "s", "time_end": "s", "time_center": "s", "duration": "s", "f_hz": "Hz", "period_s": "s"}
+DATATYPES = {"bigint": "long", "int": "int", "double": "double", "float": "float", "boolean": "boolean"}
 
 
-def catalogue(df: DataFrame, path: str, csv: bool = True) -> None:
-    """Overwrite a catalogue as Parquet, and as CSV beside it."""
+def catalogue(df: DataFrame, path: str, csv: bool = True, vot: bool = False) -> None:
+    """Overwrite a catalogue as Parquet, and as CSV and VOTable beside it."""
     df.write.mode("overwrite").parquet(f"{path}/parquet")
     if csv:
         df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    if vot:
+        votable(df, f"{path}/vot")
+
+
+def votable(df: DataFrame, path: str) -> None:
+    """VOTable documents, one a partition, with units; the reader takes the folder as one table."""
+    text = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
+    fields = "".join(f"<FIELD name={quoteattr(c)} datatype={quoteattr(DATATYPES.get(k, 'char'))}" + ("" if k in DATATYPES else ' arraysize="*"') + (f" unit={quoteattr(UNITS[c])}" if c in UNITS else "") + "/>" for c, k in df.dtypes)
+
+    def lines(batches):
+        yield pa.RecordBatch.from_pydict({"value": [f'<?xml version="1.0"?><VOTABLE version="1.3"><RESOURCE><TABLE>{fields}<DATA><TABLEDATA>']})
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["<TR>" + "".join(f"<TD>{escape(v or '')}</TD>" for v in r) + "</TR>" for r in rows], pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["</TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>"]})
+
+    text.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def by_source(df: DataFrame, path: str) -> None:
+    """A table for each source, in a folder of its name."""
+    df.withColumn("source", safe_name(F.col("srcname"))).write.mode("overwrite").partitionBy("source").option("header", True).csv(path)
+
+
+def summaries(df: DataFrame, path: str) -> None:
+    """A line of text a candidate: name, position, S/N, and what to select its samples by in other tools."""
+    lines = F.concat_ws(
+        " ", "srcname", "ra_hms", "dec_dms", F.format_string("S/N=%.2f", "snr"), F.format_string("width=%d", F.coalesce(F.col("width_samples"), F.lit(-1))),
+        timerange(F.col("time_start"), F.col("time_end")), interval_option(F.col("t0_idx"), F.col("t1_idx_excl")),
+    )
+    df.select(lines.alias("value")).write.mode("overwrite").text(path)
 
 
 def consolidate(parts: list[DataFrame], path: str) -> None:
@@ -37,6 +76,11 @@ def regions(df: DataFrame, path: str) -> None:
     df.select(region_line(F.col("ra"), F.col("dec"), F.col("label")).alias("value")).write.mode("overwrite").text(path)
 
 
+def annotations(df: DataFrame, path: str) -> None:
+    """kvis lines of (ra, dec, label)."""
+    df.select(F.explode(annotation_lines(F.col("ra"), F.col("dec"), F.col("label"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def to_sentinels(df: DataFrame) -> DataFrame:
     """NULLs as catalogue files hold them: -1 for whole numbers, NaN for others, empty text."""
     fill = {"bigint": -1, "int": -1, "double": float("nan"), "float": float("nan"), "string": ""}

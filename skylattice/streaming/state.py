@@ -1,6 +1,7 @@
 """Structured Streaming forms of what the search carries from chunk to chunk."""
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -8,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.robust import finite
+from ..operators.graph import shared_folder
+
 
 def events(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Events as a stream of files; a stream reads a folder, never one file."""
@@ -27,7 +31,14 @@ def dedupe(df: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
 
 
 def welford(df: DataFrame, key: str = "user_id", tau: float | None = None) -> DataFrame:
-    """Running (key, n, mean, m2) of finite values; with tau, of what an exponential mean in event time leaves."""
+    """Running (key, n, mean, m2) of finite values; with tau, of what an exponential mean in event time leaves.
+
+    Counts and moments are aggregates that the engine keeps as state; only the exponential mean, which
+    depends on the order of events, needs a state of its own.
+    """
+    if tau is None:
+        v = finite(F.col("value"))
+        return df.groupBy(key).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("m2"))
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
         n, mean, m2, ema, last = state.get if state.exists else (0, 0.0, 0.0, math.nan, math.nan)
@@ -35,10 +46,9 @@ def welford(df: DataFrame, key: str = "user_id", tau: float | None = None) -> Da
             for at, x in part.sort_values("at")[["at", "value"]].itertuples(index=False):
                 if not math.isfinite(x):
                     continue
-                if tau:
-                    a = 0.0 if math.isnan(last) else 1 - math.exp(-max(0.0, at - last) / tau)
-                    ema = x if math.isnan(ema) else (1 - a) * ema + a * x
-                    last, x = at, x - ema
+                a = 0.0 if math.isnan(last) else 1 - math.exp(-max(0.0, at - last) / tau)
+                ema = x if math.isnan(ema) else (1 - a) * ema + a * x
+                last, x = at, x - ema
                 n += 1
                 d = x - mean
                 mean += d / n
@@ -51,7 +61,8 @@ def welford(df: DataFrame, key: str = "user_id", tau: float | None = None) -> Da
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything available now, into a table in memory, for tests and reports."""
+    """Everything available now, written batch by batch to the shared folder and read again; a batch that is run again replaces itself."""
     spark = df.sparkSession
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.writeStream.foreachBatch(lambda part, k: part.write.mode("overwrite").parquet(f"{at}/out/batch={k}")).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
