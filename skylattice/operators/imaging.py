@@ -52,28 +52,28 @@ def flag_weights(vis: DataFrame) -> DataFrame:
     return vis.withColumn("weight", F.when(F.col("flag"), 0.0).otherwise(F.col("weight").cast("double")))
 
 
-def average_correlations(vis: DataFrame) -> DataFrame:
+def average_correlations(vis: DataFrame, by: list[str] = ()) -> DataFrame:
     """Weighted means over correlations; 0 without weight."""
     mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum("weight")), F.lit(0.0))
-    return vis.groupBy(*CELL, "u", "v").agg(mean("re").alias("re"), mean("im").alias("im"), F.sum("weight").alias("weight"))
+    return vis.groupBy(*by, *CELL, "u", "v").agg(mean("re").alias("re"), mean("im").alias("im"), F.sum("weight").alias("weight"))
 
 
-def single_correlation(vis: DataFrame, label: str) -> DataFrame:
+def single_correlation(vis: DataFrame, label: str, by: list[str] = ()) -> DataFrame:
     """Rows of one correlation; a label that the table lacks is an error."""
     if not vis.where(F.col("corr") == label).limit(1).count():
         raise ValueError(f"no correlation {label}")
-    return vis.where(F.col("corr") == label).select(*CELL, "u", "v", "re", "im", "weight")
+    return vis.where(F.col("corr") == label).select(*by, *CELL, "u", "v", "re", "im", "weight")
 
 
-def indexed_correlation(vis: DataFrame, index: int = 0, labels: list[str] | None = None) -> DataFrame:
+def indexed_correlation(vis: DataFrame, index: int = 0, labels: list[str] | None = None, by: list[str] = ()) -> DataFrame:
     """Rows of the correlation at a place in the table's order of labels (sorted where it isn't given)."""
     names = labels if labels is not None else sorted(r[0] for r in vis.select("corr").distinct().collect())
     if not 0 <= index < len(names):
         raise ValueError(f"no correlation {index} of {names}")
-    return vis.where(F.col("corr") == names[index]).select(*CELL, "u", "v", "re", "im", "weight")
+    return vis.where(F.col("corr") == names[index]).select(*by, *CELL, "u", "v", "re", "im", "weight")
 
 
-def stokes_i(vis: DataFrame, basis: str = "auto", present: tuple[str, ...] = ("XX", "YY")) -> DataFrame:
+def stokes_i(vis: DataFrame, basis: str = "auto", present: tuple[str, ...] = ("XX", "YY"), by: list[str] = ()) -> DataFrame:
     """Mean of the two parallel hands that are there; weight 4/(1/w1 + 1/w2), or the one present."""
     pair = {"linear": ("XX", "YY"), "circular": ("RR", "LL")}
     if basis == "auto":
@@ -82,16 +82,16 @@ def stokes_i(vis: DataFrame, basis: str = "auto", present: tuple[str, ...] = ("X
     if not {a, b} & set(present):
         raise ValueError(f"no {basis} correlations")
     pick = lambda c, k: F.max(F.when(F.col("corr") == k, F.col(c)))
-    wide = vis.where(F.col("corr").isin(a, b)).groupBy(*CELL, "u", "v").agg(*(pick(c, k).alias(f"{c}_{k}") for c in ("re", "im", "weight") for k in (a, b)))
+    wide = vis.where(F.col("corr").isin(a, b)).groupBy(*by, *CELL, "u", "v").agg(*(pick(c, k).alias(f"{c}_{k}") for c in ("re", "im", "weight") for k in (a, b)))
     mean = lambda c: F.when(F.col(f"{c}_{a}").isNotNull() & F.col(f"{c}_{b}").isNotNull(), (F.col(f"{c}_{a}") + F.col(f"{c}_{b}")) / 2).otherwise(F.coalesce(f"{c}_{a}", f"{c}_{b}"))
     both = F.coalesce(F.try_divide(4 * F.col(f"weight_{a}") * F.col(f"weight_{b}"), F.col(f"weight_{a}") + F.col(f"weight_{b}")), F.lit(0.0))
     weight = F.when(F.col(f"weight_{a}").isNotNull() & F.col(f"weight_{b}").isNotNull(), both).otherwise(F.coalesce(f"weight_{a}", f"weight_{b}"))
-    return wide.select(*CELL, "u", "v", mean("re").alias("re"), mean("im").alias("im"), weight.alias("weight"))
+    return wide.select(*by, *CELL, "u", "v", mean("re").alias("re"), mean("im").alias("im"), weight.alias("weight"))
 
 
-def normalise_weights(vis: DataFrame, by: str = "t") -> DataFrame:
+def normalise_weights(vis: DataFrame, by: list[str] = ("t",)) -> DataFrame:
     """Weights over the largest of their frame; all 0 if the frame is flagged."""
-    top = F.max("weight").over(Window.partitionBy(by))
+    top = F.max("weight").over(Window.partitionBy(*by))
     return vis.withColumn("weight", F.when(top > 0, F.col("weight") / top).otherwise(0.0))
 
 
@@ -147,8 +147,9 @@ def dirty_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",)) ->
 def frame_images(vis: DataFrame, n: int, cell: float, mode: str = "average", label: str = "XX", by: list[str] = ("t",)) -> DataFrame:
     """Images of all frames from raw visibilities: weights, flags, one of the collapses (average, single, stokesI), weights over their frame's largest, Fourier sums."""
     vis = flag_weights(weight_source(require_columns(vis, *CELL, "corr", "u", "v", "re", "im", "flag")))
+    more = [c for c in by if c not in CELL]
     if mode == "stokesI":
-        flat = stokes_i(vis, present=tuple(r[0] for r in vis.select("corr").distinct().collect()))
+        flat = stokes_i(vis, present=tuple(r[0] for r in vis.select("corr").distinct().collect()), by=more)
     else:
-        flat = single_correlation(vis, label) if mode == "single" else average_correlations(vis)
-    return dirty_image(normalise_weights(flat), n, cell, by)
+        flat = single_correlation(vis, label, more) if mode == "single" else average_correlations(vis, more)
+    return dirty_image(normalise_weights(flat, by), n, cell, by)

@@ -29,8 +29,8 @@ def visibilities(spark: SparkSession, path: str, start: float | None = None, end
 
 def one_window(spw: DataFrame) -> DataFrame:
     """Channel frequencies and wavelengths; more than one spectral window raises when run."""
-    n = spw.agg(F.count_distinct("spw").alias("n")).select(F.assert_true(F.col("n") <= 1, F.lit("more than one spectral window")).alias("ok"), "n")
-    return spw.join(F.broadcast(n), F.col("n") <= 1).select("chan", "freq_hz", (F.lit(299792458.0) / F.col("freq_hz")).alias("wavelength_m"))
+    one = spw.agg(F.assert_true(F.count_distinct("spw") <= 1, F.lit("more than one spectral window")).alias("ok"))
+    return spw.join(F.broadcast(one), F.col("ok").isNull()).select("chan", "freq_hz", (F.lit(299792458.0) / F.col("freq_hz")).alias("wavelength_m"))
 
 
 def phase_centre(fields: DataFrame, name: str | None = None) -> tuple[float, float, str]:
@@ -66,7 +66,7 @@ def pulsar_catalogue(raw: DataFrame) -> DataFrame:
 
 def pulsar_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The pulsar catalogue from its own file format: columns apart by semicolons, a line of units under the header."""
-    return pulsar_catalogue(spark.read.option("header", True).option("sep", ";").option("comment", "#").option("mode", "PERMISSIVE").csv(paths))
+    return pulsar_catalogue(spark.read.option("header", True).option("sep", ";").csv(paths))
 
 
 def survey_catalogue(spark: SparkSession, paths: str | list[str]) -> DataFrame:
