@@ -29,6 +29,7 @@ from .common import checkpointed, table
 
 BLOCKS, MAX_REPEATS, SECTIONS, ROUNDS = 4096, 4.0, 32, 6
 
+
 def tokens_of(text_col: str):
     """Words between white space: a token count that needs no vocabulary."""
     return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long")
@@ -50,9 +51,11 @@ def power_for(sources: DataFrame, target_entropy: float | None, max_repeats: flo
     lo, hi = 0.0, most
     for _ in range(ROUNDS):
         at = [lo + (hi - lo) * k / SECTIONS for k in range(SECTIONS + 1)]
-        log_p = F.log(F.col("tokens") / F.lit(float(first.hi)))
-        sums = sources.agg(*(F.sum(F.exp(log_p * a)).alias(f"z{k}") for k, a in enumerate(at)), *(F.sum(F.exp(log_p * a) * log_p * a).alias(f"s{k}") for k, a in enumerate(at))).first()
-        entropy = [math.log(sums[f"z{k}"]) - sums[f"s{k}"] / sums[f"z{k}"] for k in range(len(at))]
+        # A row a source and power, added up by power before anything is shuffled.
+        each = sources.select(F.log(F.col("tokens") / F.lit(float(first.hi))).alias("log_p"), F.posexplode(F.lit(at)).alias("k", "a"))
+        weight = F.exp(F.col("log_p") * F.col("a"))
+        sums = each.groupBy("k").agg(F.sum(weight).alias("z"), F.sum(weight * F.col("log_p") * F.col("a")).alias("s")).collect()
+        entropy = [math.log(r.z) - r.s / r.z for r in sorted(sums)]
         k = next((k for k, h in enumerate(entropy) if h <= goal), None)
         if k is None:
             warnings.warn(f"mixing: at most {max_repeats} repeats leave an entropy of {entropy[-1] / math.log(first.n):.4f} of the largest, over the target {target_entropy}", stacklevel=2)
