@@ -766,6 +766,63 @@ def test_components_of_a_chain_and_a_hub(spark):
 # Pipeline
 
 
+def tables(spark, folder, docs, labels, benchmark):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """Planted rows of every kind, nulls, repeats and clashing names, from documents to the mix."""
+    r = random.Random(13)
+    voice = {"en": "abcdefgh", "de": "ijklmnop"}
+    say = lambda x, n=60: " ".join("".join(r.choices(voice[x], k=r.randint(3, 6))) for _ in range(n))
+    ids = iter(range(10_000))
+    rows, labels = [], []
+    for k in range(400):
+        lang, bad = ("en", "de")[k % 2], k % 10 == 0
+        text = say(lang, 30) + (" zzfoul" if bad else "") + " " + say(lang, 30)
+        rows.append((i := next(ids), text, lang, f"s{k % 3}"))
+        labels.append((i, 1, int(bad)))
+    toxic = [(next(ids), say("en", 20) + " zzfoul " + say("en", 20), "en", "s0") for _ in range(5)]
+    strange = [(next(ids), " ".join("qrstuv"[k % 6] * 3 + "wxyz"[k % 4] for k in range(80)), None, "s1")]
+    first = say("de", 200)
+    copies = [(next(ids), first, "de", "s2"), (next(ids), first, "de", "s2"), (None, first, None, None)]
+    items = [(1, say("en", 40)), (2, say("de", 30)), (None, None)]
+    leaks = [(next(ids), say("en", 20) + " " + " ".join(items[0][1].split()[20:] + ["between"] + items[0][1].split()[:20]), "en", "s0"), (next(ids), items[1][1].upper(), "de", "s1")]
+    odd = [(None, None, None, None), (next(ids), "", "en", "s0"), (None, "12 34", "de", None), (7777, say("en"), None, None), (7777, say("en"), None, None)]
+    docs = spark.createDataFrame(rows + toxic + strange + copies + leaks + odd, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text"), "score": F.lit("kept"), "contaminated": F.lit(1)})
+    sf = tables(spark, tmp_path, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), spark.createDataFrame(items, "item_id long, text string"))
+    out = common.checkpointed(corpus_pipeline.run(spark, sf))
+    kept = {x.doc_id for x in out.collect()}
+    gone = {x[0] for x in toxic + strange + leaks + copies[1:2]} | {i for i, _, b in labels if b}
+    assert gone & kept == set() and copies[0][0] in kept and 7777 in kept
+    clean = {x[0] for x in rows} - {i for i, _, b in labels if b}
+    assert len(clean & kept) >= 0.99 * len(clean)
+    # Stage by stage, each on what its predecessor kept.
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.checkpointed(stage(spark, now, sf))
+        if name == "language_id":
+            model = language.train(now)
+            said = language.predict(now, model, keep=["doc_id", "text"]).collect()
+            assert sorted(str(x.text) for x in said if not x.rejected) == sorted(str(x.text) for x in after.collect())
+            assert {x.lang_pred for x in said if x.text in (None, "", "12 34")} <= {"und"}
+        if name == "decontamination":
+            words = lambda t: decontaminate.words_of(t or "")
+            hold = lambda t: any(w and brute_tiling(words(t), w, min(5, len(w))) >= 0.8 * len(w) for _, x in items if (w := words(x)))
+            some = [x for x in now.collect() if set(words(x.text)) & set(words(items[0][1]) + words(items[1][1]))][:6]
+            left = {x.text for x in after.collect()}
+            assert len(some) >= 2 and all((x.text in left) != hold(x.text) for x in some)
+        now = after
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    sf = tables(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
