@@ -256,10 +256,10 @@ def artefact_match(artefacts: DataFrame, names: DataFrame, kind: str | None = No
     the names: an equi-join, not every file against every name.  kind leaves out files of other families.
     """
     given = names.where("srcname <> ''").select("srcname").distinct()
-    lengths = given.select(F.length("srcname").alias("size")).distinct()  # as many rows as names have lengths
+    sizes = sorted(r[0] for r in given.select(F.length("srcname")).where(F.length("srcname") <= 255).distinct().collect())  # a file name has 255 characters at most
     files = family_filter(artefacts.select("artefact").distinct(), kind) if kind else artefacts.select("artefact").distinct()
     starts = F.expr("filter(sequence(2, greatest(2, length(artefact))), i -> substring(artefact, i - 1, 1) = '_')")
-    cut = files.select("artefact", F.explode(starts).alias("i")).join(F.broadcast(lengths))
+    cut = files.select("artefact", F.explode(starts).alias("i")).withColumn("size", F.explode(F.lit(sizes).cast("array<int>")))
     cut = cut.withColumns({"srcname": F.expr("substring(artefact, i, size)"), "then": F.expr("substring(artefact, i + size, 1)"), "cand": F.expr("i > 5 and substring(artefact, i - 5, 5) = 'cand_'")})
     fits = (F.length("srcname") == F.col("size")) & (F.col("cand") | F.col("then").isin("_", "."))
     return cut.where(fits).select("artefact", "srcname").join(given, "srcname", "left_semi").select("artefact", "srcname").distinct()

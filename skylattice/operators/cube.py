@@ -271,6 +271,40 @@ def snippet_peak(snips: DataFrame) -> DataFrame:
     return mid.groupBy("cand").agg(F.max_by("dt", F.struct("flux", -F.col("dt"))).alias("dt"), F.max("flux").alias("flux"))
 
 
+def window_means(cube: DataFrame, widths: list[int], by: list[str] = ()) -> DataFrame:
+    """(by..., width, t, y, x, flux): means of the full windows of all widths, by their first time, from one pass."""
+    each = F.array(*(F.struct(F.lit(w).cast("long").alias("width"), F.avg("flux").over(along(w, by)).alias("flux"), (F.count("flux").over(along(w, by)) == w).alias("full")) for w in widths))
+    return cube.select(*by, "t", *PIXEL, each.alias("each")).select(*by, "t", *PIXEL, F.inline("each")).where("full").drop("full")
+
+
+def smoothed_snippets(cube: DataFrame, cand: DataFrame, widths: list[int], length: int = 25, size: int = 50, pad: str = "constant", value: float = 0.0, centre: str = "right", by: list[str] = ()) -> DataFrame:
+    """(by..., cand, k, dy, dx, centre, flux): `length` smoothed frames and size x size pixels around candidates (by..., cand, t, y, x, width), t being the first time of their window.
+
+    Frames are means over the candidate's own width; centre is the time at a frame's middle.  What lies outside of the
+    smoothed cube is the pad value, or with pad `edge` the nearest that exists.  Widths that no candidate may have are left out.
+    """
+    steps = lambda n: F.explode(F.sequence(F.lit(-(n // 2)).cast("long"), F.lit(n - n // 2 - 1).cast("long")))
+    grid = cand.select(*by, "cand", "width", F.col("t").alias("ct"), F.col("y").alias("cy"), F.col("x").alias("cx")).withColumn("k", steps(length)).withColumn("dy", steps(size)).withColumn("dx", steps(size))
+    at = {"t": F.col("ct") + F.col("k"), "y": F.col("cy") + F.col("dy"), "x": F.col("cx") + F.col("dx")}
+    shift = F.floor(F.col("width") / 2) if centre == "right" else F.floor((F.col("width") - 1) / 2)
+    grid = grid.withColumn("centre", (at["t"] + shift).cast("long"))
+    if pad == "edge":
+        ends = cube.groupBy(*by).agg(*(f(c).alias(f"{n}_{c}") for c in at for n, f in (("lo", F.min), ("hi", F.max))))
+        grid = grid.join(F.broadcast(ends), list(by)) if by else grid.join(F.broadcast(ends))  # a row an observation
+        last = {"t": F.col("hi_t") - F.col("width") + 1, "y": F.col("hi_y"), "x": F.col("hi_x")}
+        at = {c: F.greatest(F.col(f"lo_{c}"), F.least(last[c], v)) for c, v in at.items()}
+    grid = grid.withColumns(at)
+    found = grid.join(window_means(cube, widths, by), [*by, "width", "t", *PIXEL], "left")
+    return found.select(*by, "cand", "k", "dy", "dx", "centre", F.coalesce("flux", F.lit(value)).alias("flux"))
+
+
+def map_snippets(maps: DataFrame, cand: DataFrame, size: int = 50, value: str = "std") -> DataFrame:
+    """(cand, dy, dx, flux): size x size pixels of one map (y, x, std) around candidates (cand, y, x), the nearest pixel beyond its edges."""
+    one = maps.select(F.lit(0).cast("long").alias("t"), *PIXEL, F.col(value).alias("flux"))
+    own = cand.select("cand", F.lit(0).cast("long").alias("t"), *PIXEL, F.lit(1).cast("long").alias("width"))
+    return smoothed_snippets(one, own, [1], 1, size, "edge").drop("k", "centre")
+
+
 def light_curves(cube: DataFrame, cand: DataFrame, width: int) -> DataFrame:
     """(cand, t, flux, smooth) at candidates' pixels; smooth is the forward mean of full windows."""
     w = Window.partitionBy("cand").orderBy("t").rowsBetween(0, width - 1)

@@ -765,6 +765,17 @@ def snippet_peak(spark, sf):
     return C.snippet_peak(C.snippets(N.cube(spark, sf), _cand(spark, sf), 2, 1))
 
 
+@query(
+    ctes("cube") + CAND + """, cw as (select *, 1 << (t % 3)::int as width from cand), sm as (select 1 as width, t, y, x, flux from cube union all select * from (select w as width, t, y, x, case when w = 2 then avg(flux) over w2 else avg(flux) over w4 end as flux from cube cross join (values (2), (4)) v(w)
+  window w2 as (partition by w, y, x order by t rows between current row and 1 following), w4 as (partition by w, y, x order by t rows between current row and 3 following)) where t + width - 1 <= (select max(t) from cube))
+select cw.cand, k, dy, dx, cw.t + k + cw.width // 2 as centre, round(coalesce(sm.flux, 0), 6) as flux from cw cross join (select unnest(generate_series(-2, 2)) as k) cross join (select unnest(generate_series(-1, 0)) as dy) cross join (select unnest(generate_series(-1, 0)) as dx)
+left join sm on sm.width = cw.width and sm.t = cw.t + k and sm.y = cw.y + dy and sm.x = cw.x + dx"""
+)
+def snippet_smoothed(spark, sf):
+    cand = _cand(spark, sf).withColumn("width", F.pow(F.lit(2), F.col("t") % 3).cast("long"))
+    return r6(C.smoothed_snippets(N.cube(spark, sf), cand, [1, 2, 4], 5, 2))
+
+
 @query(ctes("cube") + CAND + " select cand, cube.t, flux, case when count(*) over w = 4 then avg(flux) over w end as smooth from cand join cube using (y, x) window w as (partition by cand order by cube.t rows between current row and 3 following)")
 def lightcurve(spark, sf):
     return C.light_curves(N.cube(spark, sf), _cand(spark, sf), 4)

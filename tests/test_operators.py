@@ -261,6 +261,20 @@ def test_peaks_by_flux_and_by_deviation(spark):
     assert {r.t: r["mean"] for r in C.frame_means(df).collect()}[3] == 14.0 and C.window_image(df, 1, 3).first().flux == 5.5
 
 
+def test_smoothed_snippets_and_maps_at_the_edge(spark):
+    a = np.arange(5 * 3 * 3, dtype=float).reshape(5, 3, 3)
+    cand = spark.createDataFrame([(7, 3, 0, 2, 2)], "cand long, t long, y long, x long, width long")
+    for pad in ("constant", "edge"):
+        got = {(r.k, r.dy, r.dx): (r.flux, r.centre) for r in C.smoothed_snippets(cube_of(spark, a), cand, [1, 2], 3, 3, pad, -1.0).collect()}
+        assert len(got) == 27 and got[0, 0, 0] == ((a[3, 0, 2] + a[4, 0, 2]) / 2, 4) and got[-1, 1, -1] == ((a[2, 1, 1] + a[3, 1, 1]) / 2, 3)
+        assert got[1, 0, 0][0] == (-1.0 if pad == "constant" else got[0, 0, 0][0]) and got[0, -1, 1][0] == (-1.0 if pad == "constant" else got[0, 0, 0][0])
+    left = C.smoothed_snippets(cube_of(spark, a), cand, [2], 1, 1, centre="left").first()
+    assert left.centre == 3
+    maps = spark.createDataFrame([(y, x, float(10 * y + x)) for y in range(3) for x in range(3)], "y long, x long, std double")
+    got = {(r.dy, r.dx): r.flux for r in C.map_snippets(maps, cand, 4).collect()}
+    assert len(got) == 16 and got[0, 0] == 2.0 and got[-2, 1] == 2.0 and got[1, -2] == 10.0
+
+
 # Images and spectra
 
 
