@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -65,4 +66,9 @@ def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.writeStream.foreachBatch(lambda part, k: part.write.mode("overwrite").parquet(f"{at}/out/batch={k}")).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/out")
+    try:
+        return spark.read.schema(df.schema).parquet(f"{at}/out")
+    except AnalysisException as e:  # no batch had come
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], df.schema)

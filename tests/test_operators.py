@@ -511,6 +511,8 @@ def test_running_mean_in_event_time(spark, tmp_path):
         ema = (1 - a) * ema + a * v
         want.append(v - ema)
     assert got[1].n == 3 and got[1]["mean"] == pytest.approx(np.mean(want)) and got[1].m2 == pytest.approx(np.var(want) * 3) and got[2].m2 == 0.0
+    (tmp_path / "none").mkdir()
+    assert state.run_once(state.dedupe(spark.readStream.schema(df.schema).parquet(str(tmp_path / "none")), ["user_id"]), "none_out").count() == 0
     plain = {r.user_id: r.n for r in state.run_once(state.welford(stream), "plain_out", "update").collect()}
     assert plain == {1: 3, 2: 2}
 
