@@ -85,11 +85,16 @@ class Node:
 
     def close(self) -> None:
         """All parts are there: their hash, their characters, and whether one is prose."""
-        below = [p for p in self.parts if not isinstance(p, str)]
-        sums = "\0".join([self.name, self.said, *(p if isinstance(p, str) else f"\1{p.hash}" for p in self.parts)])
-        self.hash = xxhash.xxh64_intdigest(sums.encode("utf-8", "replace"))
-        self.prose = self.prose or any(p.prose for p in below)
-        self.size = sum(len(p) if isinstance(p, str) else p.size for p in self.parts)
+        said = [self.name, self.said]
+        for p in self.parts:
+            if isinstance(p, str):
+                said.append(p)
+                self.size += len(p)
+            else:
+                said.append(f"\1{p.hash}")
+                self.size += p.size
+                self.prose = self.prose or p.prose
+        self.hash = xxhash.xxh64_intdigest("\0".join(said).encode("utf-8", "replace"))
 
 
 class Open:
@@ -100,7 +105,7 @@ class Open:
         self.stack, self.blocks, self.names = [self.root], [], Counter()
 
     def push(self, name: str, said: str) -> Node:
-        node = Node(name, said, any(self.names[x] for x in MAIN))
+        node = Node(name, said, self.names["article"] > 0 or self.names["main"] > 0)
         self.stack[-1].parts.append(node)
         if name in BLOCKS:
             self.blocks.append(len(self.stack))
@@ -162,14 +167,14 @@ def parse(page: str) -> Node:
         text(at, len(page) if lt < 0 else lt)
         if lt < 0:
             break
-        if page.startswith("<!--", lt):
-            at = behind("-->", lt + 4)
-        elif page.startswith("<![CDATA[", lt):
-            at = behind("]]>", lt + 9)
-        elif page.startswith(("<!", "<?"), lt):
-            at = behind(">", lt + 2)
+        mark = page[lt + 1 : lt + 2]
+        if mark == "!" or mark == "?":
+            if page.startswith("<!--", lt):
+                at = behind("-->", lt + 4)
+            else:
+                at = behind("]]>", lt + 9) if page.startswith("<![CDATA[", lt) else behind(">", lt + 2)
         else:
-            ending = page.startswith("</", lt)
+            ending = mark == "/"
             m = NAME.match(page, lt + 1 + ending)
             if not m:
                 text(lt, lt + 1)
