@@ -87,25 +87,42 @@ def swaps(text: bytes, lists: list[list[str]], mined: set[str] = frozenset()) ->
     return out
 
 
+def gathered(source: np.ndarray, place: np.ndarray, size: int):
+    """A function that adds values[source] up by place, which is sorted once."""
+    order = np.argsort(place, kind="stable")
+    source, place = source[order].astype(np.intp), place[order]
+    first = np.flatnonzero(np.r_[True, np.diff(place) != 0][: len(place)])
+    here = place[first]
+
+    def added(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        if len(here):
+            out[here] = np.add.reduceat(values[source], first)
+        return out
+
+    return added
+
+
 def fit(ids: list[np.ndarray], y: np.ndarray, m: int, pairs: dict[tuple[int, int], int], l1: float = L1, pairing: float = PAIRING, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights of m words, and the intercept, by accelerated proximal gradient steps; ids: the numbers of each row's words."""
     if len(set(y.tolist())) < 2:
         return np.zeros(m), 500.0 if len(y) and y[0] else -500.0
     n = len(ids)
-    row, cols = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in ids]), np.concatenate(ids).astype(np.int32)
+    row, cols = np.repeat(np.arange(n), [len(x) for x in ids]), np.concatenate(ids)
+    by_row, by_word = gathered(cols, row, n), gathered(row, cols, m)  # weights of a row's words, errors of a word's rows
     pa_, pb = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     pn = np.array(list(pairs.values()), float) / max(1, sum(pairs.values()))
     # The step: a bound on the curvature, from the longest text's share and the pairs.
     v, top = np.ones(m), 0.0
     for _ in range(20):
-        v = np.bincount(cols, weights=np.bincount(row, weights=v[cols], minlength=n)[row], minlength=m)
+        v = by_word(by_row(v))
         top = np.linalg.norm(v)
         v /= max(top, 1e-300)
     lip = 0.25 * (top + n) / n + 4 * pairing * (np.bincount(pa_, pn, m) + np.bincount(pb, pn, m)).max(initial=0) + 1e-9
     w, b, z, zb, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     for _ in range(rounds):
-        err = sigmoid(np.bincount(row, weights=z[cols], minlength=n) + zb) - y
-        grad = np.bincount(cols, weights=err[row], minlength=m) / n
+        err = sigmoid(by_row(z) + zb) - y
+        grad = by_word(err) / n
         if len(pn):
             gap = 2 * pairing * pn * (z[pa_] - z[pb])
             grad += np.bincount(pa_, gap, m) - np.bincount(pb, gap, m)
@@ -115,8 +132,7 @@ def fit(ids: list[np.ndarray], y: np.ndarray, m: int, pairs: dict[tuple[int, int
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
-    logit = np.bincount(row, weights=w[cols], minlength=n) + b
-    return w, float(b - best_cut(logit, y))
+    return w, float(b - best_cut(by_row(w) + b, y))
 
 
 def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
