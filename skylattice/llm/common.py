@@ -17,7 +17,7 @@ from ..operators.graph import connected_components, joined_evenly, salted, share
 from ..operators.graph import settled as checkpointed  # noqa: F401
 
 TEXT = "__text_bytes"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BATCH_BYTES, DEFAULT_BATCH = "4m", "67108864b"  # the second is what Spark says where nothing is set
 
 
