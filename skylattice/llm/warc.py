@@ -107,7 +107,7 @@ def headers_of(raw: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for line in raw.decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or not re.fullmatch(r"[!-9;-~]+", name):
             raise ValueError(f"no header line: {line[:80]!r}")
         if name.lower() in out:
             raise ValueError(f"two headers {name}")

@@ -851,3 +851,275 @@ def test_pipeline_stages(spark):
             assert set(got) <= before and len(got) == len(set(got)) and after.columns == names
         docs = after
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+# The operators of the third round, against brute force
+
+
+def trie_of(rows, heads=None):
+    """{(texts of the path): (conv_id, depth, parent, n_convs, n_children, n_leaves, saved, digest)} by walking whole prefixes."""
+    turns = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            turns[c].append((t is not None, t or 0, r or "", x or ""))
+    plain = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in turns.items()}
+    built = {}
+    for c, own in plain.items():
+        giver, h = heads(c) if heads else (c, 0)
+        built[c] = plain.get(giver, [])[:h] + own[h:]
+    members = defaultdict(list)
+    for c, own in built.items():
+        for d in range(len(own) + 1):
+            members[tuple(own[:d])].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, who in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(who) - 1) * len(p[-1][1]) if p else 0
+    digest = lambda p, who: hashlib.sha256(",".join(map(str, sorted(c for c in who if len(built[c]) == len(p)))).encode()).hexdigest()
+    return sorted((min(w), len(p), min(members[p[:-1]]) if p else -1, len(w), children[p], leaves[p], saved[p], digest(p, w)) for p, w in members.items())
+
+
+CONV = "conv_id long, turn long, role string, text string"
+
+
+def trie_rows(df):
+    return sorted((r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in df.collect())
+
+
+def crc_heads(c):
+    return c - c % 100, zlib.crc32(str(c).encode()) % 6
+
+
+def random_conversations(seed, n=60):
+    rng = random.Random(seed)
+    rows = [(c, t, rng.choice("ab"), rng.choice(["x", "yy", "zzz"])) for c in range(150, 150 + n) for t in range(rng.choice([0, 1, 2, 3, 7]))]
+    rows += [(200, t, "u", f"long {t}") for t in range(300)] + [(201, t, "u", f"long {t}") for t in range(250)] + [(7, None, None, None), (7, 0, "a", "x"), (None, 0, "a", "x"), (8, 0, "a", "x"), (8, 0, "a", "x")]
+    return rows
+
+
+@pytest.mark.parametrize(("key_bits", "base"), [(61, None), (2, 1), (2, None)])
+def test_prefix_trie_by_brute_force(spark, key_bits, base):
+    """Two bits a turn, and a polynomial whose turns commute, make nearly every group one of collisions."""
+    from skylattice.llm import trie
+
+    rows = random_conversations(key_bits)
+    df = spark.createDataFrame(rows, CONV).withColumn("depth", F.lit(1)).withColumn("h", F.lit("x"))
+    own = {"key_bits": key_bits} | ({"base": base} if base else {})
+    assert trie_rows(trie.prefix_trie(df, heads=trie.borrowed_heads, **own)) == trie_of(rows, crc_heads)
+    assert trie_rows(trie.prefix_trie(df, **own)) == trie_of(rows)
+
+
+def test_prefix_trie_of_one_long_conversation_over_many_ranges(spark):
+    """A conversation that spans ranges and depth blocks, copies of it, and a head longer than its giver."""
+    from skylattice.llm import trie
+
+    rows = [(0, t, "u", f"{t % 7}") for t in range(9000)] + [(c, t, "u", f"{t % 7}") for c in (101, 102, 103) for t in range(4200)] + [(c, 0, "u", "only") for c in range(300, 340)]
+    got = trie.prefix_trie(spark.createDataFrame(rows, CONV).repartition(8), heads=trie.borrowed_heads)
+    built = trie_rows(got)
+    heads = {c: crc_heads(c) for c in (0, 101, 102, 103, *range(300, 340))}
+    assert {r[1] for r in built if r[0] == 0} >= {0, 8999}
+    assert len(built) == len(trie_key_count(rows, heads))
+    top = next(r for r in built if r[1] == 0)
+    assert top[3] == 44 and top[5] == sum(r[4] == 0 for r in built)
+    assert top[6] == sum((r[3] - 1) * size for r, size in zip(sorted(built), trie_key_count(rows, heads), strict=True))
+
+
+def trie_key_count(rows, heads):
+    """The size of the last text of each node, nodes in the order of (smallest member, depth)."""
+    plain = defaultdict(list)
+    for c, _, r, x in rows:
+        plain[c].append((r, x))
+    ids, nodes = {}, {}
+    for c in sorted(plain):
+        giver, h = heads[c]
+        at, own = 0, plain.get(giver, [])[:h] + plain[c][h:]
+        nodes.setdefault(0, (c, 0, 0))
+        for d, turn in enumerate(own, 1):
+            at = ids.setdefault((at, turn), len(ids) + 1)
+            nodes.setdefault(at, (c, d, len(turn[1])))
+    return [size for _, _, size in sorted(nodes.values())]
+
+
+def test_prefix_trie_of_nothing(spark):
+    from skylattice.llm import trie
+
+    assert trie.prefix_trie(spark.createDataFrame([], CONV)).collect() == []
+    only = trie.prefix_trie(spark.createDataFrame([(130, 0, "a", "x")], CONV), heads=lambda c: (c - c % 100, F.lit(5))).collect()
+    assert [(r.conv_id, r.depth, r.n_convs, r.n_leaves, r.ends_sha256) for r in only] == [(130, 0, 1, 1, hashlib.sha256(b"130").hexdigest())]
+
+
+def test_scan_is_the_polynomial():
+    from skylattice.llm import trie
+
+    rng = np.random.default_rng(3)
+    value, first = rng.integers(0, trie.PRIME, 500).astype(np.uint64), rng.random(500) < 0.05
+    got, h = trie.scan(value, first, trie.BASE), 0
+    for k in range(500):
+        h = ((0 if first[k] else h) * trie.BASE + int(value[k])) % trie.PRIME
+        assert h == int(got[k])
+
+
+PAGE = "page_id long, url string, html string, payload string, kind string"
+
+
+def archived(spark, rows, tmp_path, **options):
+    from skylattice.llm import warc
+
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame([(*r, "p", "k") for r in rows], PAGE), path, **options)
+    return path, warc.read_archives(spark, path)
+
+
+def test_archives_give_back_every_page(spark, tmp_path):
+    from skylattice.llm import warc
+
+    rows = [(i, f"http://h{i % 3}.org/a b?{i}\r\nX: y", f"<p>page {i % 40} é</p>" * (1 + i % 5)) for i in range(120)]
+    rows += [(500, None, None), (501, "", ""), (502, "u", "x" * 3_000_000), (None, "u", "only one"), (None, "v", "<p>page 1 é</p>" * 2), (7, "z", rows[7][2]), (7, "z", rows[7][2])]
+    path, got = archived(spark, rows, tmp_path, archive_bytes=1 << 12)
+    got = got.collect()
+    assert not [r for r in got if r.problem] and len(got) == len(rows)
+    assert len({r.archive for r in got}) > 3
+    payload = [r[2] or "" for r in rows]
+    least = {}
+    for (i, _, _), h in zip(rows, payload, strict=True):
+        if i is not None:
+            least[h] = min(i, least.get(h, i))
+    want = Counter()
+    for h in set(payload):
+        ids = [r[0] for r, own in zip(rows, payload, strict=True) if own == h]
+        best = least.get(h)
+        for k, i in enumerate(sorted(ids, key=lambda i: (i is None, i))):
+            want[i, "response" if k == 0 else "revisit", len(h.encode()), warc.digest32(h.encode()), None if k == 0 else best] += 1
+    page = lambda x: None if x in (None, "<urn:page:>") else int(x[10:-1])
+    assert Counter((page(r.record_id), r.record_type, r.payload_bytes, r.payload_digest, page(r.refers_to)) for r in got) == want
+    assert all(bytes(r.payload).decode() in payload for r in got if r.record_type == "response")
+    assert all(r.payload is None for r in got if r.record_type == "revisit")
+    assert all("\r" not in (r.url or "") and "X: y" not in (r.url or "") for r in got)
+
+
+def test_archives_of_few_bytes_and_of_nothing(spark, tmp_path):
+    rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]
+    got = archived(spark, rows, tmp_path / "a", min_bytes=3)[1].collect()
+    assert sorted((r.record_id, r.record_type) for r in got) == [("<urn:page:1>", "response"), ("<urn:page:2>", "response"), ("<urn:page:3>", "response"), ("<urn:page:4>", "revisit")]
+    assert archived(spark, [], tmp_path / "b")[1].collect() == []
+
+
+def test_archives_are_held_against_their_headers():
+    """Lengths, digests, headers and frames that are wrong are each found; the rest of the archive is read."""
+    import struct
+
+    import zstandard
+
+    from skylattice.llm import warc
+
+    good = warc.record("response", 1, "http://a", b"<p>hello</p>" * 50, "2024-01-01T00:00:00Z")
+    assert warc.parsed(good)["payload"] == b"<p>hello</p>" * 50
+    dictionary = zstandard.train_dictionary(2000, [warc.record("response", k, "http://a", f"{k} some text to learn from {k * k}".encode() * 9, "2024") for k in range(300)]).as_bytes()
+    encoder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    empty = warc.EMPTY_FRAME.encode()
+    for lead in (warc.dictionary_frame(dictionary), warc.DICTIONARY_MAGIC + struct.pack("<I", len(dictionary)) + dictionary):
+        archive = lead + empty + encoder.compress(good) + empty + empty + encoder.compress(good + b"") + empty
+        assert [x for _, x in warc.frames(archive)] == [good, good]
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.frames(archive[: -len(empty) - 3]))
+    with pytest.raises(zstandard.ZstdError):
+        list(warc.frames(encoder.compress(good)))  # no dictionary
+    wrong = {
+        "no WARC record": good.replace(b"WARC/1.1", b"WARC/9.1"),
+        "announced": good.replace(b"</p>\r\n\r\n", b"</p>x\r\n\r\n"),
+        "headers missing": good.replace(b"WARC-Date", b"WARC-Dote"),
+        "no length of the block": re.sub(rb"(response\r\n)Content-Length: \d+", rb"\1Content-Length: -4", good),
+        "block's digest": good.replace(b"hello", b"hullo"),
+        "no header line": good.replace(b"WARC-Date: ", b"WARC-Date "),
+        "two headers": good.replace(b"WARC-Date: ", b"WARC-Type: x\r\nWARC-Date: "),
+    }
+    for why, raw in wrong.items():
+        with pytest.raises(ValueError, match=why):
+            warc.parsed(raw)
+
+
+def test_an_archive_that_is_cut_off_keeps_what_is_before(spark, tmp_path):
+    from skylattice.llm import warc
+
+    path, got = archived(spark, [(i, "u", f"text {i} " * 30) for i in range(20)], tmp_path)
+    file = next(p for p in (tmp_path / "archives").iterdir() if p.name.startswith("part") and p.stat().st_size)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "one").write_bytes(file.read_bytes()[:-40])
+    rows = warc.read_archives(spark, str(tmp_path / "bad")).collect()
+    assert sum(r.problem is None for r in rows) == 19 and sum("cut off" in (r.problem or "") for r in rows) == 1
+
+
+def phrases_of(docs, least, longest, top, percent=100):
+    """The contract's rules on lists of words."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\n-\r]", low):
+            w = re.findall(r"[^ \t]+", piece)
+            n[lang or "und"] += len(w)
+            for d in range(1, longest + 1):
+                f[lang or "und"].update(tuple(w[i : i + d]) for i in range(len(w) - d + 1))
+    out = []
+    for lang, own in f.items():
+        often = {p: a for p, a in own.items() if a >= least}
+        inside = lambda s, b: any(b[i : i + len(s)] == s for i in range(len(b) - len(s) + 1))
+        rows = []
+        for p, a in often.items():
+            if len(p) < 2 or any(len(b) > len(p) and 100 * x >= percent * a and inside(p, b) for b, x in often.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (own[p[:k]] * own[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        out += [(lang, r + 1, p.decode(), -a, x, y, n[lang], -s) for r, (s, a, p, x, y) in enumerate(sorted(rows)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("percent", "words", "bits"), [(100, 1 << 21, 27), (70, 60, 12)])
+def test_phrases_by_brute_force(spark, percent, words, bits):
+    from skylattice.llm import phrases
+
+    rng = random.Random(percent)
+    vocabulary = ["the", "The", "of", "a", "New", "york", "city", "é", "É", "in", "\x1c", "x" * 40]
+    docs = [(rng.choice(["en", "de", None, "und"]), "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\t", ". ", "\n", ",", "\x0b"]) for _ in range(rng.randrange(60)))) for _ in range(150)]
+    docs += [("en", "new york city hall " * 20), ("en", None), ("en", ""), ("xx", "..."), ("en", "new york city hall " * 20)]
+    df = spark.createDataFrame([(i, t, g, "s", 0, 0.0, 0) for i, (g, t) in enumerate(docs)], DOC).repartition(5)
+    got = phrases.collocations(df, least=8, top=40, percent=percent, shard_words=words, filter_bits=bits).collect()
+    assert sorted(map(tuple, got)) == phrases_of(docs, 8, 5, 40, percent)
+    assert phrases.collocations(df.limit(0)).collect() == []
+
+
+def test_phrases_of_long_texts_and_large_numbers(spark, monkeypatch):
+    """A text beyond a block is cut at piece ends alone, and products over 64 bits keep exact."""
+    from skylattice.llm import phrases
+
+    text = ("one two three. " * 5000 + "one " * 200)[:-1]
+    assert b"".join(phrases.blocks(text.encode(), 1000)) == text.encode() and all(b.startswith((b"one", b".")) for b in phrases.blocks(text.encode(), 1000))
+    monkeypatch.setattr(phrases, "phrase_counts", lambda docs, *_, **__: docs)
+    n, a, left, right = 4 * 10**14, 3 * 10**14 + 1, 3 * 10**14 + 7, 10**14 * 3 + 13
+    counts = spark.createDataFrame([("en", 0, "", n), ("en", 1, "p", left), ("en", 1, "q", right), ("en", 2, "p q", a)], "lang string, words int, phrase string, f long")
+    assert [r.score for r in phrases.collocations(counts).collect()] == [1000 * a * n // (left * right)]
+
+
+def test_automaton_states_are_endpos_classes():
+    from skylattice.llm import phrases
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 40, 90):
+        ids = rng.integers(0, 4, n).astype(np.int32)
+        pair = np.r_[[False] * (n > 0), rng.random(max(n - 1, 0)) < 0.9]
+        run = phrases.runs(ids, np.array([False, True, True, True]), pair & np.r_[[False] * (n > 0), ids[:-1] > 0], 5) if n else np.zeros(0, int)
+        found, places = phrases.automaton(ids, run, 5), defaultdict(set)
+        for i in range(n):
+            for d in range(1, run[i] + 1):
+                places[tuple(ids[i - d + 1 : i + 1])].add(i)
+        word = lambda s, d: tuple(ids[found.end[s] - d + 1 : found.end[s] + 1])
+        classes = defaultdict(list)
+        for w, at in places.items():
+            classes[frozenset(at)].append(len(w))
+        assert len(classes) == len(found.end)
+        for s in range(len(found.end)):
+            at = places[word(s, found.longest[s])]
+            assert found.count[s] == len(at) and sorted(classes[frozenset(at)]) == list(range(found.shortest[s], found.longest[s] + 1))
+            up = found.link[s]
+            assert (found.shortest[s] == 1) if up < 0 else (found.longest[up] == found.shortest[s] - 1 and places[word(up, found.longest[up])] == places[word(s, found.shortest[s] - 1)])
