@@ -27,7 +27,12 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("search", help="visibilities to candidates")
     p.add_argument("--vis", required=True)
     p.add_argument("--out", required=True)
-    p.add_argument("--by", default="", help="columns that tell observations apart, by commas")
+    p.add_argument("--by", help="columns that tell observations apart, by commas; without it the scan, where the table has one")
+    p.add_argument("--spw", help="(chan, freq_hz); with it and --pol the table is in metres and has numbers for correlations")
+    p.add_argument("--pol", help="(corr, code)")
+    p.add_argument("--fields", help="(name, ra0_rad, dec0_rad): the phase centre, of --field or of the first")
+    p.add_argument("--epsilon", type=float, default=1e-6)
+    p.add_argument("--wgridding", action=argparse.BooleanOptionalAction, default=True, help="the w term, where the table has w")
     p.add_argument("--chunk-size", type=int, default=512)
     p.add_argument("--overlap-seconds", type=float, default=10.0)
     p.add_argument("--corr-mode", choices=["average", "single", "stokesI"], default="single")
@@ -43,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold-sigma", type=float, default=8.0)
     p.add_argument("--var-threshold-sigma", type=float, default=8.0)
     p.add_argument("--var-keep-top-k", type=int)
-    p.add_argument("--var-highpass-cutoff", type=float, help="time constant in seconds of the mean taken off before the variance; none without it")
+    p.add_argument("--var-highpass-cutoff", type=float, default=30.0, help="time constant in seconds of the mean taken off before the variance; 0 for none")
     p.add_argument("--rms-clip-sigma", type=float, default=3.0)
     p.add_argument("--nms-radius", type=int, default=6)
     p.add_argument("--boxcar", action=argparse.BooleanOptionalAction, default=True)
@@ -85,14 +90,19 @@ def parser() -> argparse.ArgumentParser:
 def run_search(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Candidates as a catalogue, by kind; times become places on the time axis, in order."""
     vis = readers.visibilities(spark, a.vis, a.start, a.end)
+    if bool(a.spw) != bool(a.pol):
+        raise ValueError("--spw and --pol go together")
+    if a.spw:
+        vis = readers.search_rows(vis, spark.read.parquet(a.spw), spark.read.parquet(a.pol))
+    centre = readers.phase_centre(spark.read.parquet(a.fields), a.field or None) if a.fields else (K.math.radians(a.ra_deg), K.math.radians(a.dec_deg), a.field)
     times = A.distinct_times(vis, "time", None).select("time")
     dt = A.time_bin(vis, "time").first().cadence
     first = times.agg(F.min("time").alias("t")).first().t or 0.0
     vis = vis.withColumn("t", F.round((F.col("time") - first) / dt).cast("long"))
-    by = [c for c in a.by.split(",") if c]
+    by = [c for c in ("scan" if a.by is None and "scan" in vis.columns else a.by or "").split(",") if c]
     s = S.Settings(
-        npix=a.npix, cell=a.pixsize_arcsec / SEXAGESIMAL_RAD, ra0=K.math.radians(a.ra_deg), dec0=K.math.radians(a.dec_deg), field_name=a.field, dt=dt, t0=first, chunk=a.chunk_size, overlap=int(a.overlap_seconds / dt), corr_mode=a.corr_mode, single_pol=a.single_pol,
-        widths=a.boxcar_widths, threshold=a.threshold_sigma, var_threshold=a.var_threshold_sigma, var_keep=a.var_keep_top_k, clip=a.rms_clip_sigma, radius=a.nms_radius, tau=a.var_highpass_cutoff / dt if a.var_highpass_cutoff else None, dedupe_overlap=a.dedupe_overlap,
+        npix=a.npix, cell=a.pixsize_arcsec / SEXAGESIMAL_RAD, ra0=centre[0], dec0=centre[1], field_name=centre[2], dt=dt, t0=first, chunk=a.chunk_size, overlap=int(a.overlap_seconds / dt), corr_mode=a.corr_mode, single_pol=a.single_pol,
+        widths=a.boxcar_widths, threshold=a.threshold_sigma, var_threshold=a.var_threshold_sigma, var_keep=a.var_keep_top_k, clip=a.rms_clip_sigma, radius=a.nms_radius, tau=a.var_highpass_cutoff / dt if a.var_highpass_cutoff else None, dedupe_overlap=a.dedupe_overlap, w_term=a.wgridding and "w" in vis.columns, epsilon=a.epsilon,
     )
     found = S.settled(S.search(vis, s, by, boxcar=a.boxcar, variance=a.variance))
     for kind in ("boxcar", "variance"):
@@ -134,8 +144,8 @@ def run_aggregate_obs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     found = K.number(found.drop("id").withColumn("srcname", K.source_name(hms, dms)), "source_id", F.desc("max_snr"), "ra", "dec")
     writers.catalogue(found, f"{a.out}/observation")
     marks = found.select("ra", "dec", K.region_label(F.col("srcname"), F.col("max_snr"), F.col("source_name")).alias("label"))
-    writers.regions(marks, f"{a.out}/regions_ds9")
-    writers.annotations(marks, f"{a.out}/regions_kvis")
+    writers.regions(marks, f"{a.out}/regions_ds9", writers.MARK_ARCSEC, head=True)
+    writers.annotations(marks, f"{a.out}/regions_kvis", writers.MARK_ARCSEC)
     return found
 
 

@@ -1,6 +1,6 @@
-"""Visibilities to images by direct Fourier sums.
+"""Visibilities to images: weights, collapses of correlations, direct Fourier sums; large images are gridded (see gridding).
 
-Rows are (t, row, chan, corr, u, v, w, re, im, flag, weight).  Direct sums cost visibilities times
+Rows are (t, row, chan, corr, u, v, w, re, im, flag, weight), w where the w term counts.  Direct sums cost visibilities times
 pixels.  The phase of a pixel is a product of one along x and one along y, so a block of visibilities
 makes its share of an image as a product of two matrices; a task adds up the shares of its rows and hands
 on partial images, so visibilities are never shuffled and the grid is no part of the plan.
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gridding import gridded_image
+
 CELL = ["t", "row", "chan"]
 # Codes of correlations.
 CORRELATIONS = {5: "RR", 6: "RL", 7: "LR", 8: "LL", 9: "XX", 10: "XY", 11: "YX", 12: "YY"}
@@ -52,17 +54,22 @@ def flag_weights(vis: DataFrame) -> DataFrame:
     return vis.withColumn("weight", F.when(F.col("flag"), 0.0).otherwise(F.col("weight").cast("double")))
 
 
+def _place(vis: DataFrame) -> list[str]:
+    """The columns of a row's place: (u, v), and w where there is one."""
+    return [c for c in ("u", "v", "w") if c in vis.columns]
+
+
 def average_correlations(vis: DataFrame, by: list[str] = ()) -> DataFrame:
     """Weighted means over correlations; 0 without weight."""
     mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum("weight")), F.lit(0.0))
-    return vis.groupBy(*by, *CELL, "u", "v").agg(mean("re").alias("re"), mean("im").alias("im"), F.sum("weight").alias("weight"))
+    return vis.groupBy(*by, *CELL, *_place(vis)).agg(mean("re").alias("re"), mean("im").alias("im"), F.sum("weight").alias("weight"))
 
 
 def single_correlation(vis: DataFrame, label: str, by: list[str] = ()) -> DataFrame:
     """Rows of one correlation; a label that the table lacks is an error."""
     if not vis.where(F.col("corr") == label).limit(1).count():
         raise ValueError(f"no correlation {label}")
-    return vis.where(F.col("corr") == label).select(*by, *CELL, "u", "v", "re", "im", "weight")
+    return vis.where(F.col("corr") == label).select(*by, *CELL, *_place(vis), "re", "im", "weight")
 
 
 def indexed_correlation(vis: DataFrame, index: int = 0, labels: list[str] | None = None, by: list[str] = ()) -> DataFrame:
@@ -70,7 +77,7 @@ def indexed_correlation(vis: DataFrame, index: int = 0, labels: list[str] | None
     names = labels if labels is not None else sorted(r[0] for r in vis.select("corr").distinct().collect())
     if not 0 <= index < len(names):
         raise ValueError(f"no correlation {index} of {names}")
-    return vis.where(F.col("corr") == names[index]).select(*by, *CELL, "u", "v", "re", "im", "weight")
+    return vis.where(F.col("corr") == names[index]).select(*by, *CELL, *_place(vis), "re", "im", "weight")
 
 
 def stokes_i(vis: DataFrame, basis: str = "auto", present: tuple[str, ...] = ("XX", "YY"), by: list[str] = ()) -> DataFrame:
@@ -82,11 +89,11 @@ def stokes_i(vis: DataFrame, basis: str = "auto", present: tuple[str, ...] = ("X
     if not {a, b} & set(present):
         raise ValueError(f"no {basis} correlations")
     pick = lambda c, k: F.max(F.when(F.col("corr") == k, F.col(c)))
-    wide = vis.where(F.col("corr").isin(a, b)).groupBy(*by, *CELL, "u", "v").agg(*(pick(c, k).alias(f"{c}_{k}") for c in ("re", "im", "weight") for k in (a, b)))
+    wide = vis.where(F.col("corr").isin(a, b)).groupBy(*by, *CELL, *_place(vis)).agg(*(pick(c, k).alias(f"{c}_{k}") for c in ("re", "im", "weight") for k in (a, b)))
     mean = lambda c: F.when(F.col(f"{c}_{a}").isNotNull() & F.col(f"{c}_{b}").isNotNull(), (F.col(f"{c}_{a}") + F.col(f"{c}_{b}")) / 2).otherwise(F.coalesce(f"{c}_{a}", f"{c}_{b}"))
     both = F.coalesce(F.try_divide(4 * F.col(f"weight_{a}") * F.col(f"weight_{b}"), F.col(f"weight_{a}") + F.col(f"weight_{b}")), F.lit(0.0))
     weight = F.when(F.col(f"weight_{a}").isNotNull() & F.col(f"weight_{b}").isNotNull(), both).otherwise(F.coalesce(f"weight_{a}", f"weight_{b}"))
-    return wide.select(*by, *CELL, "u", "v", mean("re").alias("re"), mean("im").alias("im"), weight.alias("weight"))
+    return wide.select(*by, *CELL, *_place(vis), mean("re").alias("re"), mean("im").alias("im"), weight.alias("weight"))
 
 
 def normalise_weights(vis: DataFrame, by: list[str] = ("t",)) -> DataFrame:
@@ -125,16 +132,16 @@ def dirty_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",)) ->
 
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in by]
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(batch)):
-                groups.setdefault(key, []).append(i)
+            frames = pa.table([batch.column(c) for c in by], names=by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(batch), np.int64)
+            order = np.argsort(frames, kind="stable")
+            groups = {tuple(batch.column(c)[int(r[0])].as_py() for c in by): r for r in np.split(order, np.flatnonzero(np.diff(frames[order])) + 1) if len(r)}
             u, v, re, im, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "re", "im", "weight"))
             for key, rows in groups.items():
                 if key not in held and len(held) >= HELD_IMAGES:
                     yield from images()
                 own = held.setdefault(key, [np.zeros((n, n)), 0])
                 for a in range(0, len(rows), BLOCK_ROWS):
-                    r = np.array(rows[a : a + BLOCK_ROWS])
+                    r = rows[a : a + BLOCK_ROWS]
                     across, down = np.exp(np.outer(u[r], at)), np.exp(np.outer(v[r], at)) * (weight[r] * (re[r] + 1j * im[r]))[:, None]
                     own[0] += (down.T @ across).real
                     own[1] += len(r)
@@ -144,7 +151,17 @@ def dirty_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",)) ->
     return parts.groupBy(*by, "y", "x").agg((F.sum("total") / F.sum("n")).alias("flux"))
 
 
-def frame_images(vis: DataFrame, n: int, cell: float, mode: str = "average", label: str = "XX", by: list[str] = ("t",)) -> DataFrame:
+GRIDDED_FROM = 32  # pixels a side
+
+
+def image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w_term: bool = False, epsilon: float = 1e-6) -> DataFrame:
+    """(by..., y, x, flux): by gridding from GRIDDED_FROM pixels a side on, or where the w term counts, else by direct sums."""
+    if w_term or n >= GRIDDED_FROM:
+        return gridded_image(vis, n, cell, by, w_term, epsilon)
+    return dirty_image(vis, n, cell, by)
+
+
+def frame_images(vis: DataFrame, n: int, cell: float, mode: str = "average", label: str = "XX", by: list[str] = ("t",), w_term: bool = False, epsilon: float = 1e-6) -> DataFrame:
     """Images of all frames from raw visibilities: weights, flags, one of the collapses (average, single, stokesI), weights over their frame's largest, Fourier sums."""
     vis = flag_weights(weight_source(require_columns(vis, *CELL, "corr", "u", "v", "re", "im", "flag")))
     more = [c for c in by if c not in CELL]
@@ -152,4 +169,4 @@ def frame_images(vis: DataFrame, n: int, cell: float, mode: str = "average", lab
         flat = stokes_i(vis, present=tuple(r[0] for r in vis.select("corr").distinct().collect()), by=more)
     else:
         flat = single_correlation(vis, label, more) if mode == "single" else average_correlations(vis, more)
-    return dirty_image(normalise_weights(flat, by), n, cell, by)
+    return image(normalise_weights(flat, by), n, cell, by, w_term, epsilon)

@@ -18,6 +18,7 @@ from . import imaging as I
 from . import periodicity as P
 from . import timeaxis as A
 from .graph import settled
+from .gridding import gridded_spectrum
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,8 @@ class Settings:
     max_per_centre: int | None = 1
     tau: float | None = None
     dedupe_overlap: bool = False
+    w_term: bool = False
+    epsilon: float = 1e-6
 
 
 def chunked(cube: DataFrame, size: int, overlap: int = 0, by: list[str] = ()) -> DataFrame:
@@ -59,6 +62,8 @@ def chunked(cube: DataFrame, size: int, overlap: int = 0, by: list[str] = ()) ->
 def variance_candidates(cube: DataFrame, s: Settings, by: list[str] = (), mask: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
     """(by..., y, x, snr, std, t): pixels whose spread in time stands out, the best of each neighbourhood, with the time of their peak.
 
+    var_keep: so many pixels over the threshold, the best, lend their spread to the candidates; others have their S/N there.
+
     states: Welford states of the pixels (see final_states), where they are not the cube's own.
     """
     by = list(by)
@@ -69,8 +74,8 @@ def variance_candidates(cube: DataFrame, s: Settings, by: list[str] = (), mask:
     snr = C.variance_snr(stds, "clipped_rms", s.clip, by=by, mask=mask).withColumn("snr", F.round("snr", 6))
     peaks = G.nms_2d(G.local_maxima(snr, s.radius, by, s.var_threshold), s.radius, by)
     if s.var_keep is not None:
-        peaks = C.top_k(peaks, s.var_keep, by, ["y", "x"]).drop("rank")
-    peaks = peaks.join(stds, [*by, *C.PIXEL])
+        stds = C.top_k(C.above(snr, s.var_threshold), s.var_keep, by, ["y", "x"]).select(*by, *C.PIXEL, "std")
+    peaks = peaks.join(stds, [*by, *C.PIXEL], "left").withColumn("std", F.coalesce("std", "snr"))
     return peaks.join(C.peak_time(cube, "peak_absdev", by), [*by, *C.PIXEL], "left")
 
 
@@ -88,8 +93,11 @@ def tagged(found: DataFrame, s: Settings, by: list[str], kind: str) -> DataFrame
     """Candidates with time tags, sky position and name, by the catalogue's column names."""
     if kind == "boxcar":
         got = C.time_tags(found, F.col("width"), s.t0, s.dt).withColumns({"width_samples": F.col("width"), "t0_idx": F.col("t"), "t1_idx_excl": F.col("t") + F.col("width")})
-    else:
-        got = found.withColumn("time_center", F.lit(s.t0) + F.col("t") * s.dt)
+    else:  # the sample of the peak; all zero where a pixel has no good sample
+        at = F.lit(s.t0) + F.col("t") * s.dt
+        index, zero = F.coalesce("t", F.lit(0).cast("long")), F.lit(0.0)
+        got = found.withColumns({"time_start": F.coalesce(at - s.dt / 2, zero), "time_end": F.coalesce(at + s.dt / 2, zero), "time_center": F.coalesce(at, zero), "duration": F.when(F.col("t").isNull(), 0.0).otherwise(F.lit(float(s.dt)))})
+        got = got.withColumns({"center_idx": index, "t0_idx": index, "t1_idx_excl": F.when(F.col("t").isNull(), index).otherwise(index + 1), "width_samples": F.lit(1).cast("long")})
     sky = K.annotate(got, s.npix, s.npix, s.cell, s.cell, s.ra0, s.dec0, s.field_name)
     return sky.withColumn("kind", F.lit(kind)).drop("t", "width")
 
@@ -105,8 +113,8 @@ def search_cube(cube: DataFrame, s: Settings, by: list[str] = (), boxcar: bool =
 
 
 def search(vis: DataFrame, s: Settings, by: list[str] = (), **what) -> DataFrame:
-    """From visibilities (by..., t, row, chan, corr, u, v, re, im, flag, weight) to candidates, chunk by chunk."""
-    images = settled(I.frame_images(vis, s.npix, s.cell, s.corr_mode, s.single_pol, [*by, "t"]))
+    """From visibilities (by..., t, row, chan, corr, u, v, re, im, flag, weight; w with the w term) to candidates, chunk by chunk."""
+    images = settled(I.frame_images(vis, s.npix, s.cell, s.corr_mode, s.single_pol, [*by, "t"], s.w_term, s.epsilon))
     return search_cube(chunked(images, s.chunk, s.overlap, by), s, [*by, "chunk"], **what)
 
 
@@ -128,7 +136,10 @@ def periodic(vis: DataFrame, npix: int, cell: float, fmin: float = 0.5, dm: floa
     if nf is None:
         many = axis.count()
         nf = 1 << max(0, many - 1).bit_length()
-    spectrum = P.power(P.stitched(P.adjoint_blocks(vis, npix, cell, dt, nf, fmin, dm, block_rows), nf, dt))
+    if npix >= I.GRIDDED_FROM:
+        spectrum = P.power(gridded_spectrum(vis, npix, cell, dt, nf, fmin, dm))
+    else:
+        spectrum = P.power(P.stitched(P.adjoint_blocks(vis, npix, cell, dt, nf, fmin, dm, block_rows), nf, dt))
     low = int(-(-fmin * nf * dt // 1))  # bins count from the first kept one, as harmonics of places do
     bins = (nf + 1) // 2 - low
     found = P.periodicity(P.harmonic_sum(settled(spectrum).withColumn("k", F.col("k") - low), nharm, bins), threshold, nf, dt, estimator, keep=keep)

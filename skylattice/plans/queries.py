@@ -10,10 +10,12 @@ from ..functions.robust import clipped_sigma, mad_sigma
 from ..operators import catalogues as K
 from ..operators import cube as C
 from ..operators import greedy as G
+from ..operators.gridding import gridded_image, gridded_spectrum
 from ..operators import imaging as I
 from ..operators import periodicity as P
 from ..operators import search as E
 from ..operators import timeaxis as A
+from ..sources import readers as R
 from ..streaming import state as S
 from . import inputs as N
 from .inputs import SQL, ctes
@@ -159,6 +161,43 @@ def continuum_dft(spark, sf):
     return r6(I.dirty_image(_normed(spark, sf), 8, 0.01, []))
 
 
+# Gridded images and spectra, as close to direct sums as their kernel can be made
+
+
+@query(_dft_sql("t,", 32, 0.004))
+def dirty_image_gridded(spark, sf):
+    return r6(gridded_image(_normed(spark, sf), 32, 0.004, epsilon=1e-14))
+
+
+# Visibilities as a table holds them: metres, numbers for correlations, channels and labels in tables of their own.
+DECLARED = """spw as (select distinct (l_linenumber // 2)::bigint as chan, 9e8 + (l_linenumber // 2) * 1e6 as freq_hz from lineitem),
+dv as (select l_orderkey % 2 as scan, l_orderkey % 8 // 2 as t, l_orderkey as row, (l_linenumber // 2)::bigint as chan, l_linenumber % 2 as corr, (l_orderkey % 17 - 8) * 1.5e0 as u_m, (l_orderkey % 13 - 6) * 1.5e0 as v_m, (l_orderkey % 11 - 5) * 9e0 as w_m,
+  l_extendedprice / 131072.0e0 as re, l_discount as im, case when l_returnflag = 'R' then 0 else l_quantity::double end as weight from lineitem)"""
+DECLARED_SQL = "with " + DECLARED + """, wl as (select dv.*, freq_hz / 299792458e0 as k from dv join spw using (chan)),
+av as (select scan, t, row, chan, u_m * k as u, v_m * k as v, w_m * k as w, coalesce(sum(weight * re) / nullif(sum(weight), 0), 0) as re, coalesce(sum(weight * im) / nullif(sum(weight), 0), 0) as im, sum(weight) as weight from wl group by all),
+nv as (select * replace (weight / max(weight) over (partition by scan, t) as weight) from av),
+axis as (select i, (i - 3.5e0) * 0.02e0 as a from (select unnest(generate_series(0, 7)) as i)), grid as (select p.i as y, q.i as x, q.a as l, p.a as m, sqrt(1 - p.a * p.a - q.a * q.a) as n from axis p cross join axis q),
+ph as (select scan, t, y, x, n, weight, re, im, 2 * pi() * (u * l + v * m - w * (n - 1)) as phase from nv cross join grid where weight > 0)"""
+
+
+def _declared(spark, sf):
+    """(rows of the layout that readers.visibilities gives, spw, pol)."""
+    key, line = F.col("l_orderkey"), N.table(spark, sf, "lineitem")
+    rows = line.select(
+        (key % 2).alias("scan"), F.expr("l_orderkey % 8 div 2").alias("t"), F.expr("l_orderkey % 8 div 2").cast("double").alias("time"), key.alias("row"), F.expr("l_linenumber div 2").alias("chan"), (F.col("l_linenumber") % 2).alias("corr"),
+        ((key % 17 - 8) * 1.5).alias("u"), ((key % 13 - 6) * 1.5).alias("v"), ((key % 11 - 5) * 9.0).alias("w"), (F.col("l_extendedprice") / 131072.0).alias("re"), F.col("l_discount").alias("im"), (F.col("l_returnflag") == "R").alias("flag"), F.col("l_quantity").cast("double").alias("weight"),
+    )
+    spw = line.select(F.expr("l_linenumber div 2").alias("chan")).distinct().withColumn("freq_hz", F.col("chan") * 1e6 + 9e8)
+    pol = line.select((F.col("l_linenumber") % 2).alias("corr")).distinct().withColumn("code", F.when(F.col("corr") == 0, 9).otherwise(12))
+    return rows, spw, pol
+
+
+@query(DECLARED_SQL + " select scan, t, y, x, round(sum(weight * (re * cos(phase) - im * sin(phase))) / any_value(n) / count(*), 6) as flux from ph group by scan, t, y, x")
+def visibilities_end_to_end(spark, sf):
+    vis = R.search_rows(*_declared(spark, sf))
+    return r6(I.frame_images(vis, 8, 0.02, "average", by=["scan", "t"], w_term=True, epsilon=1e-14))
+
+
 @query("select code, case code when 5 then 'RR' when 6 then 'RL' when 7 then 'LR' when 8 then 'LL' when 9 then 'XX' when 10 then 'XY' when 11 then 'YX' when 12 then 'YY' else code::varchar end as label from (select distinct p_size as code from part)")
 def correlation_labels(spark, sf):
     return N.table(spark, sf, "part").select(F.col("p_size").alias("code")).distinct().withColumn("label", I.correlation_label(F.col("code")))
@@ -445,7 +484,8 @@ select {beam} as beam, kind, y, x, snr, width as width_samples, t0_idx, time_cen
 def search_end_to_end(spark, sf):
     s = E.Settings(npix=10, cell=0.01, ra0=2.6, dec0=-0.5, t0=10.0, widths=[1, 2, 4], threshold=THR, var_threshold=0.5, radius=3)
     found = E.search_cube(C.dense(N.obs(spark, sf, (F.col("l_linenumber") % 2).cast("int").alias("beam")), ["beam"], empty=True), s, ["beam"])
-    return found.select("beam", "kind", "y", "x", "snr", "width_samples", "t0_idx", "time_center", F.round(F.degrees("ra_rad"), 6).alias("ra_deg"), F.round(F.degrees("dec_rad"), 6).alias("dec_deg"))
+    of_box = lambda c: F.when(F.col("kind") == "boxcar", F.col(c)).alias(c)
+    return found.select("beam", "kind", "y", "x", "snr", of_box("width_samples"), of_box("t0_idx"), "time_center", F.round(F.degrees("ra_rad"), 6).alias("ra_deg"), F.round(F.degrees("dec_rad"), 6).alias("dec_deg"))
 
 
 # Sky
@@ -715,13 +755,22 @@ sp as (select y, x, k, 2 * pi() * (k / 8e0 * t - 0.01e0 * (u * (x - 2) + v * (y
 select y, x, k, round(sum(re * cos(phase) - im * sin(phase)), 4) + 0 as re, round(sum(re * sin(phase) + im * cos(phase)), 4) + 0 as im from sp group by y, x, k"""
 
 
-@query(ADJOINT)
-def adjoint_transform(spark, sf):
-    v = N.table(spark, sf, "lineitem").select(
+def _tones(spark, sf):
+    return N.table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 0.5).alias("time"), (F.col("l_orderkey") % 17 - 8).cast("double").alias("u"), (F.col("l_orderkey") % 13 - 6).cast("double").alias("v"), ((F.col("l_linenumber") * 10 + 800) * 1e6).alias("freq_hz"),
         (F.col("l_extendedprice") / 131072.0).alias("re"), F.col("l_discount").alias("im"), (F.col("l_returnflag") == "R").alias("flag"),
     )
-    got = P.stitched(P.adjoint_blocks(v, 5, 0.01, 0.5, 16, 0.25, 50.0, 5000), 16, 0.5)
+
+
+@query(ADJOINT)
+def adjoint_transform(spark, sf):
+    got = P.stitched(P.adjoint_blocks(_tones(spark, sf), 5, 0.01, 0.5, 16, 0.25, 50.0, 5000), 16, 0.5)
+    return got.select("y", "x", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query(ADJOINT)
+def adjoint_gridded(spark, sf):
+    got = gridded_spectrum(_tones(spark, sf), 5, 0.01, 0.5, 16, 0.25, 50.0, epsilon=1e-14)
     return got.select("y", "x", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.catalogues import parse_name
+from ..operators.imaging import correlation_label, require_columns
 from ..operators.timeaxis import time_column
 
 #: Visibility rows, one a correlation (the fixture's layout of a measurement set's main table).
@@ -27,6 +28,25 @@ def visibilities(spark: SparkSession, path: str, start: float | None = None, end
     return df
 
 
+def search_rows(vis: DataFrame, spw: DataFrame, pol: DataFrame) -> DataFrame:
+    """Rows of the layout VISIBILITY as a search takes them: correlations by label, u, v and w in wavelengths of the row's channel, freq_hz, and `row`.
+
+    spw: (chan, freq_hz) of one spectral window (with a column spw, more than one raises); pol: (corr, code).
+    Rows of one time are told apart by their baseline's u, v, w where the table has no row number.  A channel or correlation that the
+    dimension lacks raises.
+    """
+    require_columns(vis, "time", "chan", "corr", "u", "v", "re", "im", "flag", "weight")
+    place = [c for c in ("u", "v", "w") if c in vis.columns]
+    if "row" not in vis.columns:
+        vis = vis.withColumn("row", F.struct("time", *place))
+    spw = spw if "spw" in spw.columns else spw.withColumn("spw", F.lit(0))
+    labels = pol.select(F.col("corr"), correlation_label(F.col("code")).alias("__label"))
+    known = lambda c, what: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"a row has no {what}")))
+    both = vis.join(one_window(spw), "chan", "left").join(labels, "corr", "left")
+    wave = known("wavelength_m", "channel of the spectral window")
+    return both.withColumns({c: F.col(c) / wave for c in place} | {"corr": known("__label", "known correlation")}).drop("__label", "wavelength_m")
+
+
 def one_window(spw: DataFrame) -> DataFrame:
     """Channel frequencies and wavelengths; more than one spectral window raises when run."""
     one = spw.agg(F.assert_true(F.count_distinct("spw") <= 1, F.lit("more than one spectral window")).alias("ok"))

@@ -71,14 +71,33 @@ def light_curves(df: DataFrame, path: str, text: bool = False) -> None:
         df.write.mode("overwrite").partitionBy("srcname").parquet(path)
 
 
-def regions(df: DataFrame, path: str) -> None:
-    """DS9 lines of (ra, dec, label)."""
-    df.select(region_line(F.col("ra"), F.col("dec"), F.col("label")).alias("value")).write.mode("overwrite").text(path)
+# The head lines of region files, and their circles' radius.
+DS9_HEAD, KVIS_HEAD = ["# Region file format: DS9 version 4.1", "global color=green width=2", "fk5"], ["# Karma kvis annotation file", "COORD W", "COLOR GREEN"]
+MARK_ARCSEC = 28.0
 
 
-def annotations(df: DataFrame, path: str) -> None:
-    """kvis lines of (ra, dec, label)."""
-    df.select(F.explode(annotation_lines(F.col("ra"), F.col("dec"), F.col("label"))).alias("value")).write.mode("overwrite").text(path)
+def _headed(lines: DataFrame, head: list[str], path: str) -> None:
+    """Text files, each with the head lines first, so that any of them is whole by itself."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            if first and len(batch):
+                yield pa.RecordBatch.from_pydict({"value": head})
+                first = False
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def regions(df: DataFrame, path: str, radius: float = 20.0, head: bool = False) -> None:
+    """DS9 lines of (ra, dec, label); with head, files that are whole by themselves."""
+    _headed(df.select(region_line(F.col("ra"), F.col("dec"), F.col("label"), radius).alias("value")), DS9_HEAD if head else [], path)
+
+
+def annotations(df: DataFrame, path: str, radius: float = 20.0) -> None:
+    """kvis files of (ra, dec, label), in world coordinates."""
+    _headed(df.select(F.explode(annotation_lines(F.col("ra"), F.col("dec"), F.col("label"), radius)).alias("value")), KVIS_HEAD, path)
 
 
 def to_sentinels(df: DataFrame) -> DataFrame:
