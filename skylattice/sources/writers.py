@@ -82,7 +82,7 @@ def _headed(lines: DataFrame, head: list[str], path: str) -> None:
     def run(batches):
         first = True
         for batch in batches:
-            if first and len(batch):
+            if first and head and len(batch):
                 yield pa.RecordBatch.from_pydict({"value": head})
                 first = False
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
