@@ -145,7 +145,7 @@ def run_aggregate_obs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     writers.catalogue(found, f"{a.out}/observation")
     marks = found.select("ra", "dec", K.region_label(F.col("srcname"), F.col("max_snr"), F.col("source_name")).alias("label"))
     writers.regions(marks, f"{a.out}/regions_ds9", writers.MARK_ARCSEC, head=True)
-    writers.annotations(marks, f"{a.out}/regions_kvis", writers.MARK_ARCSEC)
+    writers.annotations(marks, f"{a.out}/regions_kvis", writers.MARK_ARCSEC, head=True)
     return found
 
 

@@ -95,9 +95,9 @@ def regions(df: DataFrame, path: str, radius: float = 20.0, head: bool = False)
     _headed(df.select(region_line(F.col("ra"), F.col("dec"), F.col("label"), radius).alias("value")), DS9_HEAD if head else [], path)
 
 
-def annotations(df: DataFrame, path: str, radius: float = 20.0) -> None:
-    """kvis files of (ra, dec, label), in world coordinates."""
-    _headed(df.select(F.explode(annotation_lines(F.col("ra"), F.col("dec"), F.col("label"), radius)).alias("value")), KVIS_HEAD, path)
+def annotations(df: DataFrame, path: str, radius: float = 20.0, head: bool = False) -> None:
+    """kvis lines of (ra, dec, label); with head, files that say that they are in world coordinates."""
+    _headed(df.select(F.explode(annotation_lines(F.col("ra"), F.col("dec"), F.col("label"), radius)).alias("value")), KVIS_HEAD if head else [], path)
 
 
 def to_sentinels(df: DataFrame) -> DataFrame:

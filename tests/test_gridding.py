@@ -131,7 +131,7 @@ def test_region_files_are_whole(spark, tmp_path):
 
     marks = spark.createDataFrame([(150.0, -30.0, "a {b}"), (151.0, -31.0, "c")], "ra double, dec double, label string").coalesce(1)
     writers.regions(marks, str(tmp_path / "ds9"), writers.MARK_ARCSEC, head=True)
-    writers.annotations(marks, str(tmp_path / "kvis"), writers.MARK_ARCSEC)
+    writers.annotations(marks, str(tmp_path / "kvis"), writers.MARK_ARCSEC, head=True)
     lines = lambda name: next(p for p in (tmp_path / name).iterdir() if p.name.startswith("part") and p.stat().st_size).read_text().splitlines()
     assert lines("ds9")[:3] == writers.DS9_HEAD and '28.0"' in lines("ds9")[3]
     assert lines("kvis")[1] == "COORD W" and lines("kvis")[3].startswith("CIRCLE 150.000000 -30.000000 0.0077")
