@@ -10,8 +10,9 @@ added up over all shards.
 
 Two passes come first and only thin out what is enumerated: a phrase occurs no more often than its
 words and pairs, so a shard leaves out what holds a word or pair whose summed count is under the least.
-They count 64-bit keys and set bits of a filter of bounded size; keys or bits that coincide let more
-through, never less, and the last pass counts the phrases themselves.
+They count keys of words and pairs, of KEY_BITS bits more than the number of words has, so that few coincide
+and a shuffled row is short, and set bits of a filter of bounded size.  Keys or bits that coincide let
+more through, never less, and the last pass counts the phrases themselves.
 
 A phrase lies in a longer one that is as frequent only if it is the suffix (by the suffix link) or the
 prefix of one that is longer by one word, since counts fall with every word added; so one join settles
@@ -42,6 +43,7 @@ TO_BREAK = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
 SHARD_WORDS = 1 << 21
 BLOCK_BYTES = 1 << 21
 FILTER_BITS = 27  # at most so many bits of a filter, as a power of two
+WORD_BITS, KEY_BITS = 44, 10
 
 
 class Vocabulary(dict):
@@ -172,14 +174,16 @@ def by_shard(docs: DataFrame, lang_col: str, text_col: str, schema: str, make, s
 
 
 def word_keys(lang: str, vocabulary: list[bytes]) -> np.ndarray:
+    """WORD_BITS bits a word."""
     seed = xxhash.xxh64_intdigest(lang.encode())
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
+    return np.fromiter((digest(w, seed) >> 64 - WORD_BITS for w in vocabulary), np.uint64, len(vocabulary))
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Of the keys of two words."""
-    return left ^ ((right << np.uint64(29)) | (right >> np.uint64(35)))
+def pair_keys(left: np.ndarray, right: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Of the keys of two words: the upper bits of a product that mixes both."""
+    mixed = (left * np.uint64(0x9E3779B97F4A7C15)) ^ right
+    return (mixed * np.uint64(0xD6E8FEB86659FD93)) >> shift
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -188,9 +192,8 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def key_filter(counts: DataFrame, least: int, most_bits: int) -> np.ndarray:
-    """Bits of the keys, (key, f), whose sum is at least `least`: about 16 bits a key, at most 2**most_bits."""
-    often = checkpointed(counts.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("key"))
+def key_filter(often: DataFrame, most_bits: int) -> np.ndarray:
+    """Bits of the keys: about 16 bits a key, at most 2**most_bits."""
     size = max(12, min(most_bits, (16 * often.count()).bit_length()))
     at = F.col("key").bitwiseAND(F.lit((1 << size) - 1))
     words = often.select(at.alias("at")).select(F.shiftright("at", 6).alias("i"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
@@ -215,10 +218,18 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         count = np.bincount(ids, minlength=len(vocabulary))
         count[0] = 0
         own = np.flatnonzero(count)
-        yield [pa.array(word_keys(lang, vocabulary)[own].view(np.int64)), pa.array(count[own].astype(np.int64))]
+        keys = np.r_[word_keys(lang, vocabulary)[own].astype(np.int64), -1]
+        yield [pa.array(keys), pa.array(np.r_[count[own], count.sum()].astype(np.int64))]
 
-    bits = key_filter(by_shard(docs, lang_col, text_col, "key long, f long", each_word, shard_words), least, filter_bits)
-    words = spark.sparkContext.broadcast(bits)
+    def summed(make):
+        return by_shard(docs, lang_col, text_col, "key long, f long", make, shard_words).groupBy("key").agg(F.sum("f").alias("f"))
+
+    # A row of all words, whose key is -1, comes with those that are frequent.
+    sums = summed(each_word)
+    seen = checkpointed(sums.where((F.col("key") < 0) | (F.col("f") >= least)))
+    total = seen.where("key < 0").agg(F.sum("f")).first()[0] or 0
+    words = spark.sparkContext.broadcast(key_filter(seen.where("key >= 0").select("key"), filter_bits))
+    shift = np.uint64(max(1, 64 - KEY_BITS - total.bit_length()))
 
     def often(lang, vocabulary):
         keys = word_keys(lang, vocabulary)
@@ -230,29 +241,34 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         keys, ok = often(lang, vocabulary)
         both = np.flatnonzero(ok[ids[:-1]] & ok[ids[1:]])
         pair, count = np.unique(ids[both].astype(np.int64) * len(vocabulary) + ids[both + 1], return_counts=True)
-        yield [pa.array(pair_keys(keys[pair // len(vocabulary)], keys[pair % len(vocabulary)]).view(np.int64)), pa.array(count.astype(np.int64))]
+        yield [pa.array(pair_keys(keys[pair // len(vocabulary)], keys[pair % len(vocabulary)], shift).astype(np.int64)), pa.array(count.astype(np.int64))]
 
-    bits = key_filter(by_shard(docs, lang_col, text_col, "key long, f long", each_pair, shard_words), least, filter_bits)
-    pairs = spark.sparkContext.broadcast(bits)
+    often_pairs = checkpointed(summed(each_pair).where(F.col("f") >= least).select("key"))
+    pairs = spark.sparkContext.broadcast(key_filter(often_pairs, filter_bits))
 
     def each_phrase(lang, vocabulary, ids):
         keys, ok = often(lang, vocabulary)
         pair_ok = np.zeros(len(ids), bool)
-        pair_ok[1:] = passes(pairs.value, pair_keys(keys[ids[:-1]], keys[ids[1:]])) & ok[ids[:-1]]
+        pair_ok[1:] = passes(pairs.value, pair_keys(keys[ids[:-1]], keys[ids[1:]], shift)) & ok[ids[:-1]]
         own = automaton(ids, runs(ids, ok, pair_ok, longest), longest)
         names = pa.array(vocabulary, pa.binary())
-        row = lambda words, phrase, f: [pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), words, np.int32)), phrase, pa.array(f)]
-        yield row(0, pa.array([b""], pa.binary()), np.array([np.count_nonzero(ids)], np.int64))
+        tag = pa.scalar(lang.encode() + b"\t", pa.binary())
+        row = lambda phrase, f: [pc.binary_join_element_wise(tag, phrase, b""), pa.array(f)]
+        yield row(pa.array([b""], pa.binary()), np.array([np.count_nonzero(ids)], np.int64))
         for d in range(1, longest + 1):
             end, count = own.substrings(d)
             for a in range(0, len(end), 1 << 16):
                 at = end[a : a + (1 << 16)]
                 parts = [names.take(pa.array(ids[at - k])) for k in range(d - 1, -1, -1)]
-                yield row(d, pc.binary_join_element_wise(*parts, b" ") if d > 1 else parts[0], count[a : a + (1 << 16)].astype(np.int64))
-
-    found = by_shard(docs, lang_col, text_col, "lang string, words int, phrase binary, f long", each_phrase, shard_words)
-    counts = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
-    counts = checkpointed(counts.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "f"))
+                yield row(pc.binary_join_element_wise(*parts, b" ") if d > 1 else parts[0], count[a : a + (1 << 16)].astype(np.int64))
+
+    # A short row for the shuffle: the language, a tab, which no phrase holds, and the phrase.
+    found = by_shard(docs, lang_col, text_col, "key binary, f long", each_phrase, shard_words)
+    key, tab = F.col("key").cast("string"), F.lit("\t")
+    counts = found.groupBy("key").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | key.endswith(tab))
+    phrase = F.substring_index(key, "\t", -1)
+    counts = counts.select(F.expr("substring(cast(key as string), 1, length(cast(key as string)) - length(substring_index(cast(key as string), '\\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
+    counts = checkpointed(counts.select("lang", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "phrase", "f"))
     words.destroy()
     pairs.destroy()
     return counts

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import TEXT, bounded_batches, checkpointed, fitted, shared_folder, small_slices, table
 
-ARCHIVE_BYTES = 64 << 20  # payload bytes of an archive, about
+ARCHIVE_BYTES = 64 << 20  # payload bytes of an archive, about; less where the session asks for more shuffle partitions
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1 << 15, 1 << 15
 # Fixed values of the formats: magic numbers of the dictionary's frame, of the empty frame between records, and of a compressed dictionary.
 DICTIONARY_MAGIC, EMPTY_FRAME, ZSTD_MAGIC = b"\x5d\x2a\x4d\x18", "\x50\x2a\x4d\x18\x00\x00\x00\x00", b"\x28\xb5\x2f\xfd"
