@@ -12,7 +12,7 @@ control strings stand only where the template puts them, and reading back is exa
 
 Defined results: null texts and roles are empty; turns of one number stand by their place in the
 record, role, then text; repeated rows are turns of their own; a null conversation id is one
-conversation.  A record that is no JSON object, or whose field paths have no mapping, gives no turn:
+conversation.  A record whose id or turn is no whole number, that is no JSON object, or whose field paths have no mapping, gives no turn:
 it is set apart with the reason, and a conversation of such records alone has no row.  An empty table
 gives an empty result.  Further columns are not read.
 """
@@ -118,7 +118,9 @@ def turns_of(records: DataFrame, id_col: str, order_col: str, json_col: str, map
     """A row a turn: (id, turn, place in the record, role, text, problem); a record set apart has a problem and no role or text."""
     bounded_batches(records.sparkSession)
     known = registry(mappings)
-    src = records.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{order_col}`").cast("long").alias("turn"), F.col(f"`{json_col}`").cast("string").alias(TEXT))
+    number = lambda c: F.col(f"`{c}`").try_cast("long")
+    wrong = [F.when(F.col(f"`{c}`").isNotNull() & number(c).isNull(), F.concat(F.lit(f"no whole number in {c}: "), F.substring(F.col(f"`{c}`").cast("string"), 1, 80))) for c in (id_col, order_col)]
+    src = records.select(number(id_col).alias("id"), number(order_col).alias("turn"), F.col(f"`{json_col}`").cast("string").alias(TEXT), F.coalesce(*wrong).alias("wrong"))
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
 
     def parsed(x):
@@ -131,8 +133,8 @@ def turns_of(records: DataFrame, id_col: str, order_col: str, json_col: str, map
         for batch in batches:
             for part in small_slices(batch, TEXT):
                 rows, made = [], []
-                for i, x in enumerate(part.column(TEXT).to_pylist()):
-                    got = canonical_turns(parsed(x), known)
+                for i, (x, wrong) in enumerate(zip(part.column(TEXT).to_pylist(), part.column("wrong").to_pylist(), strict=True)):
+                    got = wrong or canonical_turns(parsed(x), known)
                     own = [(0, None, None, got)] if isinstance(got, str) else [(k, role, text, None) for k, (role, text) in enumerate(got)]
                     rows += [i] * len(own)
                     made += own

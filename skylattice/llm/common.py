@@ -32,6 +32,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+_SENT: list = []
+
+
+def sent(spark: SparkSession, value):
+    """A broadcast of a model's state, until the next release()."""
+    _SENT.append(spark.sparkContext.broadcast(value))
+    return _SENT[-1]
+
+
+def release() -> None:
+    """Take what sent() has sent off the executors, when the results are stored; what is used all the same is sent again."""
+    while _SENT:
+        _SENT.pop().unpersist()
+
+
 @contextlib.contextmanager
 def session_conf(spark: SparkSession, **settings: str):
     """Hold settings (dots written as __) while an eager step runs."""

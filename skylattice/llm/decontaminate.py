@@ -15,8 +15,8 @@ earlier ones were touched, and there are not that many words to touch them with.
 Defined results: words are runs of letters, digits and underscores, lower-cased; null text counts as
 empty; an item without words matches nothing, one shorter than a seed is its own seed; the longest
 match comes first, among equals the one first in the item, then in the document.  An item without id keeps
-its null id.  Repeated rows are reported once each.  Empty tables give an empty result.  Only ids and texts
-are read.
+its null id.  Repeated rows are reported once each.  A result column whose name the id has is named with an underscore
+before it.  Empty tables give an empty result.  Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_texts, revived, table
+from .common import fresh, map_texts, revived, sent, table
 
 WORD = re.compile(r"\w+")
 BASE = 0x9E3779B97F4A7C15
@@ -213,13 +213,14 @@ def held_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     for k in range(n):
         rows = src.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         items = sorted(((r.id, r.text) for r in rows.toLocalIterator()), key=lambda x: (x[0] is None, *x) if x[0] is not None else (True, 0, x[1]))
-        yield docs.sparkSession.sparkContext.broadcast(vars(Block(items, width)))
+        yield sent(docs.sparkSession, vars(Block(items, width)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.8) -> DataFrame:
     """A row for each document and item with coverage reached: id, item_id, coverage, n_tiles, matched_words, item_words.  Item ids are whole numbers or strings."""
     kind = T.StringType() if isinstance(benchmark.schema[item_id].dataType, T.StringType) else T.LongType()
-    new = [T.StructField("item_id", kind), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType()), T.StructField("matched_words", T.LongType()), T.StructField("item_words", T.LongType())]
+    kinds = {"item_id": kind, "coverage": T.DoubleType(), "n_tiles": T.LongType(), "matched_words": T.LongType(), "item_words": T.LongType()}
+    new = [T.StructField(fresh(name, [id_col]), k) for name, k in kinds.items()]
     out = None
     for held in held_blocks(docs, benchmark, item_id, item_text, width):
 

@@ -14,7 +14,7 @@ with more weight than share repeat, at most max_repeats times on average.
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens and come
 once with each whole pass; repeated rows are rows of their own; the last row to begin within a budget
-is read whole.  An empty table, or one without tokens, gives every row once.
+is read whole; a result column whose name the id or source has is named with an underscore before it.  An empty table, or one without tokens, gives every row once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, fresh, table
 
 BLOCKS, MAX_REPEATS, SECTIONS, ROUNDS = 4096, 4.0, 32, 6
 
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     inner = Window.partitionBy("key", "block").orderBy("h", F.col("id").asc_nulls_first(), "tokens").rowsBetween(Window.unboundedPreceding, 0)
     at_cut = read.where("room is not null").withColumn("start", F.sum("tokens").over(inner) - F.col("tokens")).where("start < room")
     out = read.where("room is null").select(*kept).unionAll(at_cut.select(*kept))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("tokens").alias("n_tokens"), "weight", "epoch", "block", F.col("place").cast("long").alias("place"))
+    made = {"n_tokens": F.col("tokens"), "weight": F.col("weight"), "epoch": F.col("epoch"), "block": F.col("block"), "place": F.col("place").cast("long")}
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *(c.alias(fresh(n, [id_col, source_col])) for n, c in made.items()))
 
 
 def op8_mixing(spark, sf_dir):

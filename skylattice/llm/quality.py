@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, held_out, labelled_texts, map_texts, revived, table
+from .common import fitted, held_out, labelled_texts, map_texts, revived, sent, table
 
 MAX_PER_CLASS = 1500  # labelled rows learnt from, a class
 HASH_BITS, LATENT, NEIGHBOURS, POWER = 12, 64, 15, 4.0
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(vars(model))
+    held = sent(docs.sparkSession, vars(model))
     return map_texts(docs, text_col, docs.columns if keep is None else keep, [T.StructField(name, T.DoubleType())], lambda texts: [pa.array(revived(Model, held.value).score(texts))])
 
 

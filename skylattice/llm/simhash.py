@@ -11,7 +11,8 @@ as well, so that no group of copies falls to one task.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, which links
 like any other; repeated rows each get a row; a null id never names a component, so a component of
-null ids only has none.  An empty table gives an empty result.  Only id and text are read.
+null ids only has none.  A result column whose name the id has is named with an underscore before it.  An empty
+table gives an empty result.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = joined_evenly(named, smallest, ["component"], "salt").select("fp", "component_id")
     found = joined_evenly(rows, member, ["fp"], "salt")
-    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = [fresh(x, [id_col]) for x in ("fingerprint", "component_id")]
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias(names[0]), F.col("component_id").alias(names[1]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:

@@ -17,6 +17,7 @@ gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,30 @@ def encoder(vocabulary: bytes, pattern: str = PATTERN):
     return _SHARED[key]
 
 
+# Fixed value: what the pattern takes for white space.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = re.compile(f"[{BLANK}]{{4096,}}")
+
+
+def encoded(enc, text: str) -> np.ndarray:
+    """Token ids of the whole text.
+
+    The pattern goes back over a run of white space as far as it is long, so long runs are encoded apart: all
+    of one but its last character is one piece under the pattern, and all of it where the text ends.
+    """
+    out, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(enc.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        out.append(blank_piece(enc, text[run.start() : end].encode()))
+        at = end
+    return np.concatenate([np.asarray(x, np.int64) for x in (*out, enc.encode_to_numpy(text[at:], disallowed_special=()))])
+
+
+def blank_piece(enc, piece: bytes) -> list[int]:
+    return enc._encode_single_piece(piece)
+
+
 def attribute(size: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, crossing tokens begun) by section; size: token bytes, bounds: section starts and the end, in bytes."""
     n = len(bounds) - 1
@@ -80,7 +105,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for i, t in enumerate(texts):
             text = t.decode("utf-8", "replace")
             raw = np.frombuffer(text.encode(), np.uint8)  # what is encoded and what is cut are the same bytes
-            ids = np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.int64)
+            ids = encoded(enc, text)
             bounds = np.r_[0, np.flatnonzero(raw == 10) + 1, len(raw)]
             if len(bounds) > 2 and bounds[-2] == len(raw):
                 bounds = bounds[:-1]

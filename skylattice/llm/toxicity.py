@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fitted, fresh, held_out, labelled_texts, map_texts, table
+from .common import checkpointed, fitted, fresh, held_out, labelled_texts, map_texts, sent, table
 
 MAX_PER_CLASS = 3000  # labelled rows learnt from, a class
 MAX_WORDS = 1 << 17  # words of the model, the most frequent in the sample
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = mined_terms(words, mined) if mined else []
     vocabulary = [r.word for r in words.orderBy(F.desc("n"), "word").limit(MAX_WORDS).select("word").collect()]
     vocabulary += sorted({t for own in lists for t in own} - set(vocabulary))
-    held = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(vocabulary)}, lists, set(found)))
+    held = sent(docs.sparkSession, ({w: i for i, w in enumerate(vocabulary)}, lists, set(found)))
 
     def numbers(texts):
         return [pa.array([sorted(i for w in words_of(t) if (i := held.value[0].get(w)) is not None) for t in texts], pa.list_(pa.int32()))]
@@ -198,7 +198,7 @@ def _flat(lists: list[list], kind) -> tuple[np.ndarray, list]:
 
 def score(docs: DataFrame, model: Model | tuple[dict[str, float], float], text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The kept columns (all by default) and the probability of being toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(tuple(model[:2]))
+    held = sent(docs.sparkSession, tuple(model[:2]))
 
     def run(texts):
         weight, base = held.value

@@ -1124,3 +1124,54 @@ def test_automaton_states_are_endpos_classes():
             assert found.count[s] == len(at) and sorted(classes[frozenset(at)]) == list(range(found.shortest[s], found.longest[s] + 1))
             up = found.link[s]
             assert (found.shortest[s] == 1) if up < 0 else (found.longest[up] == found.shortest[s] - 1 and places[word(up, found.longest[up])] == places[word(s, found.shortest[s] - 1)])
+
+
+# Names that clash, ids that are no numbers, white space without end
+
+
+def test_result_names_that_the_id_has(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zeta", None]
+    rows = lambda name: spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], f"{name} long, text string, source string")
+    assert simhash.near_duplicates(rows("Fingerprint"), "Fingerprint").columns == ["Fingerprint", "_fingerprint", "component_id"]
+    assert {r["_fingerprint"] for r in simhash.near_duplicates(rows("fingerprint"), "fingerprint").collect()} == {f"{simhash.fingerprint((t or '').encode()):016x}" for t in texts}
+    mixed = mixing.mix(rows("place"), "place")
+    assert mixed.columns == ["place", "source", "n_tokens", "weight", "epoch", "block", "_place"] and {r.place for r in mixed.collect()} == {0, 1, 2}
+    items = spark.createDataFrame([(7, texts[0])], "item_id long, text string")
+    found = decontaminate.contaminated(rows("item_id"), items, "item_id")
+    assert {(r.item_id, r._item_id) for r in found.collect()} == {(0, 7), (1, 7)}
+
+
+def test_conversations_whose_ids_are_no_numbers_are_set_apart(spark):
+    rows = [("c-1", "0", '{"role": "user", "text": "a"}'), ("12", "0", '{"role": "user", "text": "b"}'), ("12", "x", '{"role": "user", "text": "c"}'), (None, "0", '{"role": "user", "text": "d"}')]
+    turns = chat.turns_of(spark.createDataFrame(rows, "conv_id string, turn string, record string"), "conv_id", "turn", "record").cache()
+    assert sorted(r.problem for r in chat.set_apart(turns).collect()) == ["no whole number in conv_id: c-1", "no whole number in turn: x"]
+    assert sorted((r.conv_id is None, r.conv_id, r.n_turns) for r in chat.digests(chat.format_turns(turns)).collect()) == [(False, 12, 1), (True, None, 1)]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\u3000", " \x85\xa0"])
+@pytest.mark.parametrize(("before", "after"), [("word", " next"), ("", ""), ("a.", "5x"), ("it's\x1c", "\x1cq"), ("end", "")])
+def test_runs_of_white_space_are_encoded_as_the_pattern_has_them(blank, before, after):
+    """Shorter runs, which the pattern itself can take, show that cutting leaves the tokens alone."""
+    enc, _ = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    for many in (4096, 5001):
+        text = before + blank * many + after
+        assert tokens.encoded(enc, text).tolist() == enc.encode_ordinary(text)
+    text = before + blank * 5000 + after + blank * 4500 + "z" + blank * 3
+    assert tokens.encoded(enc, text).tolist() == enc.encode_ordinary(text)
+
+
+def test_two_million_blanks(spark):
+    texts = ["a " + " " * 2_000_000 + "b\nc", "\n" * 2_000_000, "x" + "\t\n " * 700_000 + "y"]
+    rows = tokens.section_tokens(docs_of(spark, texts)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("end_char").alias("end")).collect()
+    enc, size = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    for r in rows:
+        ids = tokens.encoded(enc, texts[r.doc_id])
+        assert r.n == len(ids) and r.end == len(texts[r.doc_id]) and size[ids].sum() == len(texts[r.doc_id].encode())
+
+
+def test_released_models_are_sent_again(spark):
+    docs = docs_of(spark, ["some words here", "and more of them"])
+    scored = toxicity.score(docs, ({"words": 1.0}, -1.0))
+    first = sorted(r.score for r in scored.collect())
+    common.release()
+    assert sorted(r.score for r in scored.collect()) == first
