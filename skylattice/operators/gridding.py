@@ -2,17 +2,17 @@
 
 A visibility is spread by a separable kernel (the exponential of a semicircle) onto a grid of twice the
 wanted size.  The grid is cut in tiles with a margin of the kernel's width, so each visibility falls into one
-tile; a task adds up the tiles it meets and hands on partial tiles.  Partial tiles are summed by tile, so a
-frame that holds all rows is summed by as many tasks as it has tiles; only then do the tiles of a frame and
-plane meet in one task, which transforms them, cuts the margin off and divides by the kernel's
-transform.  The cost is visibilities times the kernel's area plus grids times their logarithm, where
+tile.  Visibilities are dealt in ranges of (frame, tile, plane), so a task fills few tiles at a time, and a
+frame or tile that holds all rows is filled by many tasks; a tile leaves a task once, or as parts where ranges
+meet.  The tiles of a frame and plane then come to one task, one after another, which adds them to a grid,
+transforms it, cuts the margin off and divides by the kernel's transform.  The cost is visibilities times the kernel's area plus grids times their logarithm, where
 direct sums cost visibilities times pixels.
 
 The w term is a third axis: a visibility is spread onto the planes of a lattice of w as well, each
 plane's image is turned by its own phase, and the planes' images are added up.  Planes are a key like the
-frame.
+frame.  Tiles are the larger part of what is shuffled then: planes times grids, whatever the number of rows.
 
-The transform in three dimensions goes axis by axis: tiles of (v, u, t) are summed, the tiles of a place
+The transform in three dimensions goes axis by axis: tiles of (v, u, t) are filled, the tiles of a place
 in (v, u) are transformed along t, and slabs of a few frequencies then meet and are transformed along v
 and u.  No task holds more than one column of tiles or one slab.
 """
@@ -72,6 +72,12 @@ def footprint(at: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.nda
     return first % size, kernel(first[:, None] + np.arange(width) - at[:, None], width)
 
 
+def tile_column(x, size: int, tile: int, width: int):
+    """About the tile that a visibility falls into: what it is dealt by."""
+    first = F.pmod(F.ceil(F.pmod(x, F.lit(1.0)) * size - width / 2), F.lit(size))
+    return F.floor(first / tile)
+
+
 class Tiles:
     """Partial tiles of a task by key, given out when they fill HELD_BYTES."""
 
@@ -115,37 +121,6 @@ class Tiles:
             yield pa.RecordBatch.from_arrays([*keys, pa.array([n for _, (_, n) in part], pa.int64()), pa.array([t.tobytes() for _, (t, _) in part], pa.binary())], names=[*names, "n", "tile"])
 
 
-def summed_tiles(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """One tile a key: partial tiles are dealt by key and added up as they come, one at a time."""
-    dealt = parts.repartition(*keys).sortWithinPartitions(*keys)
-    names = dealt.columns
-
-    def run(batches):
-        now, state = None, None
-        for batch in batches:
-            done = []
-            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, "n", "tile")), strict=True):
-                key, n, tile = row[:-2], row[-2], np.frombuffer(row[-1], np.complex128)
-                if key == now:
-                    state[0] += n
-                    state[1] += tile
-                    continue
-                if now is not None:
-                    done.append((*now, state[0], state[1].tobytes()))
-                now, state = key, [n, tile.copy()]
-            if done:
-                yield rows_of(done, batch.schema)
-            schema = batch.schema
-        if now is not None:
-            yield rows_of([(*now, state[0], state[1].tobytes())], schema)
-
-    def rows_of(done, schema):
-        columns = dict(zip((*keys, "n", "tile"), zip(*done, strict=True), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], schema.field(c).type) for c in names], names=names)
-
-    return dealt.mapInArrow(run, parts.schema)
-
-
 def by_key(batches, keys: list[str], begin, add, end):
     """Rows in the order of keys, one at a time: begin() a state, add(state, row), end(key, state) gives record batches."""
     now, state = None, None
@@ -185,6 +160,8 @@ def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w
     shift = n // 2 - centre
     columns = ["u", "v", *(["w"] if step else []), "re", "im", "weight"]
     src = vis.where("weight > 0").select(*by, *(F.col(c).cast("double").alias(f"__{c}") for c in columns))
+    order = [*by, *(tile_column(F.col(c) * cell, size, tile, width) for c in ("__v", "__u")), *([F.floor(F.col("__w") / step)] if step else [])]
+    src = src.repartitionByRange(*order, "__u").sortWithinPartitions(*order)
 
     def spread(batches):
         tiles, key_kinds = Tiles((extent, extent)), []
@@ -228,7 +205,7 @@ def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w
         if tiles.held:
             yield from tiles.given_out(names, [*key_kinds, *[pa.int64()] * 3])
 
-    whole = summed_tiles(src.mapInArrow(spread, schema), names)
+    whole = src.mapInArrow(spread, schema)
     at = (np.arange(n) - n // 2) % size
     fade = 1 / kernel_transform((np.arange(n) - n // 2) / size, width)
     pixel = [pa.array(np.repeat(np.arange(n), n)), pa.array(np.tile(np.arange(n), n))]
@@ -272,6 +249,8 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
     start = vis.where("not flag").agg(F.min(F.col("time").cast("double")).alias("t")).first().t or 0.0
     src = vis.where("not flag").select(*(F.col(c).cast("double") for c in ("time", "u", "v", "freq_hz", "re", "im")))
     names = ["ty", "tx", "tt"]
+    order = [*(tile_column(F.col(c) * cell, size, tile, width) for c in ("v", "u")), tile_column((F.col("time") - start) * df, long_size, tile_time, width)]
+    src = src.repartitionByRange(*order, "u").sortWithinPartitions(*order)
 
     def spread(batches):
         tiles = Tiles(shape)
@@ -293,7 +272,7 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
         if tiles.held:
             yield from tiles.given_out(names, [pa.int64()] * 3)
 
-    whole = summed_tiles(src.mapInArrow(spread, "ty long, tx long, tt long, n long, tile binary"), names)
+    whole = src.mapInArrow(spread, "ty long, tx long, tt long, n long, tile binary")
     bins = np.arange(low, high)
 
     def along_time(batches):
