@@ -31,6 +31,9 @@ def near_pairs(left: DataFrame, right: DataFrame, arcsec: float, lon: tuple[str,
     return a.join(b, ["cx", "cy", "cz"]).select("a", "b", sep.alias("sep")).where(F.col("sep") <= arcsec)
 
 
+FEW_PAIRS = 1 << 20  # near pairs of places that one task may hold, 16 MB
+
+
 def sky_components(df: DataFrame, arcsec: float, by: str | None = None) -> DataFrame:
     """Adds `component` to rows (id, ra, dec): connected positions, apart for each value of `by`.
 
@@ -40,7 +43,7 @@ def sky_components(df: DataFrame, arcsec: float, by: str | None = None) -> DataF
     df = settled(df)
     spots = settled(df.groupBy(*key, "ra", "dec").agg(F.min("id").alias("spot")))
     pairs = _keyed_pairs(spots, by, arcsec) if by else near_pairs(spots, spots, arcsec, lid="spot", rid="spot")
-    found = connected_components(pairs)
+    found = connected_components(pairs, few=FEW_PAIRS)
     named = spots.join(found, spots.spot == found.node, "left").select(*key, "ra", "dec", F.coalesce("component", "spot").alias("component"))
     return df.join(named, [*key, "ra", "dec"])
 

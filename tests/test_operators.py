@@ -385,6 +385,15 @@ def test_numbers_go_on_from_range_to_range(spark):
     assert K.number(df.limit(0), "n", "a").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_few_edges_are_those_of_the_rounds(spark, kind):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(200, 260)] + [(5, 5), (None, 3)]
+    edges = spark.createDataFrame(rows, "a long, b long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    assert sorted(graph.connected_components(edges, few=1 << 20).collect()) == sorted(graph.connected_components(edges).collect())
+    assert graph.connected_components(edges.limit(0), few=9).collect() == []
+
+
 def test_hot_keys_are_dealt_out(spark):
     edges = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(30)]
     found = graph.connected_components(spark.createDataFrame(edges, "a long, b long"))
