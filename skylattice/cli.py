@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--nms-radius", type=int, default=6)
     p.add_argument("--boxcar", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--variance", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--cumulative-variance", action="store_true", help="a chunk's variance is that of all chunks up to it, as a search has it that goes on from one to the next")
     p.add_argument("--dedupe-overlap", action="store_true")
     p.add_argument("--votable", action="store_true")
     p = commands.add_parser("aggregate", help="candidates of beams to events and sources")
@@ -102,7 +103,7 @@ def run_search(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     by = [c for c in ("scan" if a.by is None and "scan" in vis.columns else a.by or "").split(",") if c]
     s = S.Settings(
         npix=a.npix, cell=a.pixsize_arcsec / SEXAGESIMAL_RAD, ra0=centre[0], dec0=centre[1], field_name=centre[2], dt=dt, t0=first, chunk=a.chunk_size, overlap=int(a.overlap_seconds / dt), corr_mode=a.corr_mode, single_pol=a.single_pol,
-        widths=a.boxcar_widths, threshold=a.threshold_sigma, var_threshold=a.var_threshold_sigma, var_keep=a.var_keep_top_k, clip=a.rms_clip_sigma, radius=a.nms_radius, tau=a.var_highpass_cutoff / dt if a.var_highpass_cutoff else None, dedupe_overlap=a.dedupe_overlap, w_term=a.wgridding and "w" in vis.columns, epsilon=a.epsilon,
+        widths=a.boxcar_widths, threshold=a.threshold_sigma, var_threshold=a.var_threshold_sigma, var_keep=a.var_keep_top_k, clip=a.rms_clip_sigma, radius=a.nms_radius, tau=a.var_highpass_cutoff / dt if a.var_highpass_cutoff else None, dedupe_overlap=a.dedupe_overlap, cumulative=a.cumulative_variance, w_term=a.wgridding and "w" in vis.columns, epsilon=a.epsilon,
     )
     found = S.settled(S.search(vis, s, by, boxcar=a.boxcar, variance=a.variance))
     for kind in ("boxcar", "variance"):

@@ -204,6 +204,18 @@ def welford_merge(states: DataFrame, by: list[str]) -> DataFrame:
     return states.groupBy(*by).agg(n.alias("n"), F.try_divide(s, n).alias("mean"), F.coalesce(F.greatest(F.lit(0.0), sq - F.try_divide(s * s, n)), F.lit(0.0)).alias("m2"))
 
 
+def welford_prefix(states: DataFrame, by: list[str], order: str = "chunk") -> DataFrame:
+    """Each state merged with all before it in the order of a column: what a search that goes on from chunk to chunk has seen by then.
+
+    A group's states are one row a chunk, so the window runs over chunks, never over samples.
+    """
+    row = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.coalesce("mean", F.lit(0.0))
+    sums = states.withColumns({"__n": F.sum("n").over(row), "__s": F.sum(F.col("n") * mean).over(row), "__q": F.sum(F.col("m2") + F.col("n") * mean * mean).over(row)})
+    m2 = F.coalesce(F.greatest(F.lit(0.0), F.col("__q") - F.try_divide(F.col("__s") * F.col("__s"), F.col("__n"))), F.lit(0.0))
+    return sums.select(*(c for c in states.columns if c not in ("n", "mean", "m2")), F.col("__n").alias("n"), F.try_divide("__s", "__n").alias("mean"), m2.alias("m2"))
+
+
 def welford_std(states: DataFrame, ddof: int = 1) -> Column:
     return F.when(F.col("n") > ddof, F.sqrt(F.col("m2") / (F.col("n") - ddof)))
 

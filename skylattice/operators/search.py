@@ -48,6 +48,7 @@ class Settings:
     max_per_centre: int | None = 1
     tau: float | None = None
     dedupe_overlap: bool = False
+    cumulative: bool = False
     w_term: bool = False
     epsilon: float = 1e-6
 
@@ -64,12 +65,15 @@ def variance_candidates(cube: DataFrame, s: Settings, by: list[str] = (), mask:
 
     var_keep: so many pixels over the threshold, the best, lend their spread to the candidates; others have their S/N there.
 
-    states: Welford states of the pixels (see final_states), where they are not the cube's own.
+    states: Welford states of the pixels (see final_states), where they are not the cube's own.  With the setting `cumulative`
+    a chunk's spread is that of all samples up to its end, and its peak its own.
     """
     by = list(by)
     src = C.ema_highpass(cube, s.tau, [*by, *C.PIXEL], s.dt).withColumnRenamed("high", "flux") if s.tau else cube
     if states is None:
         states = C.welford(src, [*by, *C.PIXEL])
+        if s.cumulative and "chunk" in by:
+            states = C.welford_prefix(states, [c for c in by if c != "chunk"] + C.PIXEL)
     stds = states.select(*by, *C.PIXEL, C.welford_std(states).alias("std")).where("std is not null")
     snr = C.variance_snr(stds, "clipped_rms", s.clip, by=by, mask=mask).withColumn("snr", F.round("snr", 6))
     peaks = G.nms_2d(G.local_maxima(snr, s.radius, by, s.var_threshold), s.radius, by)

@@ -449,6 +449,19 @@ select e.c, e.y, e.x, e.width, e.snr from (select unnest(kept) as e from (select
     )(lambda spark, sf, p=_p: G.group_widths(C.above(_widths(spark, sf), THR).withColumn("c", F.col("t") + F.expr("width div 2")), 3, 8, p))
 
 
+# Chunk by chunk: each chunk's spread is that of all samples up to its end
+
+
+@query(ctes("cube") + """, ck as (select *, (t - (select min(t) from cube)) // 16 as chunk from cube), ends as (select distinct chunk from ck)
+select e.chunk, c.y, c.x, count(*)::bigint as n, round(avg(flux), 6) as mean, round(stddev_samp(flux), 6) as std from ends e join ck c on c.chunk <= e.chunk group by e.chunk, c.y, c.x""")
+def welford_cumulative(spark, sf):
+    cube = N.cube(spark, sf)
+    first = cube.agg(F.min("t").alias("first"))
+    chunked = cube.crossJoin(F.broadcast(first)).withColumn("chunk", F.expr("(t - first) div 16"))  # one row
+    states = C.welford_prefix(C.welford(chunked, ["chunk", *C.PIXEL]), C.PIXEL)
+    return r6(states.select("chunk", "y", "x", "n", "mean", C.welford_std(states).alias("std")))
+
+
 # The composed search: two observations lie in one table, and each gives what it gives alone
 
 

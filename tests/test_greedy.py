@@ -85,3 +85,23 @@ def test_anchored_groups_run_no_python(spark):
     plan = G.anchored_groups(df, "time", 3, ["scan"])
     assert [r.grp for r in plan.orderBy("time").collect()] == [0, 0, 1]
     assert "Arrow" not in plan._jdf.queryExecution().toString() and "Python" not in plan._jdf.queryExecution().toString().replace("ExistingRDD", "")
+
+
+def test_cumulative_chunks_are_searched_as_one_prefix(spark):
+    """Chunk k finds what a search of chunks 0 to k in one finds."""
+    from skylattice.operators import cube as C
+    from skylattice.operators import search as E
+
+    rng = random.Random(3)
+    rows = [(t, y, x, rng.gauss(5, 1) + (rng.gauss(0, 9) if (y, x) == (3, 4) and t >= 20 else 0)) for t in range(36) for y in range(8) for x in range(8)]
+    cube = spark.createDataFrame([(t // 12, *r) for t, *r in [(r[0], *r) for r in rows]], "chunk long, t long, y long, x long, flux double")
+    s = E.Settings(npix=8, var_threshold=2.0, radius=3, cumulative=True)
+    got = E.settled(E.variance_candidates(cube, s, ["chunk"]))
+    alone = E.Settings(npix=8, var_threshold=2.0, radius=3)
+    for k in range(3):
+        want = E.variance_candidates(cube.where(F.col("chunk") <= k).drop("chunk"), alone)
+        pick = lambda df: sorted((r.y, r.x, round(r.snr, 5), round(r.std, 6)) for r in df.collect())
+        assert pick(got.where(F.col("chunk") == k)) == pick(want)
+    assert got.where("chunk = 2 and y = 3 and x = 4").count() == 1
+    states = C.welford(cube, ["chunk", "y", "x"])
+    assert C.welford_prefix(states.limit(0), ["y", "x"]).count() == 0
