@@ -9,14 +9,17 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import sky
 from .operators import catalogues as K
+from .operators import cube as C
 from .operators import search as S
 from .operators import timeaxis as A
-from .sources import readers, writers
+from .sources import fits, readers, writers
 
 SEXAGESIMAL_RAD = 206265  # fixed value: arc seconds of a radian, as the pixel size has it
 
@@ -56,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cumulative-variance", action="store_true", help="a chunk's variance is that of all chunks up to it, as a search has it that goes on from one to the next")
     p.add_argument("--dedupe-overlap", action="store_true")
     p.add_argument("--votable", action="store_true")
+    p.add_argument("--products", action="store_true", help="also maps of the spread in time (FITS), light curves, lines of text and a table a source")
     p = commands.add_parser("aggregate", help="candidates of beams to events and sources")
     p.add_argument("--candidates", required=True, help="a folder of candidate CSVs, or of Parquet")
     p.add_argument("--out", required=True)
@@ -105,7 +109,7 @@ def run_search(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         npix=a.npix, cell=a.pixsize_arcsec / SEXAGESIMAL_RAD, ra0=centre[0], dec0=centre[1], field_name=centre[2], dt=dt, t0=first, chunk=a.chunk_size, overlap=int(a.overlap_seconds / dt), corr_mode=a.corr_mode, single_pol=a.single_pol,
         widths=a.boxcar_widths, threshold=a.threshold_sigma, var_threshold=a.var_threshold_sigma, var_keep=a.var_keep_top_k, clip=a.rms_clip_sigma, radius=a.nms_radius, tau=a.var_highpass_cutoff / dt if a.var_highpass_cutoff else None, dedupe_overlap=a.dedupe_overlap, cumulative=a.cumulative_variance, w_term=a.wgridding and "w" in vis.columns, epsilon=a.epsilon,
     )
-    found = S.settled(S.search(vis, s, by, boxcar=a.boxcar, variance=a.variance))
+    found = S.settled(S.search(vis, s, by, boxcar=a.boxcar, variance=a.variance, products=(lambda images, own: search_products(images, own, s, by, a.out)) if a.products else None))
     for kind in ("boxcar", "variance"):
         own = found.where(F.col("kind") == kind)
         if "scan" in by:
@@ -114,6 +118,27 @@ def run_search(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return found
 
 
+def search_products(images: DataFrame, found: DataFrame, s: S.Settings, by: list[str], out: str) -> None:
+    """std/NAMES.fits of each observation with its world coordinates, and by kind light curves, summaries and sources of the candidates."""
+    spark = images.sparkSession
+    words = spark.range(1).select(sky.tangent_header(s.npix, s.npix, s.cell, s.cell, s.ra0, s.dec0).alias("h")).first().h.asDict()
+    folder = fits.local_path(f"{out}/std")
+    os.makedirs(folder, exist_ok=True)
+    for row in images.select(*by).distinct().collect() if by else [()]:  # a file an observation
+        own, name = images, "_".join(str(v) for v in row) or "all"
+        for c, v in zip(by, row, strict=True):
+            own = own.where(F.col(c).eqNullSafe(v))
+        fits.write_fits(C.std_map(own).select("y", "x", F.col("std").alias("value")), f"{folder}/{name}.fits", s.npix, s.npix, header=words, fill=float("nan"))
+    for kind in ("boxcar", "variance"):
+        own = found.where(F.col("kind") == kind)
+        table = K.candidate_table(own)
+        writers.summaries(table, f"{out}/{kind}/summaries")
+        writers.by_source(table, f"{out}/{kind}/sources")
+        places = own.select(*by, "srcname", "y", "x").distinct()
+        curves = images.join(places, [*by, *C.PIXEL]).select(*by, "srcname", (F.lit(s.t0) + F.col("t") * s.dt).alias("time"), "flux")
+        writers.light_curves(curves, f"{out}/{kind}/light_curves")
+
+
 def run_aggregate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Events and sources; beam and scan come from the files' names."""
     schema = ", ".join(f"{c} {k}" for c, k, _ in K.CANDIDATE)

@@ -116,10 +116,17 @@ def search_cube(cube: DataFrame, s: Settings, by: list[str] = (), boxcar: bool =
     return found
 
 
-def search(vis: DataFrame, s: Settings, by: list[str] = (), **what) -> DataFrame:
-    """From visibilities (by..., t, row, chan, corr, u, v, re, im, flag, weight; w with the w term) to candidates, chunk by chunk."""
+def search(vis: DataFrame, s: Settings, by: list[str] = (), products=None, **what) -> DataFrame:
+    """From visibilities (by..., t, row, chan, corr, u, v, re, im, flag, weight; w with the w term) to candidates, chunk by chunk.
+
+    products: called with the images and the candidates, both settled, to write what else is wanted.
+    """
     images = settled(I.frame_images(vis, s.npix, s.cell, s.corr_mode, s.single_pol, [*by, "t"], s.w_term, s.epsilon))
-    return search_cube(chunked(images, s.chunk, s.overlap, by), s, [*by, "chunk"], **what)
+    found = search_cube(chunked(images, s.chunk, s.overlap, by), s, [*by, "chunk"], **what)
+    if products:
+        found = settled(found)
+        products(images, found)
+    return found
 
 
 def final_states(cube: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,14 @@ from ..functions.robust import clipped_sigma, mad_sigma
 from ..operators import catalogues as K
 from ..operators import cube as C
 from ..operators import greedy as G
+from ..operators.graph import shared_folder
 from ..operators.gridding import gridded_image, gridded_spectrum
 from ..operators import imaging as I
 from ..operators import periodicity as P
 from ..operators import search as E
 from ..operators import timeaxis as A
 from ..sources import readers as R
+from ..sources.fits import read_fits, write_fits
 from ..streaming import state as S
 from . import inputs as N
 from .inputs import SQL, ctes
@@ -354,6 +358,15 @@ def std_map(spark, sf):
     return r6(C.std_map(N.cube(spark, sf)))
 
 
+@query(ctes("cube") + " select y, x, round(stddev_pop(flux)::float::double, 3) as std from cube group by y, x")
+def std_map_fits(spark, sf):
+    """The map with its world coordinates as a FITS file, read back by blocks of rows."""
+    path, head = f"{shared_folder(spark)}/std-{uuid.uuid4().hex}.fits", sky.tangent_header(10, 10, 1e-4, 1e-4, 2.6, -0.5)
+    words = spark.range(1).select(head.alias("h")).first().h.asDict()
+    write_fits(C.std_map(N.cube(spark, sf)).withColumnRenamed("std", "value"), path, 10, 10, header=words, fill=float("nan"))
+    return read_fits(spark, path).where("not isnan(value)").select("y", "x", (F.round("value", 3) + 0.0).alias("std"))
+
+
 @query(ctes("cube") + " select y, x, count(*) as n, round(avg(flux), 6) as mean, round(stddev_samp(flux), 6) as std from cube group by y, x")
 def welford_merge(spark, sf):
     states = C.welford(N.cube(spark, sf).withColumn("chunk", F.floor(F.col("t") / 10)), ["chunk", "y", "x"])

@@ -1,0 +1,6 @@
+import sys
+
+from pyspark import cloudpickle
+
+# Worker functions and data sources travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

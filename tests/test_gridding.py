@@ -8,7 +8,7 @@ import pytest
 from skylattice.operators import gridding as G
 from skylattice.operators import imaging as I
 from skylattice.operators import periodicity as P
-from skylattice.sources import readers
+from skylattice.sources import fits, readers
 
 VIS = "t long, u double, v double, w double, re double, im double, weight double"
 
@@ -99,10 +99,16 @@ def test_search_of_the_declared_layout(spark, tmp_path):
     base = [x for k, v in given.items() for x in (f"--{k}", v)]
     own = ["--field", "mine", "--npix", "8", "--pixsize-arcsec", str(0.02 * 206265), "--chunk-size", "16", "--overlap-seconds", "2", "--boxcar-widths", "1", "2", "4", "--threshold-sigma", "4", "--var-threshold-sigma", "2", "--nms-radius", "3"]
     for mode in ("single", "stokesI"):
-        found = cli.main(["search", *base, "--out", str(tmp_path / mode), "--corr-mode", mode, *own], spark)
+        found = cli.main(["search", *base, "--out", str(tmp_path / mode), "--corr-mode", mode, *own, *(["--products"] if mode == "stokesI" else [])], spark)
         best = found.where("kind = 'boxcar'").orderBy("snr", ascending=False).first()
         assert best.scan == 2 and best["chunk"] is not None and abs(best.time_center - 2005.25) <= 1.0
         assert found.where("kind = 'boxcar' and scan = 1 and snr > 8").count() == 0
+        if mode == "stokesI":
+            head, _ = fits.read_header(str(tmp_path / mode / "std/2.fits"))
+            assert head["NAXIS1"] == 8 and head["CRVAL1"] == pytest.approx(math.degrees(2.0)) and fits.read_fits(spark, str(tmp_path / mode / "std/2.fits")).count() == 64
+            curve = spark.read.parquet(str(tmp_path / mode / "boxcar/light_curves")).where(f"srcname = '{best.srcname}' and scan = 2")
+            assert curve.count() == 24 and abs(curve.orderBy("flux", ascending=False).first().time - 2005.25) <= 1.0
+            assert spark.read.text(str(tmp_path / mode / "boxcar/summaries")).count() == found.where("kind = 'boxcar'").count()
         row = spark.read.parquet(str(tmp_path / mode / "variance/parquet")).orderBy("snr", ascending=False).first()
         assert row.scan_id == 2 and row.t1_idx_excl == row.t0_idx + 1 == row.center_idx + 1 and row.duration == pytest.approx(0.5)
         assert row.time_end - row.time_start == pytest.approx(0.5) and row.phase_center_field == "mine"
