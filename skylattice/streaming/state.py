@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.robust import finite
 from ..operators.graph import shared_folder
@@ -72,3 +73,75 @@ def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], df.schema)
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OrderedMoments(StatefulProcessor):
+    """Welford moments of what an exponential mean in event time leaves, events of a key taken in the order of their time.
+
+    Events wait until the watermark has passed them, whatever order they come in; a timer takes those that
+    are due, sorted by time and value.  A key that has had no event for `idle_ms` gives its last row, `closed`, and its
+    state is dropped, so the state is that of keys seen within the watermark's delay and the idle time.
+    Events that come after later ones of their key were taken are left out, as are those that the engine drops for the watermark.
+    """
+
+    def __init__(self, key: str, tau: float, idle_ms: int):
+        self.key, self.tau, self.idle_ms = key, tau, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.moments = handle.getValueState("moments", "n long, mean double, m2 double, ema double, last long")
+        self.waiting = handle.getListState("waiting", "at long, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = None
+        for part in rows:
+            self.waiting.appendList(list(zip(part["at"].astype("int64").tolist(), part["value"].astype("float64").tolist(), strict=True)))
+            newest = max(int(part["at"].max()), newest or 0)
+        if newest is not None:
+            self.handle.registerTimer(newest)
+            self.handle.registerTimer(newest + self.idle_ms)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(x) for x in self.waiting.get())
+        if not waiting and not self.moments.exists():  # a timer of a key that is closed
+            yield pd.DataFrame()
+            return
+        due = [x for x in waiting if x[0] <= now]
+        rest = waiting[len(due) :]
+        n, mean, m2, ema, last = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0, math.nan, -1)
+        for at, x in due:
+            if not math.isfinite(x) or at < last:
+                continue
+            a = 0.0 if last < 0 else 1 - math.exp(-(at - last) / 1000 / self.tau)
+            ema = x if math.isnan(ema) else (1 - a) * ema + a * x
+            last, x, n = at, x - ema, n + 1
+            d = x - mean
+            mean += d / n
+            m2 += d * (x - mean)
+        closed = not rest and now >= last + self.idle_ms
+        if closed:
+            self.moments.clear()
+            self.waiting.clear()
+        elif due:
+            self.moments.update((n, mean, m2, ema, last))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        yield pd.DataFrame({self.key: [key[0]], "n": [n], "mean": [mean], "m2": [m2], "last": [last], "closed": [closed]} if due or closed else {})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_welford(df: DataFrame, key: str = "user_id", tau: float = 30.0, late: str = "10 seconds", idle: float = 3600.0) -> DataFrame:
+    """Running (key, n, mean, m2, last, closed) in event order, a row whenever events of a key become due; needs the state store STATE_STORE."""
+    at = F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at")
+    src = df.withWatermark("ts", late).select(key, "ts", at, F.col("value").cast("double").alias("value"))
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, n long, mean double, m2 double, last long, closed boolean"
+    return src.groupBy(key).transformWithStateInPandas(OrderedMoments(key, tau, int(idle * 1000)), schema, "Append", "EventTime")
