@@ -862,6 +862,93 @@ def percentiles(spark, sf):
     return r6(p.select("t", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p995")))
 
 
+# Smaller steps of a search and its tables
+
+
+@query("select l_orderkey as row, l_linenumber as chan, case when l_returnflag = 'R' then 0 else l_tax * 100 end as weight from lineitem where l_linenumber between 2 and 4")
+def weight_spectrum_channels(spark, sf):
+    """A channel's own weights, where the table has them, of a range of channels."""
+    line = N.table(spark, sf, "lineitem")
+    vis = line.select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("chan"), F.col("l_quantity").alias("weight"), (F.col("l_tax") * 100).alias("weight_spectrum"), (F.col("l_returnflag") == "R").alias("flag"))
+    return I.flag_weights(I.weight_source(I.channel_range(vis, 2, 5))).select("row", "chan", "weight")
+
+
+@query(ctes("vis") + " select t, row, chan, u, v, re, im, weight::double as weight from vis where corr = (select corr from (select distinct corr from vis) order by corr offset 1 limit 1)")
+def corr_indexed(spark, sf):
+    return I.indexed_correlation(N.vis(spark, sf), 1)
+
+
+@query(ctes("cube") + """, mk as (select l_suppkey % 10 as y, l_partkey % 10 as x, sum(l_quantity) % 2 = 0 as valid from lineitem group by all), vc as (select * from cube semi join (select * from mk where valid) m using (y, x))
+select f.t, f.mean, w.n, w.total from (select t, round(avg(flux), 6) as mean from vc group by t) f cross join (select count(*) as n, round(sum(m), 6) as total from (select avg(flux) as m from vc where t between (select min(t) + 5 from cube) and (select min(t) + 14 from cube) group by y, x)) w""")
+def masked_means(spark, sf):
+    """Means of frames, and the image of a window of them, over a mask's valid pixels."""
+    line, cube = N.table(spark, sf, "lineitem"), N.cube(spark, sf)
+    mask = line.groupBy((F.col("l_suppkey") % 10).alias("y"), (F.col("l_partkey") % 10).alias("x")).agg((F.sum("l_quantity") % 2 == 0).alias("valid"))
+    own, first = C.valid_only(cube, mask), cube.agg(F.min("t").alias("t")).first().t or 0
+    image = C.window_image(own, first + 5, first + 15).agg(F.count("*").alias("n"), F.sum("flux").alias("total"))
+    return r6(C.frame_means(own).crossJoin(F.broadcast(image)))  # one row
+
+
+@query(
+    ctes("lc") + """, lo as (select y, x, min(t) as a from lc group by y, x)
+select y, x, count(*) as n, round(avg(flux), 6) as mean, round(stddev_samp(flux), 6) as std from (select lc.*, (lc.t - lo.a) // 100 as chunk from lc join lo using (y, x)) group by y, x"""
+)
+def finalised_welford(spark, sf):
+    """States of whole observations from those of their chunks."""
+    lc = N.lc(spark, sf)
+    first = lc.groupBy("y", "x").agg(F.min("t").alias("a"))
+    states = E.final_states(lc.join(first, ["y", "x"]).withColumn("chunk", F.expr("(t - a) div 100")))
+    return r6(states.select("y", "x", "n", "mean", C.welford_std(states).alias("std")))
+
+
+@query(ctes("det") + """, one as (select *, round(ra * 3600 * 100)::bigint as a, case when id % 3 = 0 then '' when id % 3 = 1 then 'kept' end as ra_hms from det)
+select id, ra_hms = 'kept' as kept, coalesce(nullif(ra_hms, ''), printf('%02d', (ra // 15)::int)) as hours from one""")
+def filled_sexagesimal(spark, sf):
+    """Sexagesimal places where they are missing or empty; others stay."""
+    mark = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "kept")
+    got = K.fill_sexagesimal(N.det(spark, sf).withColumn("ra_hms", mark), "ra", "dec")
+    return got.select("id", F.when(mark.isNotNull(), mark == "kept").alias("kept"), F.when(F.col("ra_hms") == "kept", "kept").otherwise(F.substring("ra_hms", 1, 2)).alias("hours"))
+
+
+@query("select event_id, round(m, 9) as mjd, strftime(make_timestamp(((m - 40587) * 86400000)::bigint * 1000), '%Y/%m/%d/%H:%M:%S') as begins, '-interval ' || user_id || ' ' || (user_id + 5) as option from (select *, 40587 + epoch_us(ts) // 1000000 / 86400.0e0 as m from events)")
+def time_strings(spark, sf):
+    """Dates and selections of time as other tools take them."""
+    seconds = F.expr("unix_micros(cast(ts as timestamp)) div 1000000") + 40587 * 86400
+    return N.table(spark, sf, "events").select("event_id", F.round(sky.mjd(seconds), 9).alias("mjd"), F.substring(sky.timerange(seconds, seconds), 1, 19).alias("begins"), sky.interval_option(F.col("user_id"), F.col("user_id") + 5).alias("option"))
+
+
+@query("""with f as (select distinct 'img_' || lpad((s_suppkey % 24)::varchar, 2, '0') || '_' || s_suppkey || '.fits' as file, 'img_' || lpad((s_suppkey % 24)::varchar, 2, '0') as own from supplier), b as (select distinct 'img_' || lpad((c_custkey % 36)::varchar, 2, '0') as beam from customer)
+select beam, coalesce((select min(file) from f where contains(file, beam)), (select min(file) from f)) as file from b""")
+def continuum_files(spark, sf):
+    """The continuum image of each beam, by its label in the file's name."""
+    label = lambda c, n: F.concat(F.lit("img_"), F.lpad((F.col(c) % n).cast("string"), 2, "0"))
+    files = N.table(spark, sf, "supplier").select(F.concat(label("s_suppkey", 24), F.lit("_"), F.col("s_suppkey").cast("string"), F.lit(".fits")).alias("file"))
+    return K.continuum_lookup(N.table(spark, sf, "customer").select(label("c_custkey", 36).alias("beam")), files)
+
+
+@query("""with a as (select 'cand_' || s_suppkey || case when s_suppkey % 5 = 0 then '_Variance_' when s_suppkey % 5 = 1 then '_box_' else '_x_' end || 'a.png' as artefact from supplier)
+select artefact from a where lower(artefact) not like '%@_variance@_%' escape '@'""")
+def family_files(spark, sf):
+    """Files without a mark of another family than the boxcar search's."""
+    mark = F.when(F.col("s_suppkey") % 5 == 0, "_Variance_").when(F.col("s_suppkey") % 5 == 1, "_box_").otherwise("_x_")
+    return K.family_filter(N.table(spark, sf, "supplier").select(F.concat(F.lit("cand_"), F.col("s_suppkey").cast("string"), mark, F.lit("a.png")).alias("artefact")), "boxcar")
+
+
+@query(ctes("det") + " select d.id, d.scan from det d where d.scan in (select scan from det where snr >= 480)")
+def members_of_chosen(spark, sf):
+    """All rows of the components that a selection names."""
+    rows = N.det(spark, sf).withColumn("component", F.col("scan"))
+    return K.members(rows, rows.where("snr >= 480")).select("id", "scan")
+
+
+@query(ctes("power") + " select x::bigint as x, y::bigint as y, k as nharm_used, round(power, 3) as snr, 'periodicity' as algo, 'f' as phase_center_field from power where k < 4")
+def periodicity_table(spark, sf):
+    """Periodic candidates in their catalogue's seventeen columns."""
+    found = N.power(spark, sf).where("k < 4").select("x", "y", F.col("power").alias("snr"), F.col("k").alias("nharm_used"), F.lit("f").alias("phase_center_field"))
+    table = K.candidate_table(found, K.PERIODICITY)
+    return table.select("x", "y", "nharm_used", F.round("snr", 3).alias("snr"), "algo", "phase_center_field")
+
+
 # Streams, run once over what is there
 
 
