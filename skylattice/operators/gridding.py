@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.sky import K_DM
 
-TILE, TILE_TIME, SLAB = 32, 32, 8
+TILE, TILE_SKY, TILE_TIME, SLAB = 32, 24, 32, 8
 CHUNK_ROWS, CHUNK_TILES, HELD_BYTES = 2048, 128, 96 << 20
 
 
@@ -243,7 +243,8 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
     width, df = kernel_width(epsilon), 1.0 / (nf * dt)
     low, high = math.ceil(fmin / df - 1e-9), (nf + 1) // 2
     size, long_size = grid_size(npix, width), grid_size(nf, width)
-    tile, tile_time = min(TILE // 2, size - width), min(TILE_TIME, long_size - width)
+    tile, tile_time = min(TILE_SKY, size - width), min(TILE_TIME, long_size - width)
+    sent = np.complex64 if epsilon >= 1e-6 else np.complex128  # tones between the axes: what a spectrum shuffles most
     shape = (tile + width, tile + width, tile_time + width)
     across, along = -(-size // tile), -(-long_size // tile_time)
     start = vis.where("not flag").agg(F.min(F.col("time").cast("double")).alias("t")).first().t or 0.0
@@ -282,7 +283,7 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
             state[:, :, (row["tt"] * tile_time + np.arange(shape[2])) % long_size] += np.frombuffer(row["tile"], np.complex128).reshape(shape)
 
         def end(key, state):
-            tones = np.empty((len(bins), *shape[:2]), complex)
+            tones = np.empty((len(bins), *shape[:2]), sent)
             for a in range(shape[0]):  # a row of columns at a time
                 tones[:, a] = (np.fft.ifft(state[a], axis=-1)[:, bins] * long_size * fade).T
             cuts = range(0, len(bins), SLAB)
@@ -299,7 +300,7 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
 
         def add(state, row):
             r, c = ((row[k] * tile + np.arange(shape[0])) % size for k in ("ty", "tx"))
-            tones = np.frombuffer(row["tones"], np.complex128).reshape(-1, *shape[:2])
+            tones = np.frombuffer(row["tones"], sent).reshape(-1, *shape[:2])
             for b in range(len(tones)):
                 state[b][np.ix_(r, c)] += tones[b]
 
