@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ..functions.sky import K_DM
 
 TILE, TILE_SKY, TILE_TIME, SLAB = 32, 24, 32, 8
-CHUNK_ROWS, CHUNK_TILES, HELD_BYTES = 2048, 128, 96 << 20
+CHUNK_ROWS, CHUNK_BYTES, HELD_BYTES = 2048, 4 << 20, 64 << 20
 
 
 def kernel_width(epsilon: float) -> int:
@@ -81,18 +81,20 @@ def tile_column(x, size: int, tile: int, width: int):
 class Tiles:
     """Partial tiles of a task by key, given out when they fill HELD_BYTES."""
 
-    def __init__(self, shape: tuple[int, ...]):
-        self.shape, self.held = shape, {}
+    def __init__(self, shape: tuple[int, ...], names: list[str], kinds: list[pa.DataType]):
+        self.shape, self.names, self.kinds, self.held = shape, names, kinds, {}
+        self.bytes = math.prod(shape) * 16
 
     def add(self, keys: np.ndarray, named, local: list[np.ndarray], weights: list[np.ndarray], values: np.ndarray, count: np.ndarray):
-        """Spread values; keys: a number of a tile for each, named(number) its key; local: first cells in the tile by axis."""
+        """Spread values and give out what fills up; keys: a number of a tile for each, named(number) its key; local: first cells in the tile by axis."""
         order = np.argsort(keys, kind="stable")
         for a in range(0, len(order), CHUNK_ROWS):
             rows = order[a : a + CHUNK_ROWS]
             own, slot = np.unique(keys[rows], return_inverse=True)
-            for b in range(0, len(own), CHUNK_TILES):
-                some = np.flatnonzero((slot >= b) & (slot < b + CHUNK_TILES))
-                r, tiles = rows[some], own[b : b + CHUNK_TILES]
+            step = max(1, CHUNK_BYTES // self.bytes)
+            for b in range(0, len(own), step):
+                some = np.flatnonzero((slot >= b) & (slot < b + step))
+                r, tiles = rows[some], own[b : b + step]
                 cell, value = slot[some] - b, values[r]
                 for first, weight, extent in zip(local, weights, self.shape, strict=True):
                     shape = (len(r), *[1] * (cell.ndim - 1), weight.shape[1])
@@ -108,25 +110,25 @@ class Tiles:
                         self.held[key][1] += int(n)
                     else:
                         self.held[key] = [tile.copy(), int(n)]
+                if len(self.held) * self.bytes > HELD_BYTES:
+                    yield from self.given_out()
 
-    def full(self) -> bool:
-        return len(self.held) * math.prod(self.shape) * 16 > HELD_BYTES
-
-    def given_out(self, names: list[str], kinds: list[pa.DataType]):
-        items = list(self.held.items())
-        self.held = {}
-        for a in range(0, len(items), 64):
-            part = items[a : a + 64]
-            keys = [pa.array([k[c] for k, _ in part], kind) for c, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array([n for _, (_, n) in part], pa.int64()), pa.array([t.tobytes() for _, (t, _) in part], pa.binary())], names=[*names, "n", "tile"])
+    def given_out(self):
+        many = max(1, CHUNK_BYTES // self.bytes)
+        while self.held:
+            part = [(k, *self.held.pop(k)) for k in list(self.held)[:many]]
+            keys = [pa.array([p[0][c] for p in part], kind) for c, kind in enumerate(self.kinds)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([n for *_, n in part], pa.int64()), pa.array([t.tobytes() for _, t, _ in part], pa.binary())], names=[*self.names, "n", "tile"])
 
 
 def by_key(batches, keys: list[str], begin, add, end):
     """Rows in the order of keys, one at a time: begin() a state, add(state, row), end(key, state) gives record batches."""
     now, state = None, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-            row = dict(zip(batch.schema.names, row, strict=True))
+        names = batch.schema.names
+        for i in range(len(batch)):
+            # Tiles are looked at where they lie in the batch; nothing is copied.
+            row = {c: x.as_buffer() if isinstance(x := batch.column(c)[i], pa.BinaryScalar) else x.as_py() for c in names}
             key = tuple(row[c] for c in keys)
             if key != now or state is None:
                 if state is not None:
@@ -137,6 +139,13 @@ def by_key(batches, keys: list[str], begin, add, end):
         yield from end(now, state)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of about 16 MB from now on, unless the session has its own limit: a row can be a tile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) == "67108864b":  # what Spark says where nothing is set
+        df.sparkSession.conf.set(name, "16m")
+
+
 def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w_term: bool = False, epsilon: float = 1e-6, centre: float | None = None) -> DataFrame:
     """(by..., y, x, flux): what imaging.dirty_image gives, by gridding, within epsilon of the summed weights.
 
@@ -144,6 +153,7 @@ def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w
     at (i - centre) cell, from the middle of the grid where centre isn't given.  With the w term
     phases are u l + v m - w (n - 1), and fluxes are over n = sqrt(1 - l**2 - m**2); pixels beyond the horizon are null.
     """
+    small_batches(vis)
     by, width = list(by), kernel_width(epsilon)
     centre = (n - 1) / 2 if centre is None else centre
     size = grid_size(n, width)
@@ -164,9 +174,9 @@ def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w
     src = src.repartitionByRange(*order, "__u").sortWithinPartitions(*order)
 
     def spread(batches):
-        tiles, key_kinds = Tiles((extent, extent)), []
+        tiles = Tiles((extent, extent), names, [])
         for batch in batches:
-            key_kinds = [batch.schema.field(c).type for c in by]
+            tiles.kinds = [*(batch.schema.field(c).type for c in by), *[pa.int64()] * 3]
             u, v, *w, re, im, weight = (batch.column(f"__{c}").to_numpy(zero_copy_only=False) for c in columns)
             if by:
                 frames = pa.table([batch.column(c) for c in by], names=by).to_pandas().groupby(by, dropna=False, sort=False)
@@ -199,11 +209,8 @@ def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w
                     g, rest = divmod(rest, across * across)
                     return (*keys[g], p + lowest, *divmod(rest, across))
 
-                tiles.add(number, named, [cv - ty * tile, cu - tx * tile], [kv, ku], own, np.full(len(own), j == 0, float))
-                if tiles.full():
-                    yield from tiles.given_out(names, [*key_kinds, *[pa.int64()] * 3])
-        if tiles.held:
-            yield from tiles.given_out(names, [*key_kinds, *[pa.int64()] * 3])
+                yield from tiles.add(number, named, [cv - ty * tile, cu - tx * tile], [kv, ku], own, np.full(len(own), j == 0, float))
+        yield from tiles.given_out()
 
     whole = src.mapInArrow(spread, schema)
     at = (np.arange(n) - n // 2) % size
@@ -240,6 +247,7 @@ def gridded_image(vis: DataFrame, n: int, cell: float, by: list[str] = ("t",), w
 
 def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int, fmin: float = 0.0, dm: float = 0.0, epsilon: float = 1e-6) -> DataFrame:
     """(y, x, k, re, im): what periodicity.stitched gives of periodicity.adjoint_blocks, of all rows at once, by gridding."""
+    small_batches(vis)
     width, df = kernel_width(epsilon), 1.0 / (nf * dt)
     low, high = math.ceil(fmin / df - 1e-9), (nf + 1) // 2
     size, long_size = grid_size(npix, width), grid_size(nf, width)
@@ -254,7 +262,7 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
     src = src.repartitionByRange(*order, "u").sortWithinPartitions(*order)
 
     def spread(batches):
-        tiles = Tiles(shape)
+        tiles = Tiles(shape, names, [pa.int64()] * 3)
         for batch in batches:
             time, u, v, freq, re, im = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("time", "u", "v", "freq_hz", "re", "im"))
             t = time - start - K_DM * dm * 1e-3 / (freq * 1e-6) ** 2
@@ -267,11 +275,8 @@ def gridded_spectrum(vis: DataFrame, npix: int, cell: float, dt: float, nf: int,
 
             for a in range(0, len(u), 1 << 12):
                 r = slice(a, a + (1 << 12))
-                tiles.add(((ty * across + tx) * along + tt)[r], named, [(cv - ty * tile)[r], (cu - tx * tile)[r], (ct - tt * tile_time)[r]], [kv[r], ku[r], kt[r]], (re + 1j * im)[r], np.ones(len(u[r])))
-                if tiles.full():
-                    yield from tiles.given_out(names, [pa.int64()] * 3)
-        if tiles.held:
-            yield from tiles.given_out(names, [pa.int64()] * 3)
+                yield from tiles.add(((ty * across + tx) * along + tt)[r], named, [(cv - ty * tile)[r], (cu - tx * tile)[r], (ct - tt * tile_time)[r]], [kv[r], ku[r], kt[r]], (re + 1j * im)[r], np.ones(len(u[r])))
+        yield from tiles.given_out()
 
     whole = src.mapInArrow(spread, "ty long, tx long, tt long, n long, tile binary")
     bins = np.arange(low, high)

@@ -48,7 +48,7 @@ def test_tiles_that_are_given_out_early_add_up(spark, monkeypatch):
     want = image_of(G.gridded_image(df, 24, 0.004), 24, ["t"])
     monkeypatch.setattr(G, "HELD_BYTES", 1)
     monkeypatch.setattr(G, "CHUNK_ROWS", 7)
-    monkeypatch.setattr(G, "CHUNK_TILES", 2)
+    monkeypatch.setattr(G, "CHUNK_BYTES", 1)
     assert np.abs(image_of(G.gridded_image(df, 24, 0.004), 24, ["t"]) - want).max() < 1e-12
     odd = spark.createDataFrame([(None, 1.0, 2.0, 0.0, 1.0, 0.0, 1.0), (None, 1.0, 2.0, 0.0, 1.0, 0.0, 1.0), (1, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0)], VIS)
     got = G.gridded_image(odd, 4, 0.01, epsilon=1e-10).toPandas()
