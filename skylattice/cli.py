@@ -1,6 +1,7 @@
-"""Command line: search, aggregate, aggregate_obs and periodicity over Parquet tables.
+"""Command line: search, consolidate, aggregate, aggregate_obs and periodicity over Parquet tables.
 
     python -m skylattice.cli search --vis VIS --out FOLDER [--by scan,beam] ...
+    python -m skylattice.cli consolidate --inputs FOLDER... --out FOLDER
     python -m skylattice.cli aggregate --candidates FOLDER --out FOLDER ...
     python -m skylattice.cli aggregate_obs --events FOLDER --out FOLDER [--psr FILE] [--survey FILE] ...
     python -m skylattice.cli periodicity --vis VIS --out FOLDER ...
@@ -19,7 +20,7 @@ from .operators import catalogues as K
 from .operators import cube as C
 from .operators import search as S
 from .operators import timeaxis as A
-from .sources import fits, readers, writers
+from .sources import fits, readers, snapshots, writers
 
 SEXAGESIMAL_RAD = 206265  # fixed value: arc seconds of a radian, as the pixel size has it
 
@@ -60,6 +61,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dedupe-overlap", action="store_true")
     p.add_argument("--votable", action="store_true")
     p.add_argument("--products", action="store_true", help="also maps of the spread in time (FITS), light curves, lines of text and a table a source")
+    p = commands.add_parser("consolidate", help="catalogues of chunks to one table; the chunks' own go after the commit")
+    p.add_argument("--inputs", required=True, nargs="+", help="Parquet folders")
+    p.add_argument("--out", required=True)
+    p.add_argument("--keep", action="store_true", help="leave the inputs")
     p = commands.add_parser("aggregate", help="candidates of beams to events and sources")
     p.add_argument("--candidates", required=True, help="a folder of candidate CSVs, or of Parquet")
     p.add_argument("--out", required=True)
@@ -183,7 +188,11 @@ def run_periodicity(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return table
 
 
-RUN = {"search": run_search, "aggregate": run_aggregate, "aggregate_obs": run_aggregate_obs, "periodicity": run_periodicity}
+def run_consolidate(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    return snapshots.consolidate(spark, a.inputs, a.out, delete=not a.keep)
+
+
+RUN = {"search": run_search, "consolidate": run_consolidate, "aggregate": run_aggregate, "aggregate_obs": run_aggregate_obs, "periodicity": run_periodicity}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
