@@ -1,6 +1,5 @@
 """Greedy selection by tiles, and anchored groups, against walks over all rows."""
 
-import itertools
 import random
 
 import pytest
