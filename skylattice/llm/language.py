@@ -10,8 +10,8 @@ weight.  A document gets the language of least cross-entropy a character.
 Arrays of all languages are cut into shards by the two middle characters of a key, so that each shard
 has about SHARD_KEYS keys and answers for its keys alone (the two lowest orders are in every shard).
 Documents pass through the shards one after another, adding up log-probabilities; a small model is one
-shard and one pass.  Rejection is calibrated on a bounded sample of training rows (CALIBRATION a language, in
-hash order), scored as all others are: a cross-entropy far above that of the language's own texts.
+shard and one pass.  Rejection is calibrated on every training row of at least LETTERS keys, by the
+probabilities of its own language: a cross-entropy far above that of the language's own texts.
 
 Defined results: null text, or text without a letter, is `und` with score 0; so is everything when
 nothing could be learnt.  Ties go to the language first in order.  Repeated rows each get a row; an
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,9 @@ class Shard:
             out[lost] = self._one(j, _ends(gone, k - 1), k - 1) + np.where(ctx[c] == gone >> np.uint64(16), self.back[k][j][c], 0)
         return out
 
-    def add(self, texts: list[bytes], sums: np.ndarray, n: np.ndarray) -> None:
-        """Add the keys of this shard to log-probabilities (a row a text, a column a language) and to how many they are."""
+    def add(self, texts: list[bytes], sums: np.ndarray, n: np.ndarray, langs: Sequence[int] | None = None) -> None:
+        """Add the keys of this shard to log-probabilities (a row a text, a column a language, all unless langs names them) and to how many they are."""
+        langs = range(sums.shape[1]) if langs is None else langs
         keys, rows = [], []
 
         def count():
@@ -192,8 +194,8 @@ class Shard:
                 kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
                 row = np.repeat(rows, [len(x) for x in keys])
                 n[:] += np.bincount(row, minlength=len(n))
-                for j in range(sums.shape[1]):
-                    sums[:, j] += np.bincount(row, weights=self._one(j, kinds, ORDER)[at], minlength=len(n))
+                for column, j in enumerate(langs):
+                    sums[:, column] += np.bincount(row, weights=self._one(j, kinds, ORDER)[at], minlength=len(n))
                 keys.clear()
                 rows.clear()
 
@@ -211,6 +213,14 @@ class Shard:
                     held = 0
         count()
 
+    def add_own(self, texts: list[bytes], own: np.ndarray, sums: np.ndarray, n: np.ndarray) -> None:
+        """As add, but a text's log-probability in one language alone: own has its number, sums one column."""
+        for j in np.unique(own):
+            rows = np.flatnonzero(own == j)
+            s, m = sums[rows], n[rows]
+            self.add([texts[i] for i in rows], s, m, [j])
+            sums[rows], n[rows] = s, m
+
 
 class Model:
     """langs in order, broadcasts of the shards' states, and the limits of the languages' cross-entropies."""
@@ -233,25 +243,30 @@ class Model:
         return [pa.array(["und" if z else self.langs[b] for b, z in zip(best, none, strict=True)], pa.string()), pa.array(np.where(none, 0, 1 / gap)), pa.array(np.where(none, 0, least)), pa.array(reject)]
 
 
-def _through(docs: DataFrame, model: Model, text_col: str, keep: list[str], new: list[T.StructField], finish) -> DataFrame:
-    """Pass whole texts through every shard; finish(n, sums) makes the new columns."""
+def _through(docs: DataFrame, model: Model, text_col: str, keep: list[str], new: list[T.StructField], finish, own: str | None = None) -> DataFrame:
+    """Pass whole texts through every shard; finish(n, sums) makes the new columns.  Own, a kept column, has the number of the one language to score each text in."""
     state = [fresh(x, [text_col, *docs.columns]) for x in ("keys_so_far", "sums_so_far")]
     kinds = [T.StructField(state[0], T.LongType()), T.StructField(state[1], T.ArrayType(T.DoubleType()))]
-    width = len(model.langs)
+    width = 1 if own else len(model.langs)
     steps = model.shards or [None]
     for k, held in enumerate(steps):
         last = k == len(steps) - 1
 
-        def run(texts, *before, held=held, last=last):
+        def run(texts, *given, held=held, last=last):
             n, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), width))
+            before = given[1:] if own else given
             if before:
                 n[:] = before[0].to_numpy(zero_copy_only=False)
                 sums[:] = before[1].flatten().to_numpy(zero_copy_only=False).reshape(sums.shape)
             if held is not None:
-                revived(Shard, held.value).add(texts, sums, n)
+                shard = revived(Shard, held.value)
+                if own:
+                    shard.add_own(texts, given[0].to_numpy(zero_copy_only=False), sums, n)
+                else:
+                    shard.add(texts, sums, n)
             return finish(n, sums) if last else _arrays(n, sums)
 
-        docs = map_texts(docs, text_col, keep if last else list(dict.fromkeys([*keep, text_col])), new if last else kinds, run, given=state if k else ())
+        docs = map_texts(docs, text_col, keep if last else list(dict.fromkeys([*keep, text_col])), new if last else kinds, run, given=[*([own] if own else []), *(state if k else [])])
     return docs
 
 
@@ -268,7 +283,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
 
 def calibration_sample(own: DataFrame, id_col: str, text_col: str, lang_col: str, each: int = CALIBRATION) -> DataFrame:
-    """(text, lang): at most `each` different rows a language, in the order of a hash, of those long enough to count."""
+    """(text, lang): at most `each` different rows a language, in the order of a hash, of those long enough to count.
+
+    To look at what a language's texts are like; no model, limit or query comes from it.
+    """
     rows = own.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.length("text") >= LETTERS - 1)
     size = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))
     # About twice as many as needed by hash, so that no language is sorted whole.
@@ -301,13 +319,17 @@ def build_shards(found: DataFrame, langs: list[str], off: dict[tuple[str, int],
     return [sent(spark, pickle.loads(r.state)) for r in made.toLocalIterator()]
 
 
-def calibrated(model: Model, sample: DataFrame) -> np.ndarray:
-    """A limit for each language with 20 sampled texts of LETTERS keys: the mean cross-entropy under their own language, and eight deviations or 1 more."""
-    new = [T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]
-    at = sample.sparkSession.createDataFrame([(x, j) for j, x in enumerate(model.langs)], "lang string, j int")
-    h = _through(sample, model, "text", ["lang"], new, _arrays).where(F.col("n") >= LETTERS).join(F.broadcast(at), "lang").select("j", (-F.get("sums", F.col("j")) / F.col("n")).alias("h"))
+def calibrated(model: Model, own: DataFrame, text_col: str, lang_col: str) -> np.ndarray:
+    """A limit for each language with 20 texts of LETTERS keys among all given rows: the mean cross-entropy under their own language, and eight deviations or 1 more.
+
+    Repeated rows count as often as they stand, as they do in the model.
+    """
+    at = own.sparkSession.createDataFrame([(x, j) for j, x in enumerate(model.langs)], "lang string, j int")
+    rows = own.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(at), "lang").select("j", "text")
+    new = [T.StructField("n", T.LongType()), T.StructField("h", T.DoubleType())]
+    h = _through(rows, model, "text", ["j"], new, lambda n, sums: [pa.array(n), pa.array(-sums[:, 0] / np.maximum(n, 1))], own="j").where(F.col("n") >= LETTERS)
     limits = np.full(len(model.langs), np.inf)
-    for r in h.groupBy("j").agg(F.count("*").alias("n"), F.avg("h").alias("mean"), F.stddev_pop("h").alias("std")).collect():
+    for r in h.groupBy("j").agg(F.count("*").alias("n"), F.avg("h").alias("mean"), F.stddev_pop("h").alias("std")).collect():  # a row a language
         if r.n >= 20:
             limits[r.j] = r["mean"] + max(8 * r["std"], 1.0)
     return limits
@@ -325,7 +347,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     size = max(r.size for r in sums if r.k == 1) + 1
     shards = -(-sum(r.size for r in sums if r.k > 2) // shard_keys)
     model = Model(langs, build_shards(found, langs, off, size, shards))
-    model.limits = calibrated(model, calibration_sample(own, id_col, text_col, lang_col))
+    model.limits = calibrated(model, own, text_col, lang_col)
     return model
 
 

@@ -334,6 +334,30 @@ def test_a_rare_language_is_calibrated_too(spark):
     assert {x.doc_id: x.rejected for x in language.predict(new, model).collect()} == {1: True, 2: False}
 
 
+def brute_limits(rows, model):
+    """Mean and deviations over all rows that are learnt from, text by text, each under its own language's keys."""
+    found = defaultdict(list)
+    for i, t, x in rows:
+        keys = language.grams([(t or "").encode()])[0]
+        if x is not None and zlib.crc32(str(i).encode()) % 5 and len(keys) >= 50:
+            found[x].append(-seen_by(model, keys, model.langs.index(x)).mean())
+    return [np.mean(h) + max(8 * np.std(h), 1) if len(h) >= 20 else np.inf for h in (found[x] for x in model.langs)]
+
+
+@pytest.mark.parametrize("shard_keys", [10**6, 300])
+def test_limits_come_from_every_training_row(spark, shard_keys):
+    """More than 500 long rows of a language, repeated ones too, all count; short, held-out and unlabelled ones don't."""
+    r = random.Random(11)
+    say = lambda letters, n: " ".join("".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(n))
+    rows = [(i, say("abcd" if i % 7 else "aabcdefghij", r.randint(12, 40)), "common") for i in range(900)] + [(1000 + i, say("klm", 30), "rare") for i in range(40)]
+    rows += [(2000 + i, say("mno", 30), "few") for i in range(5)] + [(LEARNT[3], say("efghij", 60), "common")] * 40 + [(3000 + i, t, x) for i, (t, x) in enumerate([("short", "rare"), (None, "rare"), (say("abcd", 30), None)] * 5)]
+    m = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), shard_keys=shard_keys)
+    assert m.langs == ["common", "few", "rare"] and (len(m.shards) > 3) == (shard_keys == 300)
+    want = brute_limits(rows, m)
+    assert np.isfinite(want).tolist() == [True, False, True]
+    assert m.limits == pytest.approx(want, rel=1e-9)
+
+
 def test_letters_of_all_planes_count(spark):
     low = language.letter_table()
     assert all((low[c] != 0) == chr(c).isalpha() for c in range(0x110000)) and low[0x1F600] == 0
