@@ -850,6 +850,20 @@ def test_pipeline_as_a_whole(spark, tmp_path):
         now = after
 
 
+def test_pipeline_language_limits_see_every_training_row(spark):
+    """Texts unlike the rest of their language, late in the order of a hash, are training rows as others are, and so are kept."""
+    r = random.Random(13)
+    rare = spark.createDataFrame([(i, "".join(r.choices("stuvwxyz", k=400))) for i in LEARNT], "doc_id long, text string")
+    rare = [tuple(x) for x in rare.orderBy(F.xxhash64("doc_id", "text").desc()).limit(30).collect()]
+    plain = [(i, "ab" * r.randint(30, 60)) for i in range(5000, 5700)]
+    docs = spark.createDataFrame([(i, t, "x", "s") for i, t in rare + plain], "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id for x in corpus_pipeline.language_filter(spark, docs, SF).collect()}
+    assert kept == {i for i, _ in rare + plain}
+    # Without their language they are no training rows, and go.
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") >= 5000, F.col("lang")))
+    assert {x.doc_id for x in corpus_pipeline.language_filter(spark, docs, SF).collect()} == {i for i, _ in plain}
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     sf = tables(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, sf).count() == 0
