@@ -120,18 +120,23 @@ def revived(kind: type, state: dict):
     return out
 
 
-def label_sample(labels: DataFrame, value_col: str, per_class: int) -> DataFrame:
-    """A bounded sample of training labels: (doc_id, y), at most per_class ids a class, in hash order.
+def majority(labels: DataFrame, value_col: str) -> DataFrame:
+    """Training labels (doc_id, y) of all ids that aren't held out.
 
     Ids with several labels count once, by majority (a tie is 1); null ids and labels are left out.
     """
-    one = (
+    return (
         labels.select(F.col("doc_id"), F.col(value_col).cast("double").alias("y"))
         .where("doc_id is not null and y is not null")
         .where(~held_out("doc_id"))
         .groupBy("doc_id")
         .agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     )
+
+
+def label_sample(labels: DataFrame, value_col: str, per_class: int) -> DataFrame:
+    """A bounded sample of training labels: (doc_id, y), at most per_class ids a class, in hash order."""
+    one = majority(labels, value_col)
     pick = lambda k: one.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return pick(0).unionAll(pick(1))
 

@@ -173,6 +173,42 @@ def test_pairing_keeps_identity_terms_neutral(spark):
     assert held.swaps in (599, 600)  # each sentence has a term; one text may be the other of its id
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_path):
+    """Over 3000 labelled rows of a class, those last in the order of a hash teach their word as others do."""
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5]
+    bad = [r.i for r in spark.createDataFrame([(i,) for i in ids[500:]], "i long").orderBy(F.xxhash64("i"), "i").collect()]
+    say = {i: "a kind word" for i in ids[:500]} | {i: f"a {'awful' if k < 3000 else 'zorf'} word" for k, i in enumerate(bad)}
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in say.items()] + [(9000, "one zorf", "en", "s"), (9001, "one kind", "en", "s")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 0, int(t != "a kind word")) for i, t in say.items()], "doc_id long, quality int, toxic int")
+    sf = tables(spark, tmp_path, docs, labels, spark.createDataFrame([], "item_id long, text string"))
+    kept = {r.doc_id for r in corpus_pipeline.toxicity_filter(spark, docs, sf).collect()}
+    assert kept == {*ids[:500], 9001}
+
+
+def test_toxicity_in_steps_over_blocks_is_that_of_one_task(spark, monkeypatch):
+    """The same weights and cut, whether one task fits, the driver adds tasks' sums up, or slices are added up; words left out have no weight in a fit of all."""
+    monkeypatch.setattr(toxicity, "BLOCK", 700)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    monkeypatch.setattr(toxicity, "NEAR", 1e-5)
+    r = random.Random(21)
+    rows = [(i, " ".join(r.choices(["awful", "bad"] if b else ["kind", "good"], k=1) * (r.random() < 0.8) + [f"w{int(r.paretovariate(0.7))}" for _ in range(12)]) + ".", b) for i, b in ((i, int(r.random() < 0.3)) for i in LEARNT[:1500])]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3), spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    l1, kinds = 2e-3, {"x": ["w1", "w2", "w3"]}
+    one, driver, slices = (toxicity.train(docs, labels, terms=kinds, l1=l1, mined=20, few=few, apart=apart) for few, apart in ((10**9, 99), (0, 99), (0, 0)))
+    assert one.swaps == driver.swaps == slices.swaps > 0 and len(one.mined) > 2
+    words = sorted({w for _, t, _ in rows for w in toxicity.words_of(t.encode())})
+    at = {w: k for k, w in enumerate(words)}
+    ids, y = [np.array(sorted(at[w] for w in toxicity.words_of(t.encode()))) for _, t, _ in rows], np.array([float(b) for *_, b in rows])
+    pairs = Counter((at[a], at[b]) for _, t, _ in rows for a, b in toxicity.swaps(t.encode(), list(kinds.values()), set(one.mined)))
+    assert sum(pairs.values()) == one.swaps and len(words) > 500
+    w, base = toxicity.fit(ids, y, len(words), pairs, l1)
+    whole = {words[k]: w[k] for k in np.flatnonzero(w)}
+    z = lambda m, b: np.array([b + sum(m.get(w, 0) for w in toxicity.words_of(t.encode())) for _, t, _ in rows])
+    assert whole.keys() == one.weights.keys() == driver.weights.keys() == slices.weights.keys()
+    for m in (one, driver, slices):
+        assert np.allclose(z(m.weights, m.base), z(whole, base), atol=1e-3)
+
+
 def test_terms_are_mined_and_swapped_within_a_document(spark):
     r = random.Random(6)
     rows = [(i, f"the zorf went home. the {r.choice(['plam', 'zorf', 'dirn'])} {'stinks' if i % 2 else 'sings'}. A plam and a dirn.", i % 2) for i in range(400)]
